@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from casekit.operators import transfers as TR
 from casekit.plans.transfer_flow import score_transfers
+from casekit.schemas import TRANSFER_COLUMNS  # noqa: F401
 from casekit.sources import adapters as A
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,7 +36,7 @@ def register(name: str, sql: str | None = None):
 
 
 # =========================================================== job A (SQL) ==
-def _transfer_cte(with_completions: bool) -> str:
+def _transfer_cte(with_completions: bool, source_sql: str = A.TRANSFERS_SQL) -> str:
     memo_hit = " OR ".join(f"contains(lower(coalesce(memo, '')), '{w}')" for w in TR.RISKY_MEMO_KEYWORDS)
     countries = ", ".join(f"'{c}'" for c in TR.HIGH_RISK_COUNTRIES)
     preds = [
@@ -70,7 +71,7 @@ def _transfer_cte(with_completions: bool) -> str:
         notes = f"n AS (SELECT m.*, {fallback} AS investigator_notes, 'heuristic' AS notes_source FROM m)"
     split = r"'\r\n|[\n\x0B\x0C\r\x{85}\x{2028}\x{2029}]'"
     return f"""
-WITH t AS ({A.TRANSFERS_SQL}),
+WITH t AS ({source_sql}),
 e AS (
   SELECT *,
     upper(coalesce(transfer_type, '')) = 'EXTERNAL' AS is_external,
@@ -200,3 +201,62 @@ def q_transfer_narrative(spark, sf_dir):
           _transfer_cte(True) + _DECISION_SQL.format(extra=", notes_source"))
 def q_transfer_decision_completions(spark, sf_dir):
     return _decision_cols(_scored(spark, sf_dir, True), ["notes_source"])
+
+
+# ------------------------------------------------ S2 / P1: JSON + rejects --
+def _json_transfers(spark: SparkSession, sf_dir: str):
+    raw = A.parse_transfer_text(A.transfers_json(spark, sf_dir))
+    return TR.validate_transfers(raw, keep=["record_no"])
+
+
+@register("transfer_rejects", f"""
+SELECT record_no,
+  CASE WHEN record_no % 107 = 0 OR record_no % 103 = 0 THEN NULL ELSE txn_id END AS txn_id,
+  CASE WHEN record_no % 107 = 0 THEN 'malformed record'
+       ELSE array_to_string(list_filter([
+         CASE WHEN record_no % 103 = 0 THEN 'txn_id: missing' END,
+         CASE WHEN record_no % 101 = 0 THEN 'amount: not a valid double' END,
+         CASE WHEN record_no % 109 = 0 THEN 'customer_age: not a valid int (set to null)' END],
+         lambda x: x IS NOT NULL), '; ') END AS reject_reasons
+FROM ({A.TRANSFERS_SQL})
+WHERE record_no % 107 = 0 OR record_no % 103 = 0 OR record_no % 101 = 0""")
+def q_transfer_rejects(spark, sf_dir):
+    _, rejected = _json_transfers(spark, sf_dir)
+    return rejected.select("record_no", "txn_id",
+                           F.array_join("reject_reasons", "; ").alias("reject_reasons"))
+
+
+_JSON_VALID_SQL = f"""
+SELECT * REPLACE (CASE WHEN record_no % 109 = 0 THEN NULL ELSE customer_age END AS customer_age)
+FROM ({A.TRANSFERS_SQL})
+WHERE NOT (record_no % 107 = 0 OR record_no % 103 = 0 OR record_no % 101 = 0)"""
+
+
+@register("transfer_json_decision",
+          _transfer_cte(False, _JSON_VALID_SQL) + _DECISION_SQL.format(extra=""))
+def q_transfer_json_decision(spark, sf_dir):
+    valid, _ = _json_transfers(spark, sf_dir)
+    return _decision_cols(score_transfers(valid.drop("record_no"), run_id=RUN_ID, created_at=CREATED_AT))
+
+
+# ------------------------------------------------------------ P4 / P5 --
+_TRANSFER_FIELDS_JSON = ", ".join(
+    f"'{c}': {c}" if c != "timestamp" else "'timestamp': \"timestamp\"" for c in TR.TRANSFER_COLUMNS)
+
+
+@register("transfer_prompts", _transfer_cte(False) + f"""
+SELECT txn_id AS case_id, 'investigator' AS step,
+  'Context JSON:' || chr(10) || to_json({{
+    'transfer': {{{_TRANSFER_FIELDS_JSON}}},
+    'enrichment': {{'is_external': is_external, 'is_new_beneficiary': is_new_beneficiary,
+      'device_known': device_known, 'geo_risk': geo_risk, 'memo_risky': memo_risky,
+      'velocity': {{'out_1h': out_1h, 'out_24h': out_24h}}, 'prior_fraud': prior_fraud,
+      'is_young_customer': is_young_customer, 'origin_tenure_days': origin_tenure_days,
+      'beneficiary_tenure_days': beneficiary_tenure_days, 'destination_country': dest_country}},
+    'rule_flags': map_from_entries(list_transform(flag_names, lambda x: {{'k': x, 'v': TRUE}})),
+    'rule_reasons': reasons, 'rule_score': rule_score, 'ml_score': ml_score}}) AS prompt
+FROM d""")
+def q_transfer_prompts(spark, sf_dir):
+    df = (A.transfers(spark, sf_dir).transform(TR.enrich_transfers)
+          .transform(TR.score_rules).transform(TR.ml_risk))
+    return TR.investigator_prompts(df).select("case_id", "step", "prompt")

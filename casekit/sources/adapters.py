@@ -157,7 +157,9 @@ def parse_transfer_text(df: DataFrame, value: str = "value") -> DataFrame:
     parsed = F.from_json(F.col(value), TRANSFER_TEXT,
                          {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
     rest = [c for c in df.columns if c != value]
-    return df.select(*rest, parsed.alias("__r")).select(*rest, "__r.*")
+    # inline(array(struct)) parses each text once: a Generate node stops
+    # Catalyst from inlining from_json into every field access.
+    return df.select(*rest, F.inline(F.array(parsed)))
 
 
 # ------------------------------------------------------------- payments --
