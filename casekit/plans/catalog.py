@@ -14,7 +14,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from casekit.operators import cases as CS
 from casekit.operators import transfers as TR
+from casekit.functions.parse import PY_FLOAT_TOKEN
+from casekit.plans.case_flow import run_case_batch
 from casekit.plans.transfer_flow import score_transfers
 from casekit.schemas import TRANSFER_COLUMNS  # noqa: F401
 from casekit.sources import adapters as A
@@ -260,3 +263,132 @@ def q_transfer_prompts(spark, sf_dir):
     df = (A.transfers(spark, sf_dir).transform(TR.enrich_transfers)
           .transform(TR.score_rules).transform(TR.ml_risk))
     return TR.investigator_prompts(df).select("case_id", "step", "prompt")
+
+
+# =========================================================== job B (cases) ==
+AUDIT_TS = "2025-01-01 00:00:00"
+_CUST_COLS = ["customer_id", "kyc_level", "risk_segment", "tenure_years", "email", "phone", "home_country",
+              "vip", "account_age_days", "avg_monthly_spend", "chargeback_count_12m"]
+_DEV_COLS = ["device_id", "reputation", "seen_before", "rooted", "distance_km_from_home", "app_version"]
+
+
+def _case_cte() -> str:
+    rx = PY_FLOAT_TOKEN.replace("'", "''")
+    return rf"""
+WITH p AS ({A.PAYMENTS_SQL}),
+cu AS ({A.CUSTOMERS_SQL}),
+dv AS ({A.DEVICES_SQL}),
+cc AS ({A.CASE_COMPLETIONS_SQL}),
+j AS (
+  SELECT p.*, cu.* EXCLUDE (customer_id), dv.* EXCLUDE (device_id),
+         cu.customer_id IS NOT NULL AS customer_found, dv.device_id IS NOT NULL AS device_found
+  FROM p LEFT JOIN cu ON p.customer_id = cu.customer_id LEFT JOIN dv ON p.device_id = dv.device_id),
+r AS (
+  SELECT j.*, cc.triage_summary, cc.score_text, cc.investigation_notes
+  FROM j LEFT JOIN cc ON j.txn_id = cc.case_id WHERE customer_found AND device_found),
+h AS (
+  SELECT *,
+    list_filter([CASE WHEN amount > 15000 AND channel = 'ecom' THEN 'RULE:HIGH_AMOUNT_ECOM' END,
+                 CASE WHEN NOT coalesce(seen_before, FALSE) THEN 'RULE:NEW_DEVICE' END,
+                 CASE WHEN country IS DISTINCT FROM home_country THEN 'RULE:GEO_MISMATCH' END],
+                lambda x: x IS NOT NULL) AS rule_hits,
+    regexp_extract(coalesce(score_text, ''), '^\s*(\S+)', 1) AS score_token
+  FROM r),
+s AS (
+  SELECT *, CASE WHEN regexp_matches(score_token, '{rx}') THEN CAST(replace(score_token, '_', '') AS DOUBLE)
+                 ELSE 0.5::DOUBLE END AS model_score
+  FROM h),
+d AS (
+  SELECT *,
+    CASE WHEN isnan(model_score) THEN 'approve' WHEN model_score > 0.75 THEN 'deny'
+         WHEN model_score >= 0.45 THEN 'escalate' ELSE 'approve' END AS decision,
+    NOT isnan(model_score) AND model_score >= 0 AND model_score <= 1 AS score_in_range,
+    CASE WHEN isnan(model_score) OR isinf(model_score) THEN NULL ELSE model_score END AS json_score
+  FROM s)
+"""
+
+
+def _cases(spark: SparkSession, sf_dir: str):
+    return run_case_batch(A.payments(spark, sf_dir), A.customers(spark, sf_dir), A.devices(spark, sf_dir),
+                          A.case_completions(spark, sf_dir), audit_ts=AUDIT_TS)
+
+
+@register("case_enrich", _case_cte() + """
+SELECT txn_id, customer_id, device_id, customer_found, device_found, home_country, seen_before FROM j""")
+def q_case_enrich(spark, sf_dir):
+    df = CS.enrich_cases(A.payments(spark, sf_dir), A.customers(spark, sf_dir), A.devices(spark, sf_dir))
+    return df.select("txn_id", "customer_id", "device_id", "customer_found", "device_found",
+                     "home_country", "seen_before")
+
+
+@register("case_rules", _case_cte() + """
+SELECT txn_id, array_to_string(rule_hits, ',') AS rule_hits, len(rule_hits) AS n_rule_hits FROM d""")
+def q_case_rules(spark, sf_dir):
+    cases, _ = _cases(spark, sf_dir)
+    return cases.select("txn_id", F.array_join("rule_hits", ",").alias("rule_hits"), "n_rule_hits")
+
+
+@register("case_score_parse", _case_cte() + """
+SELECT txn_id, score_text, score_token, json_score AS model_score, isnan(model_score) AS score_is_nan,
+       score_in_range FROM d""")
+def q_case_score_parse(spark, sf_dir):
+    cases, _ = _cases(spark, sf_dir)
+    return cases.select("txn_id", "score_text", "score_token",
+                        CS.json_number(F.col("model_score")).alias("model_score"),
+                        F.isnan("model_score").alias("score_is_nan"), "score_in_range")
+
+
+@register("case_decision", _case_cte() + """
+SELECT txn_id, array_to_string(rule_hits, ',') AS rule_hits, json_score AS model_score, decision FROM d""")
+def q_case_decision(spark, sf_dir):
+    cases, _ = _cases(spark, sf_dir)
+    return cases.select("txn_id", F.array_join("rule_hits", ",").alias("rule_hits"),
+                        CS.json_number(F.col("model_score")).alias("model_score"), "decision")
+
+
+@register("case_errors", _case_cte() + """
+SELECT txn_id, customer_id, device_id,
+       concat_ws(',', CASE WHEN NOT customer_found THEN 'customer' END,
+                      CASE WHEN NOT device_found THEN 'device' END) AS missing
+FROM j WHERE NOT customer_found OR NOT device_found""")
+def q_case_errors(spark, sf_dir):
+    _, errors = _cases(spark, sf_dir)
+    return errors
+
+
+def _struct_sql(cols):
+    return "{" + ", ".join(f"'{c}': {c}" for c in cols) + "}"
+
+
+_AUDIT_PAYLOADS = [
+    "to_json({'summary': triage_summary})",
+    f"to_json({{'customer': {_struct_sql(_CUST_COLS)}, 'device': {_struct_sql(_DEV_COLS)}}})",
+    "to_json({'rule_hits': rule_hits})",
+    "to_json({'score': json_score})",
+    "to_json({'notes': investigation_notes})",
+    "to_json({'decision': decision, 'score': json_score})",
+]
+
+
+@register("case_audit", _case_cte() + " UNION ALL ".join(
+    f"SELECT txn_id, {i + 1}::INTEGER AS seq, '{AUDIT_TS}' AS ts, '{ev}' AS event, {pl} AS payload FROM d"
+    for i, (ev, pl) in enumerate(zip(CS.AUDIT_EVENTS, _AUDIT_PAYLOADS))))
+def q_case_audit(spark, sf_dir):
+    cases, _ = _cases(spark, sf_dir)
+    return CS.audit_table(cases)
+
+
+_PAYMENT_JSON = "to_json(" + _struct_sql(CS.PAYMENT_COLUMNS).replace("'timestamp': timestamp", "'timestamp': \"timestamp\"") + ")"
+
+
+@register("case_prompts", _case_cte() + f"""
+SELECT txn_id AS case_id, 'triage' AS step, '{CS.TRIAGE_PROMPT}' || {_PAYMENT_JSON} AS prompt FROM d
+UNION ALL
+SELECT txn_id, 'model', '{CS.MODEL_PROMPT}' || to_json({{'amount': amount, 'channel': channel,
+       'new_device': NOT coalesce(seen_before, FALSE)}}) FROM d
+UNION ALL
+SELECT txn_id, 'investigator', '{CS.INVESTIGATOR_PROMPT}' || {_PAYMENT_JSON} || ', rules ' || to_json(rule_hits)
+       || ', score ' || CASE WHEN isnan(model_score) THEN 'nan' ELSE CAST(model_score AS VARCHAR) END FROM d""")
+def q_case_prompts(spark, sf_dir):
+    cases, _ = _cases(spark, sf_dir)
+    return CS.case_prompts(cases)

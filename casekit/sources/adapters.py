@@ -248,33 +248,58 @@ PAYMENTS_SQL = """
 SELECT
   'PAY-' || CAST(o_orderkey AS VARCHAR) AS txn_id,
   o_totalprice / 25.0::DOUBLE AS amount,
+  'INR' AS currency,
+  'MERCHANT-' || CAST(o_orderkey % 200 AS VARCHAR) AS merchant,
+  o_orderkey % 1000 + 5000 AS mcc,
   CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'ecom'
        WHEN o_orderpriority = '5-LOW' THEN 'ECOM' ELSE 'pos' END AS channel,
   CASE WHEN o_orderkey % 9 = 0 THEN NULL WHEN o_orderkey % 4 = 0 THEN CAST(o_orderkey % 25 AS VARCHAR)
        ELSE CAST(c_nationkey AS VARCHAR) END AS country,
   CASE WHEN o_orderkey % 50 = 0 THEN o_custkey + 100000000 ELSE o_custkey END AS customer_id,
   o_orderkey % 110 AS device_id,
-  o_orderkey AS record_no
+  '203.0.113.' || CAST(o_orderkey % 256 AS VARCHAR) AS ip,
+  strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS "timestamp",
+  CASE WHEN o_orderkey % 3 = 0 THEN ['velocity_alert'] ELSE []::VARCHAR[] END AS flags
 FROM orders JOIN customer ON o_custkey = c_custkey
 """
 
 CUSTOMERS_SQL = """
-SELECT c_custkey AS customer_id, CAST(c_nationkey AS VARCHAR) AS home_country FROM customer
+SELECT
+  c_custkey AS customer_id,
+  CASE c_custkey % 3 WHEN 0 THEN 'FULL' WHEN 1 THEN 'MIN' ELSE 'NONE' END AS kyc_level,
+  c_mktsegment AS risk_segment,
+  (c_custkey % 100) / 10.0::DOUBLE AS tenure_years,
+  'user' || CAST(c_custkey AS VARCHAR) || '@example.com' AS email,
+  '+1-555-' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') AS phone,
+  CAST(c_nationkey AS VARCHAR) AS home_country,
+  c_acctbal > 9000 AS vip,
+  c_custkey % 3650 AS account_age_days,
+  CAST(trunc(abs(c_acctbal * 10)) AS BIGINT) AS avg_monthly_spend,
+  c_custkey % 4 AS chargeback_count_12m
+FROM customer
 """
 
 DEVICES_SQL = """
-SELECT s_suppkey AS device_id,
-       CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE s_acctbal > 2000 END AS seen_before
+SELECT
+  s_suppkey AS device_id,
+  CASE WHEN s_acctbal > 5000 THEN 'low' ELSE 'high' END AS reputation,
+  CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE s_acctbal > 2000 END AS seen_before,
+  s_suppkey % 11 = 0 AS rooted,
+  s_suppkey % 500 AS distance_km_from_home,
+  '8.' || CAST(s_suppkey % 10 AS VARCHAR) || '.1' AS app_version
 FROM supplier
 """
 
-CASE_SCORES_SQL = (
-    "SELECT 'PAY-' || CAST(o_orderkey AS VARCHAR) AS case_id, CASE o_orderkey % 12 "
+CASE_COMPLETIONS_SQL = (
+    "SELECT 'PAY-' || CAST(o_orderkey AS VARCHAR) AS case_id, "
+    "'Payment PAY-' || CAST(o_orderkey AS VARCHAR) || ' shows unusual amount for merchant.' AS triage_summary, "
+    "CASE o_orderkey % 12 "
     + " ".join(f"WHEN {r} THEN {_sql_str(t)}" for r, t in PAYMENT_SCORE_TEXTS.items())
-    + " END AS text FROM orders WHERE o_orderkey % 12 <> 0"
+    + " END AS score_text, "
+    "'Investigation for PAY-' || CAST(o_orderkey AS VARCHAR) || ': review customer history.' AS investigation_notes "
+    "FROM orders WHERE o_orderkey % 12 <> 0"
 )
 
-
 # --------------------------------------------------------------- events --
 def daily_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily per-customer event counters (the feature job's input shape).
