@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casekit.operators import cases as CS
+from casekit.operators import features as FE
 from casekit.operators import transfers as TR
 from casekit.functions.parse import PY_FLOAT_TOKEN
 from casekit.plans.case_flow import run_case_batch
@@ -392,3 +393,122 @@ SELECT txn_id, 'investigator', '{CS.INVESTIGATOR_PROMPT}' || {_PAYMENT_JSON} ||
 def q_case_prompts(spark, sf_dir):
     cases, _ = _cases(spark, sf_dir)
     return CS.case_prompts(cases)
+
+
+# ======================================================== job C (features) ==
+_LOGIN, _PAY, _EVT = "event_type_login_cnt", "event_type_payment_cnt", "event_cnt"
+_DE = f"({A.DAILY_EVENTS_SQL})"
+
+
+def _r(x: str, places: int = 2) -> str:
+    """Spark ``round`` (half-up on the decimal text of the double) in DuckDB."""
+    return f"CAST(round(CAST({x} AS DECIMAL(38, 12)), {places}) AS DOUBLE)"
+
+
+def _roll_sql(fn: str, col: str, size: int, off: int, part: str, order: str) -> str:
+    hi = "CURRENT ROW" if off == 0 else f"INTERVAL {off} DAYS PRECEDING"
+    expr = (f"{fn}({col}) OVER (PARTITION BY {part} ORDER BY {order} "
+            f"RANGE BETWEEN INTERVAL {size - 1 + off} DAYS PRECEDING AND {hi})")
+    name = f"{fn}_{col}_{size}d" + (f"_off{off}" if off else "")
+    return f"{expr if fn == 'count' else _r(expr)} AS {name}"
+
+
+def _daily(spark, sf_dir):
+    return A.daily_events(spark, sf_dir)
+
+
+def _date_text(df: DataFrame) -> DataFrame:
+    return df.withColumn("business_date", F.col("business_date").cast("string"))
+
+
+@register("daily_events", f"""
+SELECT customer_id, CAST(business_date AS VARCHAR) AS business_date, {_EVT}, {_LOGIN}, {_PAY} FROM {_DE}""")
+def q_daily_events(spark, sf_dir):
+    return _date_text(_daily(spark, sf_dir))
+
+
+_GLOBAL_FUNCS = ["sum", "avg", "count", "min", "max", "stddev"]
+_GLOBAL_COLS = [_EVT, _LOGIN, _PAY]
+
+
+@register("base_agg_global", "SELECT " + ", ".join(
+    (f"{fn}({c}) AS {fn}_{c}" if fn == "count" else f"{_r(f'{fn}({c})')} AS {fn}_{c}")
+    for fn in _GLOBAL_FUNCS for c in _GLOBAL_COLS) + f" FROM {_DE}")
+def q_base_agg_global(spark, sf_dir):
+    return FE.base_aggregations(_daily(spark, sf_dir), _GLOBAL_FUNCS, _GLOBAL_COLS)
+
+
+@register("base_agg_grouped", f"SELECT customer_id, {_r(f'avg({_EVT})')} AS avg_{_EVT} FROM {_DE} GROUP BY customer_id")
+def q_base_agg_grouped(spark, sf_dir):
+    return FE.base_aggregations(_daily(spark, sf_dir), "avg", [_EVT], ["customer_id"])
+
+
+@register("base_agg_attach", f"""
+SELECT customer_id, CAST(business_date AS VARCHAR) AS business_date, {_EVT},
+       {_r(f'avg({_EVT}) OVER (PARTITION BY customer_id)')} AS avg_{_EVT} FROM {_DE}""")
+def q_base_agg_attach(spark, sf_dir):
+    df = _daily(spark, sf_dir).select("customer_id", "business_date", _EVT)
+    return _date_text(FE.base_aggregations(df, "avg", [_EVT], ["customer_id"], mode="attach"))
+
+
+_ROLL_FUNCS, _ROLL_COLS, _ROLL_SIZES = ["sum", "avg", "count"], [_LOGIN, _PAY], [7, 3]
+
+
+@register("rolling_7_3", "SELECT customer_id, CAST(business_date AS VARCHAR) AS business_date, " + ", ".join(
+    _roll_sql(fn, c, w, 0, "customer_id", "business_date")
+    for w in _ROLL_SIZES for fn in _ROLL_FUNCS for c in _ROLL_COLS) + f" FROM {_DE}")
+def q_rolling_7_3(spark, sf_dir):
+    df = _daily(spark, sf_dir).select("customer_id", "business_date", *_ROLL_COLS)
+    out = FE.rolling_window_aggregations(df, ["customer_id"], "business_date", _ROLL_FUNCS, _ROLL_COLS, _ROLL_SIZES)
+    return _date_text(out).drop(*_ROLL_COLS)
+
+
+@register("rolling_offset", "SELECT customer_id, CAST(business_date AS VARCHAR) AS business_date, "
+          + _roll_sql("avg", _EVT, 7, 2, "customer_id", "business_date") + ", "
+          + _roll_sql("count", _EVT, 7, 2, "customer_id", "business_date") + f" FROM {_DE}")
+def q_rolling_offset(spark, sf_dir):
+    df = _daily(spark, sf_dir).select("customer_id", "business_date", _EVT)
+    out = FE.rolling_window_aggregations(df, ["customer_id"], "business_date", ["avg", "count"], [_EVT], [7],
+                                         window_offset=2)
+    return _date_text(out).drop(_EVT)
+
+
+@register("daily_totals", f"""
+SELECT customer_id, CAST(business_date AS VARCHAR) AS business_date,
+       {_r(f'sum({_LOGIN})')} AS sum_{_LOGIN}, {_r(f'sum({_PAY})')} AS sum_{_PAY},
+       {_r(f'coalesce({_r(f"sum({_LOGIN})")}, 0) + coalesce({_r(f"sum({_PAY})")}, 0)')} AS total_event_cnt
+FROM {_DE} GROUP BY customer_id, business_date""")
+def q_daily_totals(spark, sf_dir):
+    return _date_text(FE.daily_totals(_daily(spark, sf_dir), ["customer_id"], "business_date", [_LOGIN, _PAY]))
+
+
+_CHAIN = [
+    FE.Rolling(["customer_id"], "business_date", ["sum", "avg"], [_LOGIN, _PAY], [7, 2]),
+    FE.BaseAgg("avg", [_EVT], ["customer_id"], mode="attach"),
+]
+
+
+@register("feature_chain", "SELECT customer_id, CAST(business_date AS VARCHAR) AS business_date, "
+          + f"{_EVT}, {_LOGIN}, {_PAY}, "
+          + ", ".join(_roll_sql(fn, c, w, 0, "customer_id", "business_date")
+                      for w in [7, 2] for fn in ["sum", "avg"] for c in [_LOGIN, _PAY])
+          + f", {_r(f'avg({_EVT}) OVER (PARTITION BY customer_id)')} AS avg_{_EVT} FROM {_DE}")
+def q_feature_chain(spark, sf_dir):
+    return _date_text(FE.build_features(_daily(spark, sf_dir), _CHAIN))
+
+
+_RAW_FUNCS = ["sum", "avg", "count", "max"]
+
+
+@register("rolling_events_daily", "SELECT event_id, user_id, " + ", ".join(
+    _roll_sql(fn, "value", w, 0, "user_id", "CAST(ts AS DATE)") for w in [7, 1] for fn in _RAW_FUNCS)
+    + " FROM (SELECT event_id, user_id, ts, CAST(value AS DECIMAL(18, 2)) AS value FROM events)")
+def q_rolling_events_daily(spark, sf_dir):
+    # Amounts with two decimals are summed as decimals: exact, so equal
+    # whatever order the partial sums combine in.
+    ev = (A.read_table(spark, sf_dir, "events", "event_id", "user_id", "ts", "value")
+          .withColumn("value", F.col("value").cast("decimal(18,2)")))
+    out = FE.rolling_window_aggregations(ev, ["user_id"], "ts", _RAW_FUNCS, ["value"], [7, 1], pre_aggregate=True)
+    feats = [c for c in out.columns if c not in ("event_id", "user_id", "ts", "value")]
+    return out.select("event_id", "user_id",
+                      *[F.col(c).cast("long" if c.startswith("count_") else "double").alias(c) for c in feats])

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casekit.schemas import TRANSFER_COLUMNS, TRANSFER_TEXT
-from casekit.sources.tables import read_table
+from casekit.sources.tables import read_table  # noqa: F401  (re-exported)
 
 
 def _iso(ts: str) -> Column:
