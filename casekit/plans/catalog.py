@@ -15,7 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casekit.operators import cases as CS
+from casekit.operators import documents as DOC
 from casekit.operators import features as FE
+from casekit.operators import vectors as VEC
 from casekit.operators import transfers as TR
 from casekit.functions.parse import PY_FLOAT_TOKEN
 from casekit.plans.case_flow import run_case_batch
@@ -512,3 +514,121 @@ def q_rolling_events_daily(spark, sf_dir):
     feats = [c for c in out.columns if c not in ("event_id", "user_id", "ts", "value")]
     return out.select("event_id", "user_id",
                       *[F.col(c).cast("long" if c.startswith("count_") else "double").alias(c) for c in feats])
+
+
+# ======================================================= job D (documents) ==
+_DIMS = 64
+
+
+def _chunks_sql(size: int = DOC.CHUNK_SIZE, overlap: int = DOC.CHUNK_OVERLAP) -> str:
+    step = size - overlap
+    return f"""
+SELECT doc_id, CAST(s // {step} AS INTEGER) AS chunk_id, CAST(s AS INTEGER) AS start,
+       substring(text, s + 1, {size}) AS chunk_text
+FROM documents, unnest(generate_series(0, greatest(length(text) - {overlap + 1}, 0), {step})) AS u(s)
+WHERE length(text) > 0"""
+
+
+def _bucket_sql(text: str, dims: int = _DIMS) -> str:
+    tokens = f"list_filter(string_split_regex(lower(coalesce({text}, '')), '[^a-z0-9]+'), lambda t: t <> '')"
+    return f"list_transform({tokens}, lambda t: CAST(('0x' || substr(md5(t), 1, 2)) AS INTEGER) % {dims})"
+
+
+def _count_sql(buckets: str, dims: int = _DIMS) -> str:
+    return f"list_transform(range({dims}), lambda i: CAST(len(list_filter({buckets}, lambda x: x = i)) AS DOUBLE))"
+
+
+def _normalized_sql(counts: str) -> str:
+    norm = f"sqrt(list_sum(list_transform({counts}, lambda x: x * x)))"
+    return f"CASE WHEN {norm} > 0 THEN list_transform({counts}, lambda x: x / {norm}) ELSE {counts} END"
+
+
+def _vector_ctes(prefix: str, source: str, text: str, keys: str) -> str:
+    """Materialised stages: token buckets, counts, normalised vector ``v``."""
+    return (f"{prefix}b AS MATERIALIZED (SELECT {keys}, {_bucket_sql(text)} AS b FROM {source}), "
+            f"{prefix}n AS MATERIALIZED (SELECT {keys}, b, {_count_sql('b')} AS cnt FROM {prefix}b), "
+            f"{prefix}v AS MATERIALIZED (SELECT {keys}, b, cnt, {_normalized_sql('cnt')} AS v FROM {prefix}n)")
+
+
+def _fixed_chunks(spark, sf_dir):
+    return DOC.chunk_documents(A.read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def _chunk_summary(df: DataFrame) -> DataFrame:
+    return df.select("doc_id", "chunk_id", "start", F.length("chunk_text").alias("chunk_len"),
+                     F.md5("chunk_text").alias("chunk_md5"))
+
+
+@register("chunks_fixed", f"""
+SELECT doc_id, chunk_id, start, CAST(length(chunk_text) AS INTEGER) AS chunk_len, md5(chunk_text) AS chunk_md5
+FROM ({_chunks_sql()})""")
+def q_chunks_fixed(spark, sf_dir):
+    return _chunk_summary(_fixed_chunks(spark, sf_dir))
+
+
+@register("chunks_boundary")
+def q_chunks_boundary(spark, sf_dir):
+    docs = A.read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return _chunk_summary(DOC.chunk_documents_boundary(docs))
+
+
+@register("chunk_vectors", f"""
+WITH c AS MATERIALIZED ({_chunks_sql()}),
+{_vector_ctes('c', 'c', 'chunk_text', 'doc_id, chunk_id')}
+SELECT doc_id, chunk_id, CAST(len(b) AS BIGINT) AS n_terms,
+       array_to_string(list_transform(v, lambda x: printf('%.6f', x)), ',') AS vector_text
+FROM cv""")
+def q_chunk_vectors(spark, sf_dir):
+    ch = _fixed_chunks(spark, sf_dir)
+    b = DOC.term_buckets(F.col("chunk_text"), _DIMS)
+    vec = DOC.hashed_term_vector(F.col("chunk_text"), _DIMS)
+    return ch.select("doc_id", "chunk_id", F.size(b).cast("long").alias("n_terms"),
+                     F.array_join(F.transform(vec, lambda x: F.call_function("format_number", x, F.lit("0.000000"))),
+                                  ",").alias("vector_text"))
+
+
+@register("knn_top3", """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+p AS (
+  SELECT a.vec_id AS query_id, b.vec_id AS neighbor_id,
+         list_sum(list_transform(list_zip(a.e, b.e), lambda x: (x[1] - x[2]) * (x[1] - x[2]))) AS d
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, neighbor_id) AS rank FROM p)
+SELECT query_id, neighbor_id, CAST(rank AS INTEGER) AS rank, round(d, 4) AS distance FROM r WHERE rank <= 3""")
+def q_knn_top3(spark, sf_dir):
+    emb = A.read_table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    res = VEC.similarity_search(emb.withColumnRenamed("vec_id", "query_id"), emb, k=DOC.TOP_K,
+                                query_id="query_id", query_vec="embedding", item_cols="vec_id",
+                                item_vec="embedding", metric="l2", exclude_self=True)
+    return res.select("query_id", F.col("vec_id").alias("neighbor_id"), "rank",
+                      F.round("score", 4).alias("distance"))
+
+
+@register("search_context", f"""
+WITH c AS MATERIALIZED ({_chunks_sql()}),
+{_vector_ctes('c', 'c', 'chunk_text', 'doc_id, chunk_id, chunk_text')},
+{_vector_ctes('q', 'benchmark', 'text', 'item_id')},
+p AS (SELECT qv.item_id, cv.doc_id, cv.chunk_id, cv.chunk_text, list_inner_product(qv.v, cv.v) AS s FROM qv, cv),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY s DESC, doc_id, chunk_id) AS rank FROM p)
+SELECT item_id AS query_id,
+       md5(string_agg(chunk_text, chr(10) || chr(10) ORDER BY rank)) AS context_md5,
+       string_agg(CAST(doc_id AS VARCHAR) || ':' || CAST(chunk_id AS VARCHAR), ',' ORDER BY rank) AS top_chunks,
+       round(max(s), 6) AS best_score
+FROM r WHERE rank <= 3 GROUP BY item_id""")
+def q_search_context(spark, sf_dir):
+    chunks = _fixed_chunks(spark, sf_dir)
+    corpus = DOC.vectorize_chunks(chunks.select("doc_id", "chunk_id", "chunk_text"), _DIMS)
+    bench = A.read_table(spark, sf_dir, "benchmark", "item_id", "text")
+    queries = bench.select(F.col("item_id").alias("query_id"),
+                           DOC.hashed_term_vector(F.col("text"), _DIMS).alias("vector"))
+    top = VEC.similarity_search(queries, corpus.select("doc_id", "chunk_id", "vector"), k=DOC.TOP_K,
+                                item_cols=["doc_id", "chunk_id"], metric="dot")
+    ranked = top.join(chunks, ["doc_id", "chunk_id"])
+    ctx = DOC.assemble_context(ranked)
+    meta = (top.groupBy("query_id")
+            .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id", "chunk_id"))),
+                                          lambda x: F.concat_ws(":", x["doc_id"].cast("string"),
+                                                                x["chunk_id"].cast("string"))), ",").alias("top_chunks"),
+                 F.round(F.max("score"), 6).alias("best_score")))
+    return ctx.join(meta, "query_id").select("query_id", F.md5("context").alias("context_md5"),
+                                             "top_chunks", "best_score")
