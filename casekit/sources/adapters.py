@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from casekit.functions.parallel import spread
 from casekit.schemas import TRANSFER_COLUMNS, TRANSFER_TEXT
 from casekit.sources.tables import read_table  # noqa: F401  (re-exported)
 
@@ -27,8 +28,8 @@ def _s(c: Column) -> Column:
 # ------------------------------------------------------------ transfers --
 def transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed transfer records: ``orders`` joined to ``customer``."""
-    o = read_table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus",
-                   "o_totalprice", "o_orderdate")
+    o = spread(read_table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus",
+                          "o_totalprice", "o_orderdate"))
     c = read_table(spark, sf_dir, "customer", "c_custkey", "c_acctbal")
     j = o.join(c, o["o_custkey"] == c["c_custkey"])
     k, ck = F.col("o_orderkey"), F.col("o_custkey")
@@ -170,8 +171,8 @@ PAYMENT_SCORE_TEXTS = {
 
 
 def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = read_table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_totalprice",
-                   "o_orderdate", "o_orderpriority")
+    o = spread(read_table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_totalprice",
+                          "o_orderdate", "o_orderpriority"))
     c = read_table(spark, sf_dir, "customer", "c_custkey", "c_nationkey")
     j = o.join(c, o["o_custkey"] == c["c_custkey"])
     k, ck, pr = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderpriority")
