@@ -15,8 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casekit.operators import cases as CS
+from casekit.operators import derived as DER
 from casekit.operators import documents as DOC
 from casekit.operators import features as FE
+from casekit.operators import tools as TOOLS
 from casekit.operators import vectors as VEC
 from casekit.operators import transfers as TR
 from casekit.functions.parse import PY_FLOAT_TOKEN
@@ -632,3 +634,32 @@ def q_search_context(spark, sf_dir):
                  F.round(F.max("score"), 6).alias("best_score")))
     return ctx.join(meta, "query_id").select("query_id", F.md5("context").alias("context_md5"),
                                              "top_chunks", "best_score")
+
+
+# ================================================== tool + derived inputs ==
+@register("product", "SELECT l_orderkey, l_linenumber, l_partkey * l_suppkey AS product FROM lineitem")
+def q_product(spark, sf_dir):
+    li = A.read_table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return li.select("l_orderkey", "l_linenumber", TOOLS.multiply("l_partkey", "l_suppkey").alias("product"))
+
+
+@register("event_velocity", """
+SELECT event_id, user_id,
+  count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 3600000000 PRECEDING AND 1 PRECEDING)
+    AS count_prev_3600s,
+  count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 86400000000 PRECEDING AND 1 PRECEDING)
+    AS count_prev_86400s
+FROM events""")
+def q_event_velocity(spark, sf_dir):
+    ev = A.read_table(spark, sf_dir, "events", "event_id", "user_id", "ts")
+    return DER.trailing_counts(ev, "user_id", "ts", [3600, 86400]).drop("ts")
+
+
+@register("first_seen", """
+SELECT event_id, user_id, event_type,
+  CAST(date_diff('day', min(CAST(ts AS DATE)) OVER (PARTITION BY user_id, event_type), CAST(ts AS DATE)) AS INTEGER)
+    AS first_seen_days
+FROM events""")
+def q_first_seen(spark, sf_dir):
+    ev = A.read_table(spark, sf_dir, "events", "event_id", "user_id", "event_type", "ts")
+    return DER.first_seen_days(ev, ["user_id", "event_type"], "ts").drop("ts")
