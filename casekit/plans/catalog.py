@@ -166,7 +166,7 @@ def q_transfer_enrich(spark, sf_dir):
 
 @register("transfer_rules", _transfer_cte(False) + """
 SELECT txn_id, array_to_string(list_sort(flag_names), ',') AS flags,
-       array_to_string(reasons, ' | ') AS reasons, n_flags, rule_score FROM d""")
+       array_to_string(reasons, ' | ') AS reasons, CAST(n_flags AS INTEGER) AS n_flags, rule_score FROM d""")
 def q_transfer_rules(spark, sf_dir):
     df = A.transfers(spark, sf_dir).transform(TR.enrich_transfers).transform(TR.score_rules)
     return df.select("txn_id", F.array_join(F.array_sort(F.map_keys("flags")), ",").alias("flags"),
@@ -327,7 +327,7 @@ def q_case_enrich(spark, sf_dir):
 
 
 @register("case_rules", _case_cte() + """
-SELECT txn_id, array_to_string(rule_hits, ',') AS rule_hits, len(rule_hits) AS n_rule_hits FROM d""")
+SELECT txn_id, array_to_string(rule_hits, ',') AS rule_hits, CAST(len(rule_hits) AS INTEGER) AS n_rule_hits FROM d""")
 def q_case_rules(spark, sf_dir):
     cases, _ = _cases(spark, sf_dir)
     return cases.select("txn_id", F.array_join("rule_hits", ",").alias("rule_hits"), "n_rule_hits")
@@ -376,7 +376,7 @@ _AUDIT_PAYLOADS = [
 
 
 @register("case_audit", _case_cte() + " UNION ALL ".join(
-    f"SELECT txn_id, {i + 1}::INTEGER AS seq, '{AUDIT_TS}' AS ts, '{ev}' AS event, {pl} AS payload FROM d"
+    f"SELECT txn_id, {i + 1}::INTEGER AS seq, '{AUDIT_TS}' AS ts, '{ev}' AS event, CAST({pl} AS VARCHAR) AS payload FROM d"
     for i, (ev, pl) in enumerate(zip(CS.AUDIT_EVENTS, _AUDIT_PAYLOADS))))
 def q_case_audit(spark, sf_dir):
     cases, _ = _cases(spark, sf_dir)
