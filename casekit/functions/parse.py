@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from casekit.functions.text import split_lines, strip
+from casekit.functions.text import strip
 
 # Python's float() grammar for one token: digits with single '_' separators,
 # optional fraction and exponent, or inf/infinity/nan, each with a sign.
@@ -30,14 +30,21 @@ def leading_float(col: Column | str, default: float) -> Column:
     return F.when(tok.rlike(PY_FLOAT_TOKEN), parsed).otherwise(F.lit(float(default)))
 
 
+# Line terminators of str.splitlines() that Java's \R also knows.
+_EOL = r"\n\x0B\f\r\x{85}\x{2028}\x{2029}"
+
+
 def last_prefixed_line(col: Column | str, prefix: str) -> Column:
     """The value after ``prefix`` on the last line that starts with it.
 
     Lines are compared stripped and upper-cased; every occurrence of the
     prefix is removed from the hit and the rest stripped.  No hit -> ''.
+    One regex does the scan: the greedy ``.*`` makes the match the *last*
+    such line, and regex extraction stays in whole-stage codegen (a
+    split/filter over lines would need lambdas, which do not).
     """
     c = F.col(col) if isinstance(col, str) else col
-    lines = F.reverse(split_lines(F.coalesce(c, F.lit(""))))
-    norm = F.transform(lines, lambda l: F.upper(strip(l)))
-    hit = F.get(F.filter(norm, lambda l: l.startswith(prefix)), 0)
-    return F.coalesce(strip(F.replace(hit, F.lit(prefix), F.lit(""))), F.lit(""))
+    quoted = "".join("\\" + ch if not ch.isalnum() else ch for ch in prefix)
+    pattern = rf"(?s)^.*(?:^|[{_EOL}])[ \t]*(?i:{quoted})([^{_EOL}]*)"
+    rest = F.regexp_extract(F.coalesce(c, F.lit("")), pattern, 1)
+    return strip(F.replace(F.upper(rest), F.lit(prefix.upper()), F.lit("")))

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from casekit.functions.parse import PY_FLOAT_TOKEN, last_prefixed_line
 from casekit.functions.text import contains_any, empty_to, fixed, py_round
-from casekit.operators.rules import Rule, apply_rules
+from casekit.operators.rules import Rule, apply_rules, compact
 from casekit.schemas import CORRUPT_COLUMN, TRANSFER_COLUMNS, TRANSFER_FIELDS
 
 # ---------------------------------------------------------------------------
@@ -98,30 +98,35 @@ def validate_transfers(df: DataFrame, keep: list[str] | None = None) -> tuple[Da
     lazily shared projection; nothing is collected.
     """
     keep = [c for c in (keep or []) if c in df.columns]
-    typed, checks = {}, []
+    typed, checks, hard = {}, [], []
     for name, dtype, required in TRANSFER_FIELDS:
         value, present = _typed_field(df, name, dtype)
         typed[name] = value
         if required:
             checks.append(F.when(~present, F.lit(f"{name}: missing"))
                           .when(value.isNull(), F.lit(f"{name}: not a valid {dtype.simpleString()}")))
+            hard.append(value.isNull())
         else:
             checks.append(F.when(present & value.isNull(),
                                  F.lit(f"{name}: not a valid {dtype.simpleString()} (set to null)")))
-    checks.append(F.when(F.isnan(typed["amount"]), F.lit("amount: NaN")))
+    nan_amount = F.isnan(typed["amount"])
+    checks.append(F.when(nan_amount, F.lit("amount: NaN")))
+    hard.append(nan_amount)
     corrupt = F.col(CORRUPT_COLUMN).isNotNull() if CORRUPT_COLUMN in df.columns else F.lit(False)
-    reasons = F.when(corrupt, F.array(F.lit("malformed record"))).otherwise(F.array_compact(F.array(*checks)))
+    reasons = F.when(corrupt, F.array(F.lit("malformed record"))).otherwise(compact(checks))
+    is_hard = corrupt
+    for h in hard:
+        is_hard = is_hard | F.coalesce(h, F.lit(False))
     staged = df.select(
         *keep,
         *[F.col(n).alias(f"__raw_{n}") if n in df.columns else F.lit(None).cast("string").alias(f"__raw_{n}")
           for n in TRANSFER_COLUMNS],
         *[v.alias(n) for n, v in typed.items()],
         reasons.alias("__reasons"),
-        corrupt.alias("__corrupt"),
+        is_hard.alias("__hard"),
     )
-    hard = F.exists("__reasons", lambda r: ~r.endswith("(set to null)"))
-    valid = staged.filter(~hard).select(*keep, *TRANSFER_COLUMNS)
-    rejected = staged.filter(hard).select(
+    valid = staged.filter(~F.col("__hard")).select(*keep, *TRANSFER_COLUMNS)
+    rejected = staged.filter(F.col("__hard")).select(
         *keep,
         *[F.col(f"__raw_{n}").cast("string").alias(n) for n in TRANSFER_COLUMNS],
         F.col("__reasons").alias("reject_reasons"),
