@@ -11,6 +11,7 @@ without duplicating output.
 
 from __future__ import annotations
 
+import hashlib
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,15 +49,22 @@ def read_text_stream(spark: SparkSession, source_dir: str, max_files_per_trigger
 def start_transfer_scoring(spark: SparkSession, source_dir: str, output_dir: str,
                            completions: DataFrame | None = None, run_id: str = "",
                            available_now: bool = False, name: str = "transfer_scoring",
+                           checkpoint_location: str | None = None,
                            ) -> tuple[StreamingQuery, StreamingQuery]:
-    """Start the two append queries (reports, rejects) writing parquet."""
+    """Start the two append queries (reports, rejects) writing parquet.
+
+    Progress is kept per (source, sink) pair -- by default under the
+    session's checkpoint folder, keyed by both paths -- so restarting the
+    same job resumes it and a different job never picks up its offsets.
+    """
     reports, rejects = score_text_records(read_text_stream(spark, source_dir), completions, run_id)
-    ckpt = checkpoint_dir(spark)
+    job = hashlib.sha1(f"{source_dir}|{output_dir}".encode()).hexdigest()[:16]
+    ckpt = checkpoint_location or os.path.join(checkpoint_dir(spark), name, job)
     queries = []
     for label, df in (("reports", reports), ("rejects", rejects)):
         w = (df.writeStream.format("parquet").outputMode("append")
              .option("path", os.path.join(output_dir, label))
-             .option("checkpointLocation", os.path.join(ckpt, name, label))
+             .option("checkpointLocation", os.path.join(ckpt, label))
              .queryName(f"{name}_{label}"))
         w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="5 seconds")
         queries.append(w.start())
