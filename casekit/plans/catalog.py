@@ -26,6 +26,7 @@ from casekit.plans.case_flow import run_case_batch
 from casekit.plans.transfer_flow import score_transfers
 from casekit.schemas import TRANSFER_COLUMNS  # noqa: F401
 from casekit.sources import adapters as A
+from casekit.sources import sinks as SINKS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -663,3 +664,36 @@ FROM events""")
 def q_first_seen(spark, sf_dir):
     ev = A.read_table(spark, sf_dir, "events", "event_id", "user_id", "event_type", "ts")
     return DER.first_seen_days(ev, ["user_id", "event_type"], "ts").drop("ts")
+
+
+# ======================================================= sinks (S4 / S5) ==
+_ENRICH_JSON = ("{'is_external': is_external, 'is_new_beneficiary': is_new_beneficiary, "
+                "'device_known': device_known, 'geo_risk': geo_risk, 'memo_risky': memo_risky, "
+                "'velocity': {'out_1h': out_1h, 'out_24h': out_24h}, 'prior_fraud': prior_fraud, "
+                "'is_young_customer': is_young_customer, 'origin_tenure_days': origin_tenure_days, "
+                "'beneficiary_tenure_days': beneficiary_tenure_days, 'destination_country': dest_country}")
+
+
+@register("transfer_report_json", _transfer_cte(True) + f"""
+SELECT case_id, txn_id, CAST(to_json({{
+    'case_id': case_id, 'txn_id': txn_id, 'created_at': '{CREATED_AT}',
+    'enrichment': {_ENRICH_JSON},
+    'rules': {{'flags': map_from_entries(list_transform(flag_names, lambda x: {{'k': x, 'v': TRUE}})),
+               'reasons': reasons, 'rule_score': rule_score}},
+    'ml_score': ml_score, 'investigator_notes': investigator_notes,
+    'decision': {{'verdict': verdict, 'reasons': decision_reasons, 'score': decision_score,
+                  'sla_priority': sla_priority}},
+    'summary': summary}}) AS VARCHAR) AS report_json
+FROM d""")
+def q_transfer_report_json(spark, sf_dir):
+    return TR.report_json(_scored(spark, sf_dir, True))
+
+
+@register("case_listing", _case_cte() + """
+SELECT txn_id AS case_id, decision,
+       CASE WHEN isnan(model_score) THEN 'nan' ELSE CAST(model_score AS VARCHAR) END AS model_score,
+       array_to_string(rule_hits, ',') AS rule_hits,
+       investigation_notes FROM d""")
+def q_case_listing(spark, sf_dir):
+    cases, _ = _cases(spark, sf_dir)
+    return SINKS.case_listing(cases)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from casekit.operators.cases import py_float_text
 from casekit.operators.transfers import report_json
 
 
@@ -20,8 +21,9 @@ def write_case_reports(scored: DataFrame, path: str, fmt: str = "json", mode: st
 
 
 def case_listing(cases: DataFrame) -> DataFrame:
-    """Per payment case: id, decision, score, rule hits and notes."""
-    return cases.select(F.col("txn_id").alias("case_id"), "decision", "model_score",
+    """Per payment case: id, decision, score (as Python prints it), rule hits and notes."""
+    return cases.select(F.col("txn_id").alias("case_id"), "decision",
+                        py_float_text(F.col("model_score")).alias("model_score"),
                         F.array_join("rule_hits", ",").alias("rule_hits"), "investigation_notes")
 
 
