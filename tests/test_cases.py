@@ -78,3 +78,13 @@ def test_first_per_key_is_deterministic(spark):
     df = spark.createDataFrame([(1, "b", 2), (1, "a", 9), (2, "c", 1), (1, "a", 3)], "k int, s string, v int")
     out = {r.k: (r.s, r.v) for r in C.first_per_key(df, "k").collect()}
     assert out == {1: ("a", 3), 2: ("c", 1)}
+
+
+def test_checkpointed_batch_matches(spark):
+    plain, plain_err = _batch(spark)
+    from casekit.schemas import CUSTOMER, DEVICE, PAYMENT
+    cp, cp_err = run_case_batch(spark.createDataFrame(PAYMENTS, PAYMENT), spark.createDataFrame(CUSTOMERS, CUSTOMER),
+                                spark.createDataFrame(DEVICES, DEVICE), None, audit_ts="T", checkpoint=True)
+    cols = ["txn_id", "decision", "model_score"]
+    assert sorted(cp.select(*cols).collect()) == sorted(plain.select(*cols).collect())
+    assert sorted(cp_err.collect()) == sorted(plain_err.collect())
