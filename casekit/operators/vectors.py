@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -95,8 +96,12 @@ def similarity_search(queries: DataFrame, corpus: DataFrame, k: int = 3,
     spark = queries.sparkSession
     q = queries.select(F.col(query_id), F.col(query_vec).cast("array<double>").alias("__qv")) \
         .filter(F.col("__qv").isNotNull())
+    # The size check and the batch collects read the query vectors; keep them
+    # once (memory, spilling to disk) instead of recomputing them per job.
+    q = q.persist(StorageLevel.MEMORY_AND_DISK)
     n, dims = q.agg(F.count(F.lit(1)), F.max(F.size("__qv"))).first()
     if not n:
+        q.unpersist()
         return _empty(queries, corpus, query_id, items)
     size = n * ((dims or 0) * 8 + 16)
     n_batches = max(1, math.ceil(size / max_batch_bytes))
@@ -118,6 +123,7 @@ def similarity_search(queries: DataFrame, corpus: DataFrame, k: int = 3,
             ids_, Q_ = bq.value
             return _partial_topk(ids_, Q_, k, metric, items, item_vec, query_id, exclude_self)(batches)
         parts.append(c.mapInPandas(run, out_schema))
+    q.unpersist()
     cand = parts[0]
     for p in parts[1:]:
         cand = cand.unionByName(p)

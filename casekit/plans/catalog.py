@@ -23,6 +23,7 @@ from casekit.operators import vectors as VEC
 from casekit.operators import transfers as TR
 from casekit.functions.parse import PY_FLOAT_TOKEN
 from casekit.plans.case_flow import run_case_batch
+from casekit.plans.search_flow import search_documents
 from casekit.plans.transfer_flow import score_transfers
 from casekit.schemas import TRANSFER_COLUMNS  # noqa: F401
 from casekit.sources import adapters as A
@@ -619,22 +620,11 @@ SELECT item_id AS query_id,
        round(max(s), 6) AS best_score
 FROM r WHERE rank <= 3 GROUP BY item_id""")
 def q_search_context(spark, sf_dir):
-    chunks = _fixed_chunks(spark, sf_dir)
-    corpus = DOC.vectorize_chunks(chunks.select("doc_id", "chunk_id", "chunk_text"), _DIMS)
+    docs = A.read_table(spark, sf_dir, "documents", "doc_id", "text")
     bench = A.read_table(spark, sf_dir, "benchmark", "item_id", "text")
-    queries = bench.select(F.col("item_id").alias("query_id"),
-                           DOC.hashed_term_vector(F.col("text"), _DIMS).alias("vector"))
-    top = VEC.similarity_search(queries, corpus.select("doc_id", "chunk_id", "vector"), k=DOC.TOP_K,
-                                item_cols=["doc_id", "chunk_id"], metric="dot")
-    ranked = top.join(chunks, ["doc_id", "chunk_id"])
-    ctx = DOC.assemble_context(ranked)
-    meta = (top.groupBy("query_id")
-            .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id", "chunk_id"))),
-                                          lambda x: F.concat_ws(":", x["doc_id"].cast("string"),
-                                                                x["chunk_id"].cast("string"))), ",").alias("top_chunks"),
-                 F.round(F.max("score"), 6).alias("best_score")))
-    return ctx.join(meta, "query_id").select("query_id", F.md5("context").alias("context_md5"),
-                                             "top_chunks", "best_score")
+    res = search_documents(docs, bench.withColumnRenamed("item_id", "query_id"), k=DOC.TOP_K, dims=_DIMS)
+    return res.select("query_id", F.md5("context").alias("context_md5"), "top_chunks",
+                      F.round("best_score", 6).alias("best_score"))
 
 
 # ================================================== tool + derived inputs ==
