@@ -38,30 +38,12 @@ def strip(col: Column | str) -> Column:
     return F.regexp_replace(c, _WS_EDGES, "")
 
 
-def split_lines(col: Column | str) -> Column:
-    """Python ``str.splitlines()``: CR-LF and every single line break."""
-    c = F.col(col) if isinstance(col, str) else col
-    return F.split(c, r"\R", -1)
-
-
-def or_default(col: Column | str, default) -> Column:
-    """Python ``x or default`` for a nullable scalar (null, '' or 0 -> default)."""
-    c = F.col(col) if isinstance(col, str) else col
-    return F.coalesce(c, F.lit(default))
-
-
 def empty_to(col: Column | str, default: str) -> Column:
     """Python ``s or default`` for text: null and '' both give ``default``."""
     c = F.col(col) if isinstance(col, str) else col
     return F.coalesce(F.nullif(c, F.lit("")), F.lit(default))
 
 
-def truthy(col: Column | str) -> Column:
-    """Python truthiness of a nullable value as a non-null boolean."""
-    c = F.col(col) if isinstance(col, str) else col
-    return F.coalesce(c.cast("boolean"), F.lit(False))
-
-
 def contains_any(col: Column | str, words: list[str]) -> Column:
     """True when any of ``words`` is a substring of ``col`` (null -> false)."""
     c = F.col(col) if isinstance(col, str) else col

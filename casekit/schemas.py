@@ -66,15 +66,3 @@ DEVICE = T.StructType([
     T.StructField("rooted", B), T.StructField("distance_km_from_home", L),
     T.StructField("app_version", S),
 ])
-
-# Model text enters as a table keyed by case and step.
-COMPLETION = T.StructType([
-    T.StructField("case_id", S), T.StructField("step", S), T.StructField("text", S),
-])
-
-DOCUMENT = T.StructType([T.StructField("doc_id", L), T.StructField("text", S)])
-
-CHUNK = T.StructType([
-    T.StructField("doc_id", L), T.StructField("chunk_id", I),
-    T.StructField("start", I), T.StructField("chunk_text", S),
-])
