@@ -13,10 +13,11 @@ Scale notes
   back -- a broadcast hash join when AQE sees it is small, else a sort-merge
   join whose skewed partitions AQE splits.  Without keys the aggregate is a
   scalar subquery.
-* Rolling windows sort each key's rows by day.  On daily input a key has at
-  most one row per day, so no task grows with the data.  For raw event rows
-  ``pre_aggregate=True`` first combines rows to (key, day) partials (map-side),
-  windows over those, and joins the results back on (key, day).
+* Rolling windows by default first combine rows to (key, day) partials
+  (map-side), window over those -- at most one row per key and day, so no
+  task grows with a hot key -- and join the results back on (key, day).
+  ``pre_aggregate=False`` windows the rows directly (one shuffle; a key's
+  rows then sort in one task, fine when the input is already daily).
 """
 
 from __future__ import annotations
@@ -113,13 +114,18 @@ def rolling_window_aggregations(df: DataFrame, partition_cols: list[str], order_
                                 agg_func: str | list[str], num_cols_to_agg: list[str],
                                 window_size_in_days: list[int] | int, window_offset: int = 0,
                                 round_dec_points: int | None = 2,
-                                pre_aggregate: bool = False) -> DataFrame:
+                                pre_aggregate: bool | None = None) -> DataFrame:
     """Add one column per (function, column, window size): the aggregate
     over the rows of the same partition whose day lies in the window.
 
     The frame is a RANGE over day numbers (``unix_date``): gaps in dates do
     not stretch it and rows of the same day are peers.  A window of ``w``
     days with offset ``o`` covers days ``[d-(w-1)-o, d-o]``.
+
+    ``pre_aggregate`` (default: whenever every function combines from
+    partials) windows over per-(key, day) partials and joins them back, so a
+    key holding a third of all rows never lands in one task; ``False``
+    windows over the rows directly (one shuffle, fine for daily input).
     """
     keys = list(partition_cols)
     cols = list(num_cols_to_agg)
@@ -127,6 +133,8 @@ def rolling_window_aggregations(df: DataFrame, partition_cols: list[str], order_
     funcs = _funcs(agg_func)
     sizes = [window_size_in_days] if isinstance(window_size_in_days, int) else list(window_size_in_days)
     day = F.unix_date(F.to_date(F.col(order_col)))
+    if pre_aggregate is None:
+        pre_aggregate = all(f in DECOMPOSABLE for f in funcs)
     if pre_aggregate:
         bad = [f for f in funcs if f not in DECOMPOSABLE]
         if bad:
@@ -212,7 +220,7 @@ class Rolling:
     window_size_in_days: list[int] = field(default_factory=lambda: [7])
     window_offset: int = 0
     round_dec_points: int | None = 2
-    pre_aggregate: bool = False
+    pre_aggregate: bool | None = None
 
     def apply(self, df: DataFrame) -> DataFrame:
         return rolling_window_aggregations(df, self.partition_cols, self.order_col, self.agg_func,
