@@ -457,6 +457,22 @@ def q_base_agg_attach(spark, sf_dir):
     return _date_text(FE.base_aggregations(df, "avg", [_EVT], ["customer_id"], mode="attach"))
 
 
+@register("base_agg_all_columns", f"""
+SELECT customer_id, count(*) AS count_rows, {_r(f'max({_EVT})')} AS max_{_EVT},
+       {_r(f'max({_LOGIN})')} AS max_{_LOGIN}, {_r(f'max({_PAY})')} AS max_{_PAY}
+FROM {_DE} GROUP BY customer_id""")
+def q_base_agg_all_columns(spark, sf_dir):
+    # No columns named: every numeric non-key column; count counts rows.
+    return FE.base_aggregations(_daily(spark, sf_dir), ["count", "max"], None, ["customer_id"])
+
+
+@register("base_agg_distinct", """
+SELECT user_id, count(DISTINCT event_type) AS count_distinct_event_type FROM events GROUP BY user_id""")
+def q_base_agg_distinct(spark, sf_dir):
+    ev = A.read_table(spark, sf_dir, "events", "user_id", "event_type")
+    return FE.base_aggregations(ev, "count_distinct", ["event_type"], ["user_id"])
+
+
 _ROLL_FUNCS, _ROLL_COLS, _ROLL_SIZES = ["sum", "avg", "count"], [_LOGIN, _PAY], [7, 3]
 
 
