@@ -106,3 +106,22 @@ def test_vectors_and_context(spark):
                                 item_cols=["doc_id", "chunk_id"], metric="dot")
     ctx = DOC.assemble_context(top.join(chunks, ["doc_id", "chunk_id"])).first()
     assert ctx.context.split("\n\n")[0] == "the cat sat on the mat"
+
+
+def test_knn_string_ids_and_cosine(spark):
+    rnd = np.random.default_rng(11)
+    C = rnd.normal(size=(60, 4))
+    Q = rnd.normal(size=(7, 4))
+    corpus = spark.createDataFrame([(f"c{i:03d}", C[i].tolist()) for i in range(len(C))],
+                                   "item_id string, vector array<double>")
+    queries = spark.createDataFrame([(f"q{i}", Q[i].tolist()) for i in range(len(Q))],
+                                    "query_id string, vector array<double>")
+    out = VEC.similarity_search(queries, corpus, k=3, metric="cosine", max_batch_bytes=100).collect()
+    got = {}
+    for r in sorted(out, key=lambda r: (r.query_id, r.rank)):
+        got.setdefault(r.query_id, []).append(r.item_id)
+    Cn = C / np.linalg.norm(C, axis=1)[:, None]
+    for i, q in enumerate(Q):
+        sims = Cn @ (q / np.linalg.norm(q))
+        want = [f"c{j:03d}" for j in sorted(range(len(C)), key=lambda j: (-sims[j], j))[:3]]
+        assert got[f"q{i}"] == want
