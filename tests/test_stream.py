@@ -25,3 +25,18 @@ def test_stream_equals_batch(spark, scratch):
     assert sorted(streamed.collect()) == sorted(batch.select(*streamed.columns).collect())
     assert streamed.count() == 5 and rejects.count() == 2 == batch_rej.count()
     assert streamed.filter(F.col("txn_id") == "TX-3003").first().verdict == "REVIEW"
+
+
+def test_stream_with_static_completions(spark, scratch):
+    src = os.path.join(scratch, "in2")
+    os.makedirs(src)
+    with open(os.path.join(src, "a.json"), "w") as f:
+        f.write("\n".join(json.dumps(t) for t in TRANSFERS[:2]) + "\n")
+    comp = spark.createDataFrame([("TX-3002", "investigator", "looks odd\nRECOMMENDATION: DECLINE")],
+                                 "case_id string, step string, text string")
+    out = os.path.join(scratch, "out2")
+    q1, q2 = start_transfer_scoring(spark, src, out, completions=comp, run_id="r", available_now=True)
+    q1.awaitTermination(120)
+    q2.awaitTermination(120)
+    got = {r.txn_id: r.verdict for r in spark.read.parquet(os.path.join(out, "reports")).collect()}
+    assert got == {"TX-3001": "DECLINE", "TX-3002": "DECLINE"}
