@@ -8,18 +8,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from casekit.llm import quality
+from casekit.llm import pii, quality
 from casekit.llm.common import read
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_pii(read(spark, sf_dir, "documents")))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(read(spark, sf_dir, "documents")).select(*quality.DIGEST)
 
 
 QUERIES = {f.__name__: f for f in (
+    op5_pii,
     op10_quality_rules,
 )}
 
 ORACLE = {
+    "op5_pii": pii.oracle_sql(),
     "op10_quality_rules": quality.oracle_sql(),
 }
