@@ -7,11 +7,21 @@ columns from the operator's output.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from casekit.llm import pii, quality
+from casekit.llm import byte_bpe, pii, quality
 from casekit.llm.common import read
 
 
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bpe = byte_bpe.ByteBpe(spark)
+    ids = read(spark, sf_dir, "documents").select("doc_id", bpe.encode("text").alias("ids"))
+    both = ids.select("doc_id", "ids", bpe.decode("ids").alias("bytes"))
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                       F.sha2(byte_bpe.ids_text(F.col("ids")), 256).alias("ids_sha256"),
+                       F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(read(spark, sf_dir, "documents")))
 
@@ -21,6 +31,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
+    op4_byte_bpe,
     op5_pii,
     op10_quality_rules,
 )}
