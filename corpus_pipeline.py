@@ -1,18 +1,88 @@
-"""The corpus pipeline (stages are added as their operators land)."""
+"""The corpus pipeline: raw documents to token ids.
+
+Five stages, each one operator of :mod:`casekit.llm`, in the order of
+``STAGES``.  A stage takes ``(spark, docs, sf_dir)`` and returns the documents
+it keeps, with the columns it was given (the last one returns token ids);
+:func:`run` writes every stage's result to the shared checkpoint folder and
+reads it back, so a lost executor never costs more than the current stage.
+
+Defined results: null and blank texts fail the quality rules and go.  Null ids
+are kept and name no group of copies.  Rows repeated under one id are one
+document, of which the near-duplicate stage leaves one row.  After mixing a
+document stands there as many times as the mix takes it.  An empty table goes
+through every stage and stays empty; extra columns are carried along up to the
+last stage.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from casekit.llm import quality
-from casekit.llm.common import read
+from casekit.llm import byte_bpe, minhash, mixing, pii, quality
+from casekit.llm.common import read, store
 
-STAGES = []
+# No SQL: the near-duplicate sketches and the knapsack have none.
 ORACLE_SQL = None
 
 
+def _with_text(docs: DataFrame, text: str, columns: list[str]) -> DataFrame:
+    """The given columns, with another text and its length."""
+    new = {"text": F.col(text)} | ({"n_chars": F.length(text).cast("long")} if "n_chars" in columns else {})
+    return docs.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in columns])
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop failing lines, then documents that fail or lose too much."""
+    judged = quality.quality_rules(docs).filter("kept")
+    return _with_text(judged, "clean_text", docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (five words, 0.8)."""
+    found = store(minhash.near_duplicates(docs), "pipeline-groups")
+    kept = found.filter("kept").select(F.col("id").alias("_kept_id")).distinct()
+    stay = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+    # Ids that several rows carry, normally none: one row of each stays.
+    repeated = store(found.filter("id is not null").groupBy(F.col("id").alias("_rep_id")).count()
+                     .filter("count > 1").select("_rep_id"), "pipeline-repeated")
+    same = F.col("doc_id") == F.col("_rep_id")
+    return stay.join(repeated, same, "left_anti").unionByName(
+        stay.join(repeated, same, "left_semi").dropDuplicates(["doc_id"]))
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mask personal data in the texts."""
+    return _with_text(pii.redact(pii.find_pii(docs)), "text", docs.columns)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix of sources takes it."""
+    mixed = mixing.mix(docs).filter("copies > 0")
+    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+
+
+def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids, with digests of the ids and of the text decoded from them."""
+    bpe = byte_bpe.ByteBpe(spark)
+    ids = docs.select("doc_id", "lang", "source", bpe.encode("text").alias("ids"))
+    both = ids.select("*", bpe.decode("ids").alias("bytes"))
+    return both.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids",
+                       F.sha2(byte_bpe.ids_text(F.col("ids")), 256).alias("ids_sha256"),
+                       F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("pii", pii_stage),
+    ("mixing", mixing_stage),
+    ("byte_bpe", bpe_stage),
+]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = store(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
