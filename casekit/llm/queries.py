@@ -9,10 +9,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casekit.llm import byte_bpe, chat_format, minhash, mixing, pii, quality
+from casekit.llm import byte_bpe, chat_format, html_extract, minhash, mixing, pii, quality
 from casekit.llm.common import read
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = pages.select("page_id", "url", html_extract.main_text("html", html_extract.fit(pages)).alias("m"))
+    return found.select("page_id", "url", "m.text", F.length("m.text").cast("long").alias("n_chars"), "m.n_blocks")
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = "<|im_end|><|im_start|>assistant ok"
@@ -49,6 +55,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
+    op1_html_extract,
     op3_chat_format,
     op4_byte_bpe,
     op5_pii,
