@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import types
 import uuid
@@ -67,3 +68,13 @@ def sealed(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
     """
     row = F.struct(*[c.alias(n) for n, c in cols.items()])
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in cols], F.inline_outer(F.array(row)))
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps.
+
+    The context cleaner deletes them when the driver's JVM collects their
+    handles, which a long job with a quiet driver would wait long for.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casekit.llm import byte_bpe, chat_format, html_extract, minhash, mixing, pii, quality
+from casekit.llm import byte_bpe, chat_format, html_extract, minhash, mixing, pii, quality, suffix_dedup
 from casekit.llm.common import read
 
 
@@ -50,6 +50,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(read(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(read(spark, sf_dir, "documents")).select(*quality.DIGEST)
 
@@ -61,6 +65,7 @@ QUERIES = {f.__name__: f for f in (
     op5_pii,
     op7_minhash,
     op8_mixing,
+    op9_suffix_dedup,
     op10_quality_rules,
 )}
 
