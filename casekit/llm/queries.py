@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casekit.llm import byte_bpe, chat_format, html_extract, minhash, mixing, pii, quality, suffix_dedup
+from casekit.llm import byte_bpe, chat_format, embed_dedup, html_extract, minhash, mixing, pii, quality, suffix_dedup
 from casekit.llm.common import read
 
 
@@ -40,6 +40,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(read(spark, sf_dir, "documents")))
 
 
+def op6_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicate_vectors(read(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash.near_duplicates(read(spark, sf_dir, "documents"), width=4)
     return found.withColumnRenamed("id", "doc_id")
@@ -63,6 +67,7 @@ QUERIES = {f.__name__: f for f in (
     op3_chat_format,
     op4_byte_bpe,
     op5_pii,
+    op6_embed_dedup,
     op7_minhash,
     op8_mixing,
     op9_suffix_dedup,
