@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casekit.llm import byte_bpe, chat_format, embed_dedup, html_extract, minhash, mixing, pii, quality, suffix_dedup
+from casekit.llm import byte_bpe, chat_format, embed_dedup, html_extract, lm_score, minhash, mixing, pii, quality, suffix_dedup
 from casekit.llm.common import read
 
 
@@ -19,6 +19,10 @@ def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "m.text", F.length("m.text").cast("long").alias("n_chars"), "m.n_blocks")
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_texts(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = "<|im_end|><|im_start|>assistant ok"
@@ -64,6 +68,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_html_extract,
+    op2_lm_score,
     op3_chat_format,
     op4_byte_bpe,
     op5_pii,

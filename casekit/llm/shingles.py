@@ -24,7 +24,7 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _pieces(texts: list[bytes]) -> Iterator[tuple[int, bytes]]:
+def pieces(texts: list[bytes]) -> Iterator[tuple[int, bytes]]:
     """(text number, part): long texts are cut where white space begins."""
     for i, t in enumerate(texts):
         start = 0
@@ -37,15 +37,16 @@ def _pieces(texts: list[bytes]) -> Iterator[tuple[int, bytes]]:
         yield i, t[start:] if start else t
 
 
-def _hash_chunk(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of some parts, and how many words each part has."""
+def split_words(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of some parts joined by spaces: first byte, size and hash of
+    each, and how many words each part has."""
     raw = np.frombuffer(b" ".join(parts), np.uint8)
     table = np.zeros(256, bool)
     table[list(GAPS)] = True
     gap = table[raw]
     starts = np.flatnonzero(~gap & np.concatenate(([True], gap[:-1])))
     if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(len(parts), np.int64)
+        return starts, starts, np.zeros(0, np.uint64), np.zeros(len(parts), np.int64)
     ends = np.flatnonzero(~gap & np.concatenate((gap[1:], [True]))) + 1
     sizes = ends - starts
     letters = raw[~gap].astype(np.uint64) + np.uint64(1)
@@ -56,7 +57,13 @@ def _hash_chunk(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     letters *= powers[np.arange(len(letters)) - np.repeat(first, sizes)]
     begins = np.cumsum([0] + [len(p) + 1 for p in parts[:-1]])
     counts = np.diff(np.searchsorted(starts, np.append(begins, len(raw) + 1)))
-    return mix(np.add.reduceat(letters, first) + sizes.astype(np.uint64)), counts
+    return starts, sizes, mix(np.add.reduceat(letters, first) + sizes.astype(np.uint64)), counts
+
+
+def _hash_chunk(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of some parts, and how many words each part has."""
+    _, _, hashes, counts = split_words(parts)
+    return hashes, counts
 
 
 def word_hashes(texts: list[bytes]) -> Iterator[np.ndarray]:
@@ -77,7 +84,7 @@ def word_hashes(texts: list[bytes]) -> Iterator[np.ndarray]:
     done: list[tuple[int, list[np.ndarray]]] = []
     chunk, size = [], 0
     with np.errstate(over="ignore"):
-        for piece in _pieces(texts):
+        for piece in pieces(texts):
             chunk.append(piece)
             size += len(piece[1])
             if size >= CHUNK_BYTES:
