@@ -75,17 +75,19 @@ class ByteBpe:
         def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             enc = encoder(ranks.value, pattern)
             for texts in batches:
-                ids = [[enc.encode_to_numpy(p) for p in split_long(t)] if t else [] for t in texts.to_pylist()]
-                sizes = [sum(map(len, parts)) for parts in ids]
-                flat = [p for parts in ids for p in parts]
-                values = np.concatenate(flat).astype(np.int32) if flat else np.zeros(0, np.int32)
-                yield pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(values))
+                flat, ends = [np.zeros(0, np.int32)], [0]
+                for text in texts:  # one Python string at a time
+                    parts = [enc.encode_to_numpy(p).astype(np.int32) for p in split_long(text.as_py() or "")]
+                    flat += parts
+                    ends.append(ends[-1] + sum(map(len, parts)))
+                yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat)))
 
         @F.arrow_udf("binary")
         def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             enc = encoder(ranks.value, pattern)
             for ids in batches:
-                yield pa.array([enc.decode_bytes(x) if x else b"" for x in ids.to_pylist()], pa.binary())
+                yield pa.array((enc.decode_bytes(x.values.to_numpy().tolist()) if x.is_valid and len(x) else b""
+                                for x in ids), pa.binary())
 
         self._encode, self._decode = encode, decode
 
