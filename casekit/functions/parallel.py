@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+INPUT_PARTITIONS = "spark.casekit.inputPartitions"
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin ``df`` over at least ``min_partitions`` tasks (default:
-    the cluster's default parallelism) -- but only when its scan yields
-    fewer; a large input already split into many file ranges is returned
-    as is, so no shuffle is added at scale.  Round-robin repartitioning
-    sorts locally first, so a retried task gets the same rows.
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin ``df`` over as many partitions as the session setting
+    ``spark.casekit.inputPartitions`` says; unset (the default) leaves it as it
+    is.  Meant for inputs of few file splits, such as one-row-group test
+    files; nothing is run to find out.  Round-robin repartitioning sorts
+    locally first, so a retried task gets the same rows.
     """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    return df.repartition(target)
+    n = df.sparkSession.conf.get(INPUT_PARTITIONS, None)
+    return df.repartition(int(n)) if n else df

@@ -1,80 +1,131 @@
 """Exact k-nearest-neighbour search between a query table and a corpus.
 
-Plan (no cross join, all pairs are never materialised):
-
-1. The query side is measured with one Spark aggregate (rows x dims); it
-   is cut into hash batches whose byte size stays under ``max_batch_bytes``.
-   Only such a bounded batch is ever broadcast.
-2. For each batch, ``mapInPandas`` scans the corpus partitions; each Arrow
-   batch of corpus rows is scored against all broadcast queries with numpy
-   and only its top-k per query (plus ties at the k-th score) is emitted.
+Plan (no collect, no broadcast, no cross join, no job before the action):
+
+1. Queries are hashed into ``query_blocks`` blocks and corpus rows into
+   ``corpus_shards`` shards; each (block, shard) cell gets its block's queries
+   and its shard's rows by one hash shuffle.
+2. A task streams through its cells, queries first: it holds one block of
+   queries and their best ``k`` items so far, and scores the cell's corpus
+   rows batch by batch with numpy.  It emits exactly ``k`` items per query and
+   cell (fewer if the cell has fewer), whatever ties there are.
 3. A window ``row_number`` per query over those partial winners picks the
    global top-k (Spark plans it with a window group limit).
 
-Corpus size never reaches the driver or one task; query batches are
-re-scanned against the corpus, so cost is (query batches) x (corpus scan).
+A task's memory is one block of queries and one Arrow batch, so choose
+``query_blocks`` by the size of the query table; ``corpus_shards`` is the
+number of tasks a block is spread over.  The corpus is shuffled once per block
+and the queries once per shard.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from casekit.functions.parallel import spread
 from casekit.functions.workers import ship_with_tasks
 
 ship_with_tasks(__name__)
 
-DEFAULT_MAX_BATCH_BYTES = 32 * 1024 * 1024
-_BLOCK_FLOATS = 4_000_000  # bound on one temporary (queries x rows x dims)
+QUERY_BLOCKS = 2
+CORPUS_SHARDS = 8
+_BLOCK_FLOATS = 4_000_000  # bound on one temporary array
 
 
 def _scores(C: np.ndarray, Q: np.ndarray, metric: str) -> np.ndarray:
-    """(queries x rows) scores; lower is better for l2, higher otherwise."""
-    if metric == "l2":
-        out = np.empty((Q.shape[0], C.shape[0]))
-        step = max(1, _BLOCK_FLOATS // max(1, C.shape[0] * C.shape[1]))
-        for s in range(0, Q.shape[0], step):
-            diff = C[None, :, :] - Q[s:s + step, None, :]
-            out[s:s + step] = np.einsum("qnd,qnd->qn", diff, diff)
+    """(queries x rows) scores, lower is better; what has no score is NaN."""
+    with np.errstate(all="ignore"):
+        if metric == "l2":
+            diff = C[None, :, :] - Q[:, None, :]
+            return np.einsum("qnd,qnd->qn", diff, diff)
+        dots = Q @ C.T
+        if metric == "dot":
+            return -dots
+        norms = np.linalg.norm(Q, axis=1)[:, None] * np.linalg.norm(C, axis=1)[None, :]
+        return -np.where(norms == 0, 0.0, dots / norms)
+
+
+def _best(S: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row) of the ``k`` smallest finite scores per query; of equal
+    scores the first rows."""
+    S = np.where(np.isfinite(S), S, np.inf)
+    if S.shape[1] > k:
+        kth = np.partition(S, k - 1, axis=1)[:, k - 1:k]
+        tied = S == kth
+        room = k - (S < kth).sum(axis=1, keepdims=True)
+        keep = (S < kth) | (tied & (np.cumsum(tied, axis=1) <= room))
+    else:
+        keep = np.ones(S.shape, bool)
+    return np.nonzero(keep & np.isfinite(S))
+
+
+class _Cell:
+    """The queries of one (block, shard) cell and their best items so far."""
+
+    def __init__(self, k: int, metric: str, items: list[str], exclude_self: bool):
+        self.k, self.metric, self.items, self.exclude_self = k, metric, items, exclude_self
+        self.parts: list[pd.DataFrame] = []
+        self.Q: np.ndarray | None = None
+        self.best: pd.DataFrame | None = None
+
+    def add_queries(self, rows: pd.DataFrame) -> None:
+        self.parts.append(rows)
+
+    def score(self, rows: pd.DataFrame) -> None:
+        if self.Q is None:
+            if not self.parts:
+                return
+            queries = pd.concat(self.parts, ignore_index=True)
+            self.ids, self.Q = queries["__q"], np.stack(queries["__v"].to_numpy()).astype(np.float64)
+        rows = rows.sort_values(self.items, kind="stable", na_position="first")
+        C = np.stack(rows["__v"].to_numpy()).astype(np.float64)
+        step = max(1, _BLOCK_FLOATS // (len(C) * (C.shape[1] if self.metric == "l2" else 1)))
+        found = []
+        for at in range(0, len(self.Q), step):
+            S = _scores(C, self.Q[at:at + step], self.metric)
+            if self.exclude_self:
+                same = self.ids.iloc[at:at + step].to_numpy()[:, None] == rows[self.items[0]].to_numpy()[None, :]
+                S = np.where(same, np.inf, S)
+            q, n = _best(S, self.k)
+            part = rows.iloc[n][self.items].reset_index(drop=True)
+            part.insert(0, "__i", q + at)
+            part["score"] = S[q, n]
+            found.append(part)
+        new = pd.concat(found, ignore_index=True)
+        if self.best is not None and len(self.best):
+            new = pd.concat([self.best, new], ignore_index=True) if len(new) else self.best
+        new = new.sort_values(["__i", "score", *self.items], kind="stable", na_position="first")
+        self.best = new[new.groupby("__i").cumcount() < self.k]
+
+    def result(self, query_col: str) -> pd.DataFrame | None:
+        if self.best is None or self.best.empty:
+            return None
+        out = self.best.rename(columns={"__i": query_col}).reset_index(drop=True)
+        out[query_col] = self.ids.iloc[out[query_col]].to_numpy()
+        out["score"] = out["score"] if self.metric == "l2" else -out["score"]
         return out
-    dots = Q @ C.T
-    if metric == "dot":
-        return dots
-    qn = np.linalg.norm(Q, axis=1)[:, None]
-    cn = np.linalg.norm(C, axis=1)[None, :]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        sims = dots / (qn * cn)
-    return np.where((qn * cn) > 0, sims, 0.0)
 
 
-def _partial_topk(q_ids: np.ndarray, Q: np.ndarray, k: int, metric: str, item_cols: list[str],
-                  vec_col: str, query_col: str, exclude_self: bool):
-    sign = 1.0 if metric == "l2" else -1.0
-
+def _search(k: int, metric: str, items: list[str], query_col: str, exclude_self: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cell, at = None, None
         for pdf in batches:
-            pdf = pdf[pdf[vec_col].notna()]
-            if pdf.empty:
-                continue
-            C = np.stack(pdf[vec_col].to_numpy()).astype(np.float64)
-            S = sign * _scores(C, Q, metric)  # lower is better
-            if exclude_self:
-                S[q_ids[:, None] == pdf[item_cols[0]].to_numpy()[None, :]] = np.inf
-            kk = min(k, S.shape[1])
-            kth = np.partition(S, kk - 1, axis=1)[:, kk - 1]
-            keep_q, keep_n = np.nonzero((S <= kth[:, None]) & np.isfinite(S))
-            out = pd.DataFrame({query_col: q_ids[keep_q]})
-            for c in item_cols:
-                out[c] = pdf[c].to_numpy()[keep_n]
-            out["score"] = sign * S[keep_q, keep_n]
+            for key, rows in pdf.groupby(["__b", "__s"], sort=False):
+                if key != at:
+                    if cell is not None and (out := cell.result(query_col)) is not None:
+                        yield out
+                    cell, at = _Cell(k, metric, items, exclude_self), key
+                queries, corpus = rows[~rows["__item"]], rows[rows["__item"]]
+                if len(queries):
+                    cell.add_queries(queries)
+                if len(corpus):
+                    cell.score(corpus)
+        if cell is not None and (out := cell.result(query_col)) is not None:
             yield out
     return run
 
@@ -83,58 +134,36 @@ def similarity_search(queries: DataFrame, corpus: DataFrame, k: int = 3,
                       query_id: str = "query_id", query_vec: str = "vector",
                       item_cols: list[str] | str = "item_id", item_vec: str = "vector",
                       metric: str = "l2", exclude_self: bool = False,
-                      max_batch_bytes: int = DEFAULT_MAX_BATCH_BYTES) -> DataFrame:
+                      query_blocks: int = QUERY_BLOCKS, corpus_shards: int = CORPUS_SHARDS) -> DataFrame:
     """Top ``k`` corpus items per query: ``(query_id, *item_cols, rank, score)``.
 
     ``metric``: ``l2`` (squared Euclidean, ascending), ``cosine`` or ``dot``
-    (descending).  Ties are broken by the item columns.  ``exclude_self``
-    drops the pair where the query id equals the (single) item id.
+    (descending).  Ties are broken by the item columns.  Null vectors and
+    scores that are not finite are left out.  ``exclude_self`` drops the pair
+    where the query id equals the (single) item id.
     """
     if metric not in ("l2", "cosine", "dot"):
         raise ValueError("metric must be l2, cosine or dot")
     items = [item_cols] if isinstance(item_cols, str) else list(item_cols)
-    spark = queries.sparkSession
-    q = queries.select(F.col(query_id), F.col(query_vec).cast("array<double>").alias("__qv")) \
-        .filter(F.col("__qv").isNotNull())
-    # The size check and the batch collects read the query vectors; keep them
-    # once (memory, spilling to disk) instead of recomputing them per job.
-    q = q.persist(StorageLevel.MEMORY_AND_DISK)
-    n, dims = q.agg(F.count(F.lit(1)), F.max(F.size("__qv"))).first()
-    if not n:
-        q.unpersist()
-        return _empty(queries, corpus, query_id, items)
-    size = n * ((dims or 0) * 8 + 16)
-    n_batches = max(1, math.ceil(size / max_batch_bytes))
-    out_schema = T.StructType(
-        [queries.schema[query_id]] + [corpus.schema[c] for c in items]
-        + [T.StructField("score", T.DoubleType())])
-    c = spread(corpus.select(*items, F.col(item_vec).cast("array<double>").alias(item_vec)))
-    parts = []
-    for b in range(n_batches):
-        qb = q if n_batches == 1 else q.filter(F.pmod(F.xxhash64(query_id), F.lit(n_batches)) == b)
-        rows = qb.collect()  # bounded: at most max_batch_bytes by the check above
-        if not rows:
-            continue
-        ids = np.array([r[0] for r in rows], dtype=object if isinstance(rows[0][0], str) else None)
-        Q = np.array([r[1] for r in rows], dtype=np.float64)
-        bq = spark.sparkContext.broadcast((ids, Q))
-
-        def run(batches, bq=bq):
-            ids_, Q_ = bq.value
-            return _partial_topk(ids_, Q_, k, metric, items, item_vec, query_id, exclude_self)(batches)
-        parts.append(c.mapInPandas(run, out_schema))
-    q.unpersist()
-    cand = parts[0]
-    for p in parts[1:]:
-        cand = cand.unionByName(p)
+    out_schema = T.StructType([queries.schema[query_id]] + [corpus.schema[c] for c in items]
+                              + [T.StructField("score", T.DoubleType())])
+
+    def numbers(n: int):
+        return F.explode(F.array(*[F.lit(i) for i in range(n)]))
+
+    q = queries.select(F.col(query_id).alias("__q"), F.col(query_vec).cast("array<double>").alias("__v"))
+    q = q.filter(F.col("__v").isNotNull()).select(
+        "*", F.pmod(F.xxhash64("__q", "__v"), F.lit(query_blocks)).cast("int").alias("__b"), F.lit(False).alias("__item"),
+        *[F.lit(None).cast(corpus.schema[c].dataType).alias(c) for c in items])
+    c = corpus.select(*items, F.col(item_vec).cast("array<double>").alias("__v"))
+    c = c.filter(F.col("__v").isNotNull()).select(
+        "*", F.pmod(F.xxhash64(*items, "__v"), F.lit(corpus_shards)).cast("int").alias("__s"), F.lit(True).alias("__item"),
+        F.lit(None).cast(queries.schema[query_id].dataType).alias("__q"))
+    cells = (q.withColumn("__s", numbers(corpus_shards)).unionByName(c.withColumn("__b", numbers(query_blocks)))
+             .repartition(query_blocks * corpus_shards, "__b", "__s").sortWithinPartitions("__b", "__s", "__item"))
+    cand = cells.mapInPandas(_search(k, metric, items, query_id, exclude_self), out_schema)
     order = F.col("score").asc() if metric == "l2" else F.col("score").desc()
     w = Window.partitionBy(query_id).orderBy(order, *[F.col(i).asc() for i in items])
     return (cand.withColumn("rank", F.row_number().over(w))
                 .filter(F.col("rank") <= k)
                 .select(query_id, *items, "rank", "score"))
-
-
-def _empty(queries: DataFrame, corpus: DataFrame, query_id: str, items: list[str]) -> DataFrame:
-    schema = T.StructType([queries.schema[query_id]] + [corpus.schema[c] for c in items]
-                          + [T.StructField("rank", T.IntegerType()), T.StructField("score", T.DoubleType())])
-    return queries.sparkSession.createDataFrame([], schema)

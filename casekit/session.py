@@ -48,16 +48,21 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """The shared folder for checkpoints and stream state.
 
     On a cluster ``spark.checkpoint.dir`` names a shared (HDFS/object store)
-    folder and is used as is.  Only when it is unset -- local runs and tests --
-    a fresh scratch folder is created and registered.
+    folder and is used as is.  Where it is unset, ``fallback`` is registered;
+    without one a local master gets a fresh scratch folder, and any other
+    master an error, because its driver's disk is not shared.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
         current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    master = spark.sparkContext.master
+    if not fallback and master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = fallback or tempfile.mkdtemp(prefix="casekit-ckpt-")
-    os.makedirs(path, exist_ok=True)
+    if "://" not in path:
+        os.makedirs(path, exist_ok=True)
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
     return spark.sparkContext.getCheckpointDir() or path

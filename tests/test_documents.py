@@ -77,15 +77,15 @@ def _brute_knn(Q, C, k, metric, exclude_self_ids=None):
 
 
 @pytest.mark.parametrize("metric", ["l2", "dot"])
-@pytest.mark.parametrize("batch_bytes", [10 ** 9, 300])
-def test_knn_matches_brute_force(spark, metric, batch_bytes):
+@pytest.mark.parametrize("blocks", [1, 3])
+def test_knn_matches_brute_force(spark, metric, blocks):
     rnd = np.random.default_rng(7)
     C = rnd.integers(0, 4, size=(120, 5)).astype(float)  # small ints: many exact ties
     Q = C[:30]
     corpus = spark.createDataFrame([(i, C[i].tolist()) for i in range(len(C))], "item_id long, vector array<double>")
     queries = spark.createDataFrame([(i, Q[i].tolist()) for i in range(len(Q))], "query_id long, vector array<double>")
     out = VEC.similarity_search(queries, corpus, k=4, metric=metric, exclude_self=True,
-                                max_batch_bytes=batch_bytes).collect()
+                                query_blocks=blocks).collect()
     got = {}
     for r in sorted(out, key=lambda r: (r.query_id, r.rank)):
         got.setdefault(r.query_id, []).append(r.item_id)
@@ -116,7 +116,7 @@ def test_knn_string_ids_and_cosine(spark):
                                    "item_id string, vector array<double>")
     queries = spark.createDataFrame([(f"q{i}", Q[i].tolist()) for i in range(len(Q))],
                                     "query_id string, vector array<double>")
-    out = VEC.similarity_search(queries, corpus, k=3, metric="cosine", max_batch_bytes=100).collect()
+    out = VEC.similarity_search(queries, corpus, k=3, metric="cosine", query_blocks=2, corpus_shards=3).collect()
     got = {}
     for r in sorted(out, key=lambda r: (r.query_id, r.rank)):
         got.setdefault(r.query_id, []).append(r.item_id)
@@ -125,3 +125,20 @@ def test_knn_string_ids_and_cosine(spark):
         sims = Cn @ (q / np.linalg.norm(q))
         want = [f"c{j:03d}" for j in sorted(range(len(C)), key=lambda j: (-sims[j], j))[:3]]
         assert got[f"q{i}"] == want
+
+
+def test_knn_exactly_k_on_ties_and_non_finite(spark):
+    nan, inf = float("nan"), float("inf")
+    corpus = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(500)] + [(900, [nan, 1.0]), (901, [inf, 0.0]), (902, None)],
+                                   "item_id long, vector array<double>")
+    queries = spark.createDataFrame([(1, [0.0, 0.0]), (2, [2.0, 2.0]), (3, [nan, 0.0]), (4, None)],
+                                    "query_id long, vector array<double>")
+    for metric in ("l2", "cosine", "dot"):
+        rows = VEC.similarity_search(queries, corpus, k=3, metric=metric, corpus_shards=4).collect()
+        got = {}
+        for r in sorted(rows, key=lambda r: (r.query_id, r.rank)):
+            got.setdefault(r.query_id, []).append(r.item_id)
+        assert got == {1: [0, 1, 2], 2: [0, 1, 2]}, metric
+    few = spark.createDataFrame([(1, [1.0]), (2, [2.0]), (3, [nan]), (4, [nan])], "item_id long, vector array<double>")
+    q = spark.createDataFrame([(1, [0.0])], "query_id long, vector array<double>")
+    assert [r.item_id for r in VEC.similarity_search(q, few, k=3).orderBy("rank").collect()] == [1, 2]
