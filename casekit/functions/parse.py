@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from casekit.functions.text import strip
+from casekit.functions.text import LINE_ENDS, WHITE, strip
 
 # Python's float() grammar for one token: digits with single '_' separators,
 # optional fraction and exponent, or inf/infinity/nan, each with a sign.
@@ -20,7 +20,7 @@ PY_FLOAT_TOKEN = (
 def first_token(col: Column | str) -> Column:
     """``text.strip().split()[0]`` or '' when there is no token."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.regexp_extract(F.coalesce(c, F.lit("")), r"^\s*(\S+)", 1)
+    return F.regexp_extract(F.coalesce(c, F.lit("")), rf"^[{WHITE}]*([^{WHITE}]+)", 1)
 
 
 def leading_float(col: Column | str, default: float) -> Column:
@@ -30,10 +30,6 @@ def leading_float(col: Column | str, default: float) -> Column:
     return F.when(tok.rlike(PY_FLOAT_TOKEN), parsed).otherwise(F.lit(float(default)))
 
 
-# Line terminators of str.splitlines() that Java's \R also knows.
-_EOL = r"\n\x0B\f\r\x{85}\x{2028}\x{2029}"
-
-
 def last_prefixed_line(col: Column | str, prefix: str) -> Column:
     """The value after ``prefix`` on the last line that starts with it.
 
@@ -45,6 +41,6 @@ def last_prefixed_line(col: Column | str, prefix: str) -> Column:
     """
     c = F.col(col) if isinstance(col, str) else col
     quoted = "".join("\\" + ch if not ch.isalnum() else ch for ch in prefix)
-    pattern = rf"(?s)^.*(?:^|[{_EOL}])[ \t]*(?i:{quoted})([^{_EOL}]*)"
+    pattern = rf"(?s)^.*(?:^|[{LINE_ENDS}])[{WHITE}]*(?i:{quoted})([^{LINE_ENDS}]*)"
     rest = F.regexp_extract(F.coalesce(c, F.lit("")), pattern, 1)
     return strip(F.replace(F.upper(rest), F.lit(prefix.upper()), F.lit("")))

@@ -13,7 +13,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_WS_EDGES = r"^\s+|\s+$"
+# What Python's str.isspace() holds for, and the line ends of str.splitlines().
+WHITE = (r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}")
+LINE_ENDS = r"\n\x0B\f\r\x1C-\x1E\x{85}\x{2028}\x{2029}"
+_WS_EDGES = rf"^[{WHITE}]+|[{WHITE}]+$"
 
 
 def _pattern(places: int) -> str:

@@ -91,8 +91,8 @@ def _typed_field(df: DataFrame, name: str, dtype: T.DataType) -> tuple[Column, C
 def validate_transfers(df: DataFrame, keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Split raw transfer rows into (valid typed rows, rejected rows).
 
-    Required fields must be present and castable; optional fields that do not
-    cast become null; NaN amounts are rejected.  Unknown extra columns are
+    Required fields must be present, and every field that is present castable;
+    NaN amounts are rejected.  Unknown extra columns are
     dropped except those named in ``keep``.  Rejected rows carry the raw
     values and ``reject_reasons`` (array<string>).  Both outputs come from one
     lazily shared projection; nothing is collected.
@@ -107,8 +107,9 @@ def validate_transfers(df: DataFrame, keep: list[str] | None = None) -> tuple[Da
                           .when(value.isNull(), F.lit(f"{name}: not a valid {dtype.simpleString()}")))
             hard.append(value.isNull())
         else:
-            checks.append(F.when(present & value.isNull(),
-                                 F.lit(f"{name}: not a valid {dtype.simpleString()} (set to null)")))
+            wrong = present & value.isNull()
+            checks.append(F.when(wrong, F.lit(f"{name}: not a valid {dtype.simpleString()}")))
+            hard.append(wrong)
     nan_amount = F.isnan(typed["amount"])
     checks.append(F.when(nan_amount, F.lit("amount: NaN")))
     hard.append(nan_amount)
@@ -251,7 +252,7 @@ def attach_notes(df: DataFrame, completions: DataFrame | None = None,
     joined = df.join(one, df[key] == one["__case"], "left")
     return joined.withColumns({
         "investigator_notes": F.coalesce(F.col("__text"), fallback_notes(header)),
-        "notes_source": F.when(F.col("__case").isNotNull(), F.lit("model")).otherwise(F.lit("heuristic")),
+        "notes_source": F.when(F.col("__text").isNotNull(), F.lit("model")).otherwise(F.lit("heuristic")),
     }).drop("__case", "__text")
 
 

@@ -74,12 +74,13 @@ def _transfer_cte(with_completions: bool, source_sql: str = A.TRANSFERS_SQL) ->
     )
     if with_completions:
         notes = (f"n AS (SELECT m.*, coalesce(c.text, {fallback}) AS investigator_notes, "
-                 "CASE WHEN c.case_id IS NOT NULL THEN 'model' ELSE 'heuristic' END AS notes_source "
+                 "CASE WHEN c.text IS NOT NULL THEN 'model' ELSE 'heuristic' END AS notes_source "
                  f"FROM m LEFT JOIN (SELECT case_id, max(text) AS text FROM ({A.TRANSFER_NOTES_SQL}) "
                  "GROUP BY case_id) c ON m.txn_id = c.case_id)")
     else:
         notes = f"n AS (SELECT m.*, {fallback} AS investigator_notes, 'heuristic' AS notes_source FROM m)"
-    split = r"'\r\n|[\n\x0B\x0C\r\x{85}\x{2028}\x{2029}]'"
+    split = r"'\r\n|[\n\x0B\x0C\r\x1C-\x1E\x{85}\x{2028}\x{2029}]'"
+    white = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
     return f"""
 WITH t AS ({source_sql}),
 e AS (
@@ -123,8 +124,8 @@ d0 AS (
   SELECT *,
     coalesce(regexp_replace(replace(list_filter(list_transform(list_reverse(
         string_split_regex(investigator_notes, {split})),
-        lambda l: upper(regexp_replace(l, '^\\s+|\\s+$', '', 'g'))),
-        lambda l: starts_with(l, 'RECOMMENDATION:'))[1], 'RECOMMENDATION:', ''), '^\\s+|\\s+$', '', 'g'), '')
+        lambda l: upper(regexp_replace(l, '^{white}+|{white}+$', '', 'g'))),
+        lambda l: starts_with(l, 'RECOMMENDATION:'))[1], 'RECOMMENDATION:', ''), '^{white}+|{white}+$', '', 'g'), '')
       AS recommendation,
     least(1.0::DOUBLE, ml_score * 0.6::DOUBLE + rule_score * 0.4::DOUBLE) AS composite
   FROM n),
@@ -226,10 +227,10 @@ SELECT record_no,
        ELSE array_to_string(list_filter([
          CASE WHEN record_no % 103 = 0 THEN 'txn_id: missing' END,
          CASE WHEN record_no % 101 = 0 THEN 'amount: not a valid double' END,
-         CASE WHEN record_no % 109 = 0 THEN 'customer_age: not a valid int (set to null)' END],
+         CASE WHEN record_no % 109 = 0 THEN 'customer_age: not a valid int' END],
          lambda x: x IS NOT NULL), '; ') END AS reject_reasons
 FROM ({A.TRANSFERS_SQL})
-WHERE record_no % 107 = 0 OR record_no % 103 = 0 OR record_no % 101 = 0""")
+WHERE record_no % 107 = 0 OR record_no % 103 = 0 OR record_no % 101 = 0 OR record_no % 109 = 0""")
 def q_transfer_rejects(spark, sf_dir):
     _, rejected = _json_transfers(spark, sf_dir)
     return rejected.select("record_no", "txn_id",
@@ -237,9 +238,8 @@ def q_transfer_rejects(spark, sf_dir):
 
 
 _JSON_VALID_SQL = f"""
-SELECT * REPLACE (CASE WHEN record_no % 109 = 0 THEN NULL ELSE customer_age END AS customer_age)
-FROM ({A.TRANSFERS_SQL})
-WHERE NOT (record_no % 107 = 0 OR record_no % 103 = 0 OR record_no % 101 = 0)"""
+SELECT * FROM ({A.TRANSFERS_SQL})
+WHERE NOT (record_no % 107 = 0 OR record_no % 103 = 0 OR record_no % 101 = 0 OR record_no % 109 = 0)"""
 
 
 @register("transfer_json_decision",

@@ -9,6 +9,8 @@ case variants); no view drops rows to make a check cheaper.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -111,37 +113,47 @@ NOTE_TEXTS = {
     3: "RECOMMENDATION: APPROVE|REVIEW",
     4: "Signals look consistent with account history.",
     5: "RECOMMENDATION:",
+    6: "x\n\u00a0RECOMMENDATION: DECLINE\u2003",
+    7: "RECOMMENDATION: APPROVE\x1cRECOMMENDATION: DECLINE",
+    8: "",
+    9: "note\u2028\u3000recommendation:\u00a0approve \x1f",
 }
+NOTE_KINDS = 11  # by case number: 0 has no row, 10 a row without text
+SECOND_NOTE = "second opinion\nRECOMMENDATION: REVIEW"  # every 17th case has two rows; the greater text counts
 
 
 def transfer_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``completions(case_id, step, text)`` for the investigator step."""
     o = read_table(spark, sf_dir, "orders", "o_orderkey")
-    k6 = F.col("o_orderkey") % 6
+    k = F.col("o_orderkey") % NOTE_KINDS
     text = F.lit(None).cast("string")
     for r, t in NOTE_TEXTS.items():
-        text = F.when(k6 == r, F.lit(t)).otherwise(text)
-    return (o.filter(k6 != 0)
+        text = F.when(k == r, F.lit(t)).otherwise(text)
+    texts = F.when(F.col("o_orderkey") % 17 == 0, F.array(text, F.lit(SECOND_NOTE))).otherwise(F.array(text))
+    return (o.filter(k != 0)
             .select(F.concat(F.lit("TX-"), _s(F.col("o_orderkey"))).alias("case_id"),
-                    F.lit("investigator").alias("step"), text.alias("text")))
+                    F.lit("investigator").alias("step"), F.explode(texts).alias("text")))
 
 
 def _sql_str(t: str) -> str:
-    return "'" + t.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+    parts = re.split(r"([^\x20-\x7e])", t)
+    return " || ".join(f"chr({ord(p)})" if re.fullmatch(r"[^\x20-\x7e]", p) else "'" + p.replace("'", "''") + "'" for p in parts)
 
 
 TRANSFER_NOTES_SQL = (
-    "SELECT 'TX-' || CAST(o_orderkey AS VARCHAR) AS case_id, 'investigator' AS step, CASE o_orderkey % 6 "
+    f"SELECT 'TX-' || CAST(o_orderkey AS VARCHAR) AS case_id, 'investigator' AS step, CASE o_orderkey % {NOTE_KINDS} "
     + " ".join(f"WHEN {r} THEN {_sql_str(t)}" for r, t in NOTE_TEXTS.items())
-    + " END AS text FROM orders WHERE o_orderkey % 6 <> 0"
+    + f" END AS text FROM orders WHERE o_orderkey % {NOTE_KINDS} <> 0 UNION ALL "
+    f"SELECT 'TX-' || CAST(o_orderkey AS VARCHAR), 'investigator', {_sql_str(SECOND_NOTE)} FROM orders "
+    f"WHERE o_orderkey % {NOTE_KINDS} <> 0 AND o_orderkey % 17 = 0"
 )
 
 
 def transfers_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transfers as JSON text lines ``(record_no, value)``, with damage:
     ``record_no % 101 = 0`` amount 'n/a'; ``% 103`` no txn_id; ``% 107``
-    truncated (malformed) text; ``% 109`` customer_age 'old' (optional field,
-    row still valid)."""
+    truncated (malformed) text; ``% 109`` customer_age 'old' (an
+    optional field that is present must be valid too)."""
     t = transfers(spark, sf_dir).withColumn("record_no", F.expr("cast(substring(txn_id, 4) as bigint)"))
     k = F.col("record_no")
     fields = {c: _s(F.col(c)) for c in TRANSFER_COLUMNS}

@@ -53,6 +53,10 @@ def test_report_json_roundtrip(spark):
     ("no recommendation here", "", "APPROVE", False),
     ("RECOMMENDATION:", "", "APPROVE", False),
     ("a\r\nRECOMMENDATION: DECLINE\r\n", "DECLINE", "DECLINE", True),
+    ("x\n\u00a0RECOMMENDATION: DECLINE", "DECLINE", "DECLINE", True),
+    ("RECOMMENDATION: APPROVE\x1cRECOMMENDATION: DECLINE", "DECLINE", "DECLINE", True),
+    ("RECOMMENDATION: \u3000REVIEW\u2003\x1f", "REVIEW", "REVIEW", True),
+    ("", "", "APPROVE", False),
 ])
 def test_completion_parsing(spark, text, rec, verdict, suggested):
     comp = spark.createDataFrame([("TX-3002", "investigator", text)], "case_id string, step string, text string")
@@ -62,6 +66,11 @@ def test_completion_parsing(spark, text, rec, verdict, suggested):
     assert (r.decision_reasons[-1] == f"Investigator suggested {rec}") == suggested
 
 
+def test_completion_without_text_is_heuristic(spark):
+    comp = spark.createDataFrame([("TX-3002", "investigator", None)], "case_id string, step string, text string")
+    assert _scored(spark, [TRANSFERS[1]], comp).first().notes_source == "heuristic"
+
+
 def test_enrichment_null_rules(spark):
     base = dict(TRANSFERS[1])
     cases = [
@@ -92,11 +101,12 @@ def test_validation_rejects(spark):
     ]
     df = spark.createDataFrame([tuple(r.get(c) for c in TRANSFER_COLUMNS) + (None,) for r in rows], TRANSFER_TEXT)
     valid, rejected = TR.validate_transfers(df)
-    assert sorted(r.txn_id for r in valid.collect()) == ["ok1", "soft", "underscore"]
+    assert sorted(r.txn_id for r in valid.collect()) == ["ok1", "underscore"]
     rej = {r.txn_id: r.reject_reasons for r in rejected.collect()}
     assert rej["bad_amount"] == ["amount: not a valid double"]
     assert rej["no_channel"] == ["channel: missing"]
     assert rej["nan_amount"] == ["amount: NaN"]
+    assert rej["soft"] == ["customer_age: not a valid int"]
     assert valid.filter("txn_id = 'underscore'").first().amount == 12500.0
 
 
