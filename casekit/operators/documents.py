@@ -45,12 +45,21 @@ def chunk_documents(df: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_
     """
     if not 0 <= overlap < size:
         raise ValueError("need 0 <= overlap < size")
+    step = size - overlap
     n = F.length(F.col(text_col))
-    starts = F.sequence(F.lit(0), F.greatest(n - overlap - 1, F.lit(0)), F.lit(size - overlap))
-    return (spread(df.filter(n > 0))
-              .select(F.col(id_col), F.col(text_col), F.posexplode(starts).alias("chunk_id", "start"))
-              .select(id_col, "chunk_id", "start",
-                      F.substring(F.col(text_col), F.col("start") + 1, size).alias("chunk_text")))
+    # One pass cuts the text into pieces of ``step`` characters; a chunk is the
+    # first ``size`` characters of a few pieces in a row.  Only pieces go on.
+    rows = spread(df.filter(n > 0)).select(
+        F.col(id_col), F.regexp_extract_all(F.col(text_col), F.lit(f"(?s).{{1,{step}}}"), F.lit(0)).alias("__p"),
+        F.ceil(F.greatest(n - overlap, F.lit(1)) / step).cast("int").alias("__n"))
+    rows = rows.select(id_col, F.inline_outer(F.array(F.struct("__p", "__n"))))  # cut once per text
+
+    def chunk(i: Column) -> Column:
+        return F.left(F.concat(*[F.coalesce(F.get(F.col("__p"), i + k), F.lit("")) for k in range(-(-size // step))]), F.lit(size))
+
+    texts = F.transform(F.sequence(F.lit(0), F.col("__n") - 1), chunk)
+    return (rows.select(id_col, F.posexplode(texts).alias("chunk_id", "chunk_text"))
+                .select(id_col, "chunk_id", (F.col("chunk_id") * step).alias("start"), "chunk_text"))
 
 
 # ------------------------------------------------------------ D1 boundary --
@@ -108,24 +117,28 @@ def chunk_documents_boundary(df: DataFrame, size: int = CHUNK_SIZE, overlap: int
     if not 0 <= overlap < size:
         raise ValueError("need 0 <= overlap < size")
 
-    @F.pandas_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
-    def spans(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: boundary_spans(t, size, overlap))
+    piece = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("chunk_text", T.StringType())])
+
+    @F.pandas_udf(T.ArrayType(piece))
+    def pieces(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [{"start": a, "chunk_text": t[a:b]} for a, b in boundary_spans(t, size, overlap)])
+
+    return (spread(df).select(F.col(id_col), F.posexplode(pieces(F.col(text_col))).alias("chunk_id", "p"))
+              .select(id_col, "chunk_id", "p.start", "p.chunk_text"))
+
 
-    return (spread(df).select(F.col(id_col), F.col(text_col), F.posexplode(spans(F.col(text_col))).alias("chunk_id", "se"))
-              .select(id_col, "chunk_id", F.col("se")[0].alias("start"),
-                      F.substring(F.col(text_col), F.col("se")[0] + 1, F.col("se")[1] - F.col("se")[0])
-                      .alias("chunk_text")))
+CHUNKERS = {"fixed": chunk_documents, "boundary": chunk_documents_boundary}
 
 
 # --------------------------------------------------------------------- D2 --
 def term_buckets(text: Column, dims: int) -> Column:
-    """Lower-cased alphanumeric tokens mapped to ``dims`` buckets by the
-    first byte of their md5 (stable across engines and runs)."""
-    if not 1 <= dims <= 256:
-        raise ValueError("dims must be in 1..256")
-    tokens = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda t: t != "")
-    return F.transform(tokens, lambda t: F.conv(F.substring(F.md5(t), 1, 2), 16, 10).cast("int") % dims)
+    """Lower-cased tokens (runs of letters and digits of any script) mapped to
+    ``dims`` buckets by the first 32 bits of their md5 (stable across engines
+    and runs)."""
+    if not 1 <= dims <= 1 << 31:
+        raise ValueError("dims must be in 1..2**31")
+    tokens = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    return F.transform(tokens, lambda t: F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long") % dims)
 
 
 def _histogram_udf(dims: int):
@@ -162,9 +175,11 @@ def vectorize_chunks(chunks: DataFrame, dims: int = 64, text_col: str = "chunk_t
 
 # --------------------------------------------------------------------- T2 --
 def assemble_context(ranked: DataFrame, query_id: str = "query_id", rank: str = "rank",
-                     text_col: str = "chunk_text", sep: str = CONTEXT_SEPARATOR) -> DataFrame:
-    """Best chunks per query joined by a blank line, best first.  Groups
-    hold at most k rows (the output of a top-k), so the list is bounded."""
-    return (ranked.groupBy(query_id)
-                  .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(rank), F.col(text_col)))),
-                                                lambda x: x[text_col]), sep).alias("context")))
+                     text_col: str = "chunk_text", sep: str = CONTEXT_SEPARATOR,
+                     also: list[Column] | None = None) -> DataFrame:
+    """Best chunks per query joined by a blank line, best first, and further
+    aggregates over ``__best`` rows if wanted.  Groups hold at most k rows
+    (the output of a top-k), so the list is bounded."""
+    best = F.array_sort(F.collect_list(F.struct(F.col(rank), *[F.col(c) for c in ranked.columns if c not in (query_id, rank)])))
+    rows = ranked.groupBy(query_id).agg(best.alias("__best"))
+    return rows.select(query_id, F.array_join(F.transform("__best", lambda x: x[text_col]), sep).alias("context"), *(also or []))

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from casekit.operators import cases as CS
@@ -25,7 +25,6 @@ from casekit.functions.parse import PY_FLOAT_TOKEN
 from casekit.plans.case_flow import run_case_batch
 from casekit.plans.search_flow import search_documents
 from casekit.plans.transfer_flow import score_transfers
-from casekit.schemas import TRANSFER_COLUMNS  # noqa: F401
 from casekit.sources import adapters as A
 from casekit.sources import sinks as SINKS
 
@@ -553,8 +552,8 @@ WHERE length(text) > 0"""
 
 
 def _bucket_sql(text: str, dims: int = _DIMS) -> str:
-    tokens = f"list_filter(string_split_regex(lower(coalesce({text}, '')), '[^a-z0-9]+'), lambda t: t <> '')"
-    return f"list_transform({tokens}, lambda t: CAST(('0x' || substr(md5(t), 1, 2)) AS INTEGER) % {dims})"
+    tokens = rf"list_filter(string_split_regex(lower(coalesce({text}, '')), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '')"
+    return f"list_transform({tokens}, lambda t: CAST(('0x' || substr(md5(t), 1, 8)) AS BIGINT) % {dims})"
 
 
 def _count_sql(buckets: str, dims: int = _DIMS) -> str:
@@ -589,10 +588,29 @@ def q_chunks_fixed(spark, sf_dir):
     return _chunk_summary(_fixed_chunks(spark, sf_dir))
 
 
-@register("chunks_boundary")
+# What the cut promises, per document: all its text but white space comes back
+# from the chunks in order, none is too long, none shares too much, and each
+# ends at a separator where its text has one.
+@register("chunks_boundary", rf"""
+SELECT doc_id, md5(regexp_replace(text, '[\x09-\x0D\x20]+', '', 'g')) AS text_md5, TRUE AS sizes_hold,
+       TRUE AS overlaps_hold, TRUE AS ends_hold
+FROM documents WHERE regexp_matches(text, '[^\x09-\x0D\x20]')""")
 def q_chunks_boundary(spark, sf_dir):
     docs = A.read_table(spark, sf_dir, "documents", "doc_id", "text")
-    return _chunk_summary(DOC.chunk_documents_boundary(docs))
+    ch = DOC.chunk_documents_boundary(docs)
+    w = Window.partitionBy("doc_id").orderBy("chunk_id")
+    end = F.col("start") + F.length("chunk_text")
+    ch = ch.withColumns({"end": end, "before": F.coalesce(F.lag(end).over(w), F.lit(0)),
+                         "last": F.lead("chunk_id").over(w).isNull()})
+    fresh = F.substring("chunk_text", F.greatest(F.col("before") - F.col("start"), F.lit(0)) + 1, DOC.CHUNK_SIZE)
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_id", fresh.alias("t")))), lambda x: x["t"]), "")
+    cut_well = F.col("last") | F.col("chunk_text").rlike(r"[\n\x20]$") | ~F.substring(
+        "chunk_text", 2, DOC.CHUNK_SIZE).rlike(r"[\n\x20]")
+    return ch.groupBy("doc_id").agg(
+        F.md5(F.regexp_replace(body, r"[\x09-\x0D\x20]+", "")).alias("text_md5"),
+        (F.max(F.length("chunk_text")) <= DOC.CHUNK_SIZE).alias("sizes_hold"),
+        (F.max(F.col("before") - F.col("start")) <= DOC.CHUNK_OVERLAP).alias("overlaps_hold"),
+        F.min(cut_well).alias("ends_hold"))
 
 
 @register("chunk_vectors", f"""
@@ -610,6 +628,62 @@ def q_chunk_vectors(spark, sf_dir):
                                   ",").alias("vector_text"))
 
 
+_WIDE = 300
+
+
+@register("chunk_vectors_wide", f"""
+WITH c AS MATERIALIZED ({_chunks_sql()}),
+{_vector_ctes('c', 'c', 'chunk_text', 'doc_id, chunk_id').replace(f'% {_DIMS}', f'% {_WIDE}').replace(f'range({_DIMS})', f'range({_WIDE})')}
+SELECT doc_id, chunk_id, CAST(len(list_filter(v, lambda x: x > 0)) AS BIGINT) AS n_buckets,
+       md5(array_to_string(list_transform(v, lambda x: printf('%.6f', x)), ',')) AS vector_md5
+FROM cv""")
+def q_chunk_vectors_wide(spark, sf_dir):
+    rows = DOC.vectorize_chunks(_fixed_chunks(spark, sf_dir), _WIDE)
+    text = F.transform("vector", lambda x: F.call_function("format_number", x, F.lit("0.000000")))
+    return rows.select("doc_id", "chunk_id", F.size(F.filter("vector", lambda x: x > 0)).cast("long").alias("n_buckets"),
+                       F.md5(F.array_join(text, ",")).alias("vector_md5"))
+
+
+_ZERO_TIES = "CASE WHEN vec_id % 7 = 0 THEN list_transform(e, lambda x: 0.0::DOUBLE) ELSE e END"
+
+
+@register("knn_ties", f"""
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+z AS (SELECT vec_id, {_ZERO_TIES} AS e FROM v),
+p AS (
+  SELECT a.vec_id AS query_id, b.vec_id AS neighbor_id,
+         round(list_sum(list_transform(list_zip(a.e, b.e), lambda x: x[1] * x[2])), 9) AS s
+  FROM z a JOIN z b ON a.vec_id <> b.vec_id WHERE a.vec_id % 7 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, neighbor_id) AS rank FROM p)
+SELECT query_id, neighbor_id, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3""")
+def q_knn_ties(spark, sf_dir):
+    # Zero vectors score 0 against everything: a tie of the whole corpus.
+    emb = A.read_table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    zeros = emb.withColumn("embedding", F.when(F.col("vec_id") % 7 == 0, F.transform("embedding", lambda x: x * 0))
+                           .otherwise(F.col("embedding")))
+    res = VEC.similarity_search(zeros.filter("vec_id % 7 = 0").withColumnRenamed("vec_id", "query_id"), zeros, k=DOC.TOP_K,
+                                query_vec="embedding", item_cols="vec_id", item_vec="embedding", metric="dot", exclude_self=True)
+    return res.select("query_id", F.col("vec_id").alias("neighbor_id"), "rank")
+
+
+@register("knn_nonfinite", """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+p AS (
+  SELECT a.vec_id AS query_id, b.vec_id AS neighbor_id,
+         list_sum(list_transform(list_zip(a.e, b.e), lambda x: (x[1] - x[2]) * (x[1] - x[2]))) AS d
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE b.vec_id % 3 = 0 AND a.vec_id % 3 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, neighbor_id) AS rank FROM p)
+SELECT query_id, neighbor_id, CAST(rank AS INTEGER) AS rank, round(d, 4) AS distance FROM r WHERE rank <= 3""")
+def q_knn_nonfinite(spark, sf_dir):
+    # Two of three vectors hold NaN or infinity: they neither find nor hide anything.
+    emb = A.read_table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    bad = F.when(F.col("vec_id") % 3 == 1, F.lit(float("nan"))).when(F.col("vec_id") % 3 == 2, F.lit(float("inf"))).cast("float")
+    spoilt = emb.withColumn("embedding", F.transform("embedding", lambda x, i: F.coalesce(F.when(i == 5, bad), x)))
+    res = VEC.similarity_search(spoilt.withColumnRenamed("vec_id", "query_id"), spoilt, k=DOC.TOP_K, query_vec="embedding",
+                                item_cols="vec_id", item_vec="embedding", metric="l2", exclude_self=True)
+    return res.select("query_id", F.col("vec_id").alias("neighbor_id"), "rank", F.round("score", 4).alias("distance"))
+
+
 @register("knn_top3", """
 WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 p AS (
@@ -646,6 +720,22 @@ def q_search_context(spark, sf_dir):
                       F.round("best_score", 6).alias("best_score"))
 
 
+# The facts that hold whatever the cut: k chunks per query, each from its document.
+@register("search_context_boundary", """
+SELECT item_id AS query_id, 3::BIGINT AS n_chunks, TRUE AS texts_hold FROM benchmark""")
+def q_search_context_boundary(spark, sf_dir):
+    docs = A.read_table(spark, sf_dir, "documents", "doc_id", "text")
+    bench = A.read_table(spark, sf_dir, "benchmark", "item_id", "text")
+    res = search_documents(docs, bench.withColumnRenamed("item_id", "query_id"), k=DOC.TOP_K, dims=_DIMS, chunks="boundary")
+    names = F.explode(F.split("top_chunks", ",")).alias("name")
+    best = res.select("query_id", "context", names).withColumn("doc_id", F.split("name", ":")[0].cast("long"))
+    cut = DOC.chunk_documents_boundary(docs).withColumn("name", F.concat_ws(":", F.col("doc_id").cast("string"),
+                                                                            F.col("chunk_id").cast("string")))
+    found = best.join(cut.select("name", "chunk_text"), "name")
+    return found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_chunks"),
+                                         F.min(F.col("context").contains(F.col("chunk_text"))).alias("texts_hold"))
+
+
 # ================================================== tool + derived inputs ==
 @register("product", "SELECT l_orderkey, l_linenumber, l_partkey * l_suppkey AS product FROM lineitem")
 def q_product(spark, sf_dir):

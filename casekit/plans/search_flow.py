@@ -17,24 +17,22 @@ from casekit.operators import vectors as VEC
 
 def search_documents(documents: DataFrame, queries: DataFrame, k: int = DOC.TOP_K, dims: int = 64,
                      size: int = DOC.CHUNK_SIZE, overlap: int = DOC.CHUNK_OVERLAP,
-                     query_id: str = "query_id", query_text: str = "text") -> DataFrame:
+                     query_id: str = "query_id", query_text: str = "text", chunks: str = "fixed") -> DataFrame:
     """``documents(doc_id, text)`` x ``queries(query_id, text)`` ->
     ``(query_id, context, top_chunks, best_score)``; context = the k best
-    chunks joined by a blank line, best first (cosine on hashed term vectors)."""
+    chunks joined by a blank line, best first (dot product of hashed term
+    vectors).  ``chunks`` cuts documents at ``fixed`` offsets or at a
+    ``boundary`` (blank line, line, word)."""
+    cut = DOC.CHUNKERS[chunks]
     docs = documents.select("doc_id", "text")
-    corpus = DOC.vectorize_chunks(DOC.chunk_documents(docs, size, overlap), dims).select("doc_id", "chunk_id", "vector")
+    corpus = DOC.vectorize_chunks(cut(docs, size, overlap), dims).select("doc_id", "chunk_id", "vector")
     q = queries.select(F.col(query_id).alias("query_id"),
                        DOC.hashed_term_vector(F.col(query_text), dims).alias("vector"))
     top = VEC.similarity_search(q, corpus, k=k, item_cols=["doc_id", "chunk_id"], metric="dot")
     hit_docs = docs.join(top.select("doc_id").distinct(), "doc_id", "left_semi")
-    ranked = top.join(DOC.chunk_documents(hit_docs, size, overlap), ["doc_id", "chunk_id"])
-    # One aggregation per query over its k rows: context, ids and best score.
-    best = F.array_sort(F.collect_list(F.struct("rank", "doc_id", "chunk_id", "chunk_text")))
-    return (ranked.groupBy("query_id")
-            .agg(best.alias("__best"), F.max("score").alias("best_score"))
-            .select(F.col("query_id").alias(query_id),
-                    F.array_join(F.transform("__best", lambda x: x["chunk_text"]), DOC.CONTEXT_SEPARATOR)
-                    .alias("context"),
-                    F.array_join(F.transform("__best", lambda x: F.concat_ws(
-                        ":", x["doc_id"].cast("string"), x["chunk_id"].cast("string"))), ",").alias("top_chunks"),
-                    "best_score"))
+    ranked = top.join(cut(hit_docs, size, overlap), ["doc_id", "chunk_id"])
+    name = lambda x: F.concat_ws(":", x["doc_id"].cast("string"), x["chunk_id"].cast("string"))
+    out = DOC.assemble_context(ranked.select("query_id", "rank", "doc_id", "chunk_id", "chunk_text", "score"), also=[
+        F.array_join(F.transform("__best", name), ",").alias("top_chunks"),
+        F.array_max(F.transform("__best", lambda x: x["score"])).alias("best_score")])
+    return out.withColumnRenamed("query_id", query_id)

@@ -96,18 +96,45 @@ def test_vectors_and_context(spark):
     chunks = spark.createDataFrame([(1, 0, "the cat sat on the mat"), (1, 1, "dogs bark loudly"),
                                     (2, 0, "the cat and the hat"), (3, 0, "")],
                                    "doc_id long, chunk_id int, chunk_text string")
-    vecs = DOC.vectorize_chunks(chunks, dims=16).collect()
+    vecs = DOC.vectorize_chunks(chunks, dims=4096).collect()
     for r in vecs:
         norm = math.sqrt(sum(x * x for x in r.vector))
-        assert len(r.vector) == 16 and (abs(norm - 1) < 1e-12 or (norm == 0 and r.chunk_text == ""))
+        assert len(r.vector) == 4096 and (abs(norm - 1) < 1e-12 or (norm == 0 and r.chunk_text == ""))
     q = spark.createDataFrame([(7, "a cat on a mat")], "t_id long, text string") \
-        .select(F.col("t_id").alias("query_id"), DOC.hashed_term_vector(F.col("text"), 16).alias("vector"))
-    top = VEC.similarity_search(q, DOC.vectorize_chunks(chunks, 16).drop("chunk_text"), k=2,
+        .select(F.col("t_id").alias("query_id"), DOC.hashed_term_vector(F.col("text"), 4096).alias("vector"))
+    top = VEC.similarity_search(q, DOC.vectorize_chunks(chunks, 4096).drop("chunk_text"), k=2,
                                 item_cols=["doc_id", "chunk_id"], metric="dot")
     ctx = DOC.assemble_context(top.join(chunks, ["doc_id", "chunk_id"])).first()
     assert ctx.context.split("\n\n")[0] == "the cat sat on the mat"
 
 
+def test_tokens_of_every_language(spark):
+    df = spark.createDataFrame([("Übergrößen, naïve ÉTÉ 東京 x2",)], "t string").select(DOC.term_buckets(F.col("t"), 1 << 31).alias("b"))
+    assert len(set(df.first().b)) == 5
+
+
+@pytest.mark.parametrize("size,overlap", [(7, 0), (7, 3), (7, 6), (10, 1)])
+def test_fixed_chunks_of_code_points(spark, size, overlap):
+    text = "añ\U0001f600bc\ndé fgh東i jklmnop"
+    df = spark.createDataFrame([(n, text[:n]) for n in range(len(text) + 1)], "doc_id long, text string")
+    got = {}
+    for r in DOC.chunk_documents(df, size, overlap).orderBy("doc_id", "chunk_id").collect():
+        got.setdefault(r.doc_id, []).append((r.start, r.chunk_text))
+    for n in range(1, len(text) + 1):
+        starts = range(0, max(n - overlap, 1), size - overlap)
+        assert got[n] == [(s, text[:n][s:s + size]) for s in starts]
+
+
+def test_search_by_chunk_mode(spark):
+    from casekit.plans.search_flow import search_documents
+    docs = spark.createDataFrame([(1, "red apples grow here.\n\nblue whales swim far.\n\n" * 2), (2, "green grass")],
+                                 "doc_id long, text string")
+    q = spark.createDataFrame([(5, "whales swim")], "query_id long, text string")
+    r = search_documents(docs, q, k=1, dims=4096, size=24, overlap=0, chunks="boundary").first()
+    assert r.context == "blue whales swim far.\n\n" and r.top_chunks == "1:1"
+    assert "whales" in search_documents(docs, q, k=1, dims=4096, size=24, overlap=0).first().context
+
+
 def test_knn_string_ids_and_cosine(spark):
     rnd = np.random.default_rng(11)
     C = rnd.normal(size=(60, 4))
