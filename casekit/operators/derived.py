@@ -1,39 +1,80 @@
 """Inputs the transfer record takes as given, derived from event history.
 
 * ``trailing_counts``: per key, how many earlier events fall in the last
-  ``w`` seconds (the outbound-velocity counters).  A window partitioned by
-  the key alone would put a hot key's whole history into one task; instead
-  rows are partitioned by (key, time bucket of ``bucket_seconds`` >= the
-  longest window) and each bucket also receives the previous bucket's rows
-  as look-back context.  A hot key thus spreads over its buckets; the data
-  is read twice, never more.
+  ``w`` seconds (the outbound-velocity counters).  Events are counted per key
+  and minute first (combined map-side); whole minutes of a window are summed
+  over those counts, and only the two minutes at its ends are looked at event
+  by event.  No group is bigger than one key's minute, and a task that windows
+  a hot key sees one row per minute of its history.
 * ``first_seen_days``: days since a key pair was first seen -- an aggregate
   (combined map-side) joined back on the pair.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from casekit.functions.workers import ship_with_tasks
+
+ship_with_tasks(__name__)
 
 _US = 1_000_000
 
 
-def trailing_counts(df: DataFrame, key: str, ts: str, windows_seconds: list[int],
-                    bucket_seconds: int | None = None, prefix: str = "count_prev_") -> DataFrame:
+def _point_counts(windows: list[int], names: list[str]):
+    """Per key and bucket: the counts at each of its times."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            parts = []
+            for row in pdf.itertuples(index=False):
+                times = np.sort(np.asarray(row.times))
+                at = np.unique(times)
+                own = np.searchsorted(times, at, "left")
+                part = {"__k": [row[0]] * len(at), "__us": at}
+                for i, (w, name) in enumerate(zip(windows, names, strict=True)):
+                    edge = getattr(row, f"edge{i}")
+                    edge = np.sort(np.asarray(edge)) if edge is not None else np.zeros(0, np.int64)
+                    part[name] = own + getattr(row, f"full{i}") + len(edge) - np.searchsorted(edge, at - w * _US, "left")
+                parts.append(pd.DataFrame(part))
+            if parts:
+                yield pd.concat(parts, ignore_index=True)
+    return run
+
+
+def trailing_counts(df: DataFrame, key: str, ts: str, windows_seconds: list[int], prefix: str = "count_prev_") -> DataFrame:
     """Add ``{prefix}{w}s``: events of the same ``key`` at times in
-    ``[t - w, t)`` (microsecond resolution, the row itself excluded)."""
-    longest = max(windows_seconds)
-    bucket = bucket_seconds or longest
-    if bucket < longest:
-        raise ValueError("bucket_seconds must cover the longest window")
+    ``[t - w, t)`` (microsecond resolution, the row itself excluded).  A row
+    without a time counts 0 and is no event to others; a null key is a key."""
+    windows = [int(w) for w in windows_seconds]
+    names = [f"{prefix}{w}s" for w in windows]
+    bucket = math.gcd(60, *windows)  # so that a window begins as far into its bucket as it ends into its own
     us = F.unix_micros(F.col(ts).cast("timestamp"))
-    rows = df.withColumns({"__us": us, "__b": F.floor(us / (bucket * _US)), "__target": F.lit(True)})
-    context = rows.select(key, "__us", (F.col("__b") + 1).alias("__b"), F.lit(False).alias("__target"))
-    both = rows.unionByName(context, allowMissingColumns=True)
-    w = Window.partitionBy(key, "__b").orderBy("__us")
-    counts = {f"{prefix}{s}s": F.count(F.lit(1)).over(w.rangeBetween(-s * _US, -1)) for s in windows_seconds}
-    return both.withColumns(counts).filter(F.col("__target")).drop("__us", "__b", "__target")
+    rows = df.withColumn("__us", us)
+    events = rows.filter(F.col("__us").isNotNull()).select(
+        F.col(key).alias("__k"), "__us", F.floor(F.col("__us") / (bucket * _US)).alias("__b"))
+    minutes = events.groupBy("__k", "__b").agg(F.count(F.lit(1)).alias("n"), F.collect_list("__us").alias("times"))
+    history = Window.partitionBy("__k").orderBy("__b")
+    between = [F.coalesce(F.sum("n").over(history.rangeBetween(1 - w // bucket, -1)), F.lit(0)).alias(f"full{i}") if w > bucket
+               else F.lit(0).cast("long").alias(f"full{i}") for i, w in enumerate(windows)]
+    counts = events.groupBy("__k", "__b").agg(F.count(F.lit(1)).alias("n")).select(
+        F.col("__k").alias("k2"), F.col("__b").alias("b2"), *between)
+    cell = minutes.join(counts, F.col("__k").eqNullSafe(F.col("k2")) & (F.col("__b") == F.col("b2"))).drop("k2", "b2", "n")
+    for i, w in enumerate(windows):
+        edge = minutes.select(F.col("__k").alias("k2"), (F.col("__b") + w // bucket).alias("b2"), F.col("times").alias(f"edge{i}"))
+        cell = cell.join(edge, F.col("__k").eqNullSafe(F.col("k2")) & (F.col("__b") == F.col("b2")), "left").drop("k2", "b2")
+    schema = T.StructType([T.StructField("__k", df.schema[key].dataType), T.StructField("__us", T.LongType())]
+                          + [T.StructField(n, T.LongType()) for n in names])
+    found = cell.drop("__b").mapInPandas(_point_counts(windows, names), schema).withColumnsRenamed(
+        {"__k": "__k2", "__us": "__us2"})
+    out = rows.join(found, F.col(key).eqNullSafe(F.col("__k2")) & (F.col("__us") == F.col("__us2")), "left")
+    return out.select(*df.columns, *[F.coalesce(n, F.lit(0).cast("long")).alias(n) for n in names])
 
 
 def first_seen_days(df: DataFrame, keys: list[str], ts: str, out: str = "first_seen_days") -> DataFrame:

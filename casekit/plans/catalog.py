@@ -755,6 +755,17 @@ def q_event_velocity(spark, sf_dir):
     return DER.trailing_counts(ev, "user_id", "ts", [3600, 86400]).drop("ts")
 
 
+@register("event_velocity_null_times", """
+SELECT event_id, user_id, CASE WHEN event_id % 9 = 0 THEN 0 ELSE
+  count(*) FILTER (WHERE event_id % 9 <> 0) OVER (PARTITION BY user_id ORDER BY epoch_us(ts)
+    RANGE BETWEEN 5400000000 PRECEDING AND 1 PRECEDING) END AS count_prev_5400s
+FROM events""")
+def q_event_velocity_null_times(spark, sf_dir):
+    ev = A.read_table(spark, sf_dir, "events", "event_id", "user_id", "ts")
+    ev = ev.withColumn("ts", F.when(F.col("event_id") % 9 != 0, F.col("ts")))
+    return DER.trailing_counts(ev, "user_id", "ts", [5400]).drop("ts")
+
+
 @register("first_seen", """
 SELECT event_id, user_id, event_type,
   CAST(date_diff('day', min(CAST(ts AS DATE)) OVER (PARTITION BY user_id, event_type), CAST(ts AS DATE)) AS INTEGER)

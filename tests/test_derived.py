@@ -7,21 +7,31 @@ from casekit.operators import derived as DER
 from casekit.operators.tools import multiply
 
 
-@pytest.mark.parametrize("bucket", [None, 7200, 100000])
-def test_trailing_counts_brute_force(spark, bucket):
+@pytest.mark.parametrize("windows", [[3600, 7200], [60], [30, 90], [7, 86400]])
+def test_trailing_counts_brute_force(spark, windows):
     rnd = random.Random(5)
     t0 = dt.datetime(2024, 1, 1)
-    rows = [(i, rnd.choice([1, 2]), t0 + dt.timedelta(seconds=rnd.choice([rnd.randint(0, 200000), 3600, 7200, 86400])))
-            for i in range(300)]
+    rows = [(i, rnd.choice([1, 2, None]), t0 + dt.timedelta(seconds=rnd.choice(
+        [rnd.randint(0, 200000), rnd.randint(0, 300), 3600, 7200, 86400]), microseconds=rnd.choice([0, 0, 1, 999999])))
+        for i in range(400)] + [(1000, 1, None), (1001, 1, None), (1002, None, None)]
     df = spark.createDataFrame(rows, "id long, k long, ts timestamp_ntz")
-    out = {r.id: r for r in DER.trailing_counts(df, "k", "ts", [3600, 7200], bucket_seconds=bucket).collect()}
+    out = {r.id: r for r in DER.trailing_counts(df, "k", "ts", windows).collect()}
     assert len(out) == len(rows)
     for i, k, t in rows:
-        for w in (3600, 7200):
-            want = sum(1 for _, kk, tt in rows if kk == k and t - dt.timedelta(seconds=w) <= tt < t)
+        for w in windows:
+            want = sum(1 for _, kk, tt in rows if t and tt and kk == k and t - dt.timedelta(seconds=w) <= tt < t)
             assert out[i][f"count_prev_{w}s"] == want
 
 
+def test_trailing_counts_hot_key(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(i, "hot", t0 + dt.timedelta(minutes=i)) for i in range(2000)]
+    rows += [(10000 + i, f"k{i}", t0 + dt.timedelta(minutes=i % 50)) for i in range(4000)]
+    out = DER.trailing_counts(spark.createDataFrame(rows, "id long, k string, ts timestamp_ntz"), "k", "ts", [3600])
+    got = {r.id: r.count_prev_3600s for r in out.collect()}
+    assert len(got) == 6000 and got[0] == 0 and got[30] == 30 and got[1999] == 60 and got[10007] == 0
+
+
 def test_first_seen_and_product(spark):
     df = spark.createDataFrame([(1, "a", dt.datetime(2024, 1, 1, 5)), (2, "a", dt.datetime(2024, 1, 4)),
                                 (3, "b", dt.datetime(2024, 1, 3))], "id long, k string, ts timestamp")
