@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from casekit.functions.parse import first_token, leading_float
 from casekit.operators.rules import Rule, apply_rules
@@ -26,6 +27,8 @@ AUDIT_EVENTS = ["triage_complete", "enrichment_complete", "rules_complete",
 TRIAGE_PROMPT = "Summarize suspicious aspects of payment "
 MODEL_PROMPT = "Estimate fraud probability (0-1) for "
 INVESTIGATOR_PROMPT = "Summarize investigation for "
+SYSTEM_TEXT = "You are a bank fraud investigation assistant. Be precise, cautious, and explain reasoning succinctly."
+STEP_TEMPERATURE = {"triage": 0.2, "model": 0.0, "investigator": 0.2}
 # ---------------------------------------------------------------------------
 
 PAYMENT_COLUMNS = ["txn_id", "amount", "currency", "merchant", "mcc", "channel", "country",
@@ -171,17 +174,35 @@ def audit_table(df: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ P6 --
+def _dumps(value: Column, kind: T.DataType) -> Column:
+    """JSON text of a value with a space after every comma and colon."""
+    if isinstance(kind, T.ArrayType):
+        return F.concat(F.lit("["), F.array_join(F.transform(value, lambda x: _dumps(x, kind.elementType)), ", "), F.lit("]"))
+    text = F.to_json(F.array(value), {"ignoreNullFields": "false"})
+    return F.substring(text, 2, F.length(text) - 2)
+
+
+def _dumps_object(df: DataFrame, cols: list[str]) -> Column:
+    parts = [F.concat(F.lit(f'"{c}": '), F.coalesce(_dumps(F.col(c), df.schema[c].dataType), F.lit("null"))) for c in cols]
+    return F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}"))
+
+
 def case_prompts(df: DataFrame) -> DataFrame:
-    """Prompts for the three model steps, long form ``(case_id, step, prompt)``."""
-    opts = {"ignoreNullFields": "false"}
-    payment = F.to_json(F.struct(*[F.col(c) for c in PAYMENT_COLUMNS]), opts)
-    feats = F.to_json(F.struct(F.col("amount"), F.col("channel"),
-                               (~F.coalesce(F.col("seen_before"), F.lit(False))).alias("new_device")), opts)
-    prompts = F.array(
-        F.struct(F.lit("triage").alias("step"), F.concat(F.lit(TRIAGE_PROMPT), payment).alias("prompt")),
-        F.struct(F.lit("model").alias("step"), F.concat(F.lit(MODEL_PROMPT), feats).alias("prompt")),
-        F.struct(F.lit("investigator").alias("step"),
-                 F.concat(F.lit(INVESTIGATOR_PROMPT), payment, F.lit(", rules "), F.to_json(F.col("rule_hits")),
-                          F.lit(", score "), py_float_text(F.col("model_score"))).alias("prompt")),
-    )
-    return df.select(F.col("txn_id").alias("case_id"), F.inline(prompts))
+    """Prompts for the three model steps, long form
+    ``(case_id, step, system, prompt, temperature)``.
+
+    Records and lists stand in the prompts as JSON with a space after commas
+    and colons, in all three steps.
+    """
+    df = df.withColumn("new_device", ~F.coalesce(F.col("seen_before"), F.lit(False)))
+    payment = _dumps_object(df, PAYMENT_COLUMNS)
+    texts = {
+        "triage": F.concat(F.lit(TRIAGE_PROMPT), payment),
+        "model": F.concat(F.lit(MODEL_PROMPT), _dumps_object(df, ["amount", "channel", "new_device"])),
+        "investigator": F.concat(F.lit(INVESTIGATOR_PROMPT), payment, F.lit(", rules "),
+                                 _dumps(F.col("rule_hits"), df.schema["rule_hits"].dataType),
+                                 F.lit(", score "), py_float_text(F.col("model_score"))),
+    }
+    prompts = [F.struct(F.lit(step).alias("step"), F.lit(SYSTEM_TEXT).alias("system"), text.alias("prompt"),
+                        F.lit(STEP_TEMPERATURE[step]).alias("temperature")) for step, text in texts.items()]
+    return df.select(F.col("txn_id").alias("case_id"), F.inline(F.array(*prompts)))

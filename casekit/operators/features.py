@@ -13,11 +13,9 @@ Scale notes
   back -- a broadcast hash join when AQE sees it is small, else a sort-merge
   join whose skewed partitions AQE splits.  Without keys the aggregate is a
   scalar subquery.
-* Rolling windows by default first combine rows to (key, day) partials
-  (map-side), window over those -- at most one row per key and day, so no
-  task grows with a hot key -- and join the results back on (key, day).
-  ``pre_aggregate=False`` windows the rows directly (one shuffle; a key's
-  rows then sort in one task, fine when the input is already daily).
+* Rolling windows first combine rows to (key, day) partials (map-side), window
+  over those -- at most one row per key and day, so no task grows with a hot
+  key's rows -- and join the results back on (key, day).
 """
 
 from __future__ import annotations
@@ -27,14 +25,15 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import WindowSpec
 
 AGG_FUNCS = {
     "sum": F.sum, "avg": F.avg, "mean": F.avg, "average": F.avg, "count": F.count,
     "min": F.min, "max": F.max, "stddev": F.stddev, "count_distinct": F.count_distinct,
     "approx_count_distinct": F.approx_count_distinct,
 }
-# Functions that combine from per-day partials.
-DECOMPOSABLE = {"sum", "avg", "mean", "average", "count", "min", "max"}
+# Functions that combine from per-day partials; distinct counts do not.
+ROLLING_FUNCS = {"sum", "avg", "mean", "average", "count", "min", "max", "stddev"}
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 
@@ -113,48 +112,26 @@ def _feature_name(fn: str, col: str, size: int, offset: int) -> str:
 def rolling_window_aggregations(df: DataFrame, partition_cols: list[str], order_col: str,
                                 agg_func: str | list[str], num_cols_to_agg: list[str],
                                 window_size_in_days: list[int] | int, window_offset: int = 0,
-                                round_dec_points: int | None = 2,
-                                pre_aggregate: bool | None = None) -> DataFrame:
+                                round_dec_points: int | None = 2) -> DataFrame:
     """Add one column per (function, column, window size): the aggregate
     over the rows of the same partition whose day lies in the window.
 
     The frame is a RANGE over day numbers (``unix_date``): gaps in dates do
     not stretch it and rows of the same day are peers.  A window of ``w``
-    days with offset ``o`` covers days ``[d-(w-1)-o, d-o]``.
-
-    ``pre_aggregate`` (default: whenever every function combines from
-    partials) windows over per-(key, day) partials and joins them back, so a
-    key holding a third of all rows never lands in one task; ``False``
-    windows over the rows directly (one shuffle, fine for daily input).
+    days with offset ``o`` covers days ``[d-(w-1)-o, d-o]``.  Sums and averages
+    of decimals are exact; ``stddev`` (sample) is a double, merged from the
+    days' counts, means and squared deviations, and null for fewer than two
+    values.  Distinct counts do not combine over days and are rejected.
     """
     keys = list(partition_cols)
     cols = list(num_cols_to_agg)
     _check_columns(df, keys + [order_col] + cols, "rolling_window_aggregations")
     funcs = _funcs(agg_func)
+    bad = [f for f in funcs if f not in ROLLING_FUNCS]
+    if bad:
+        raise ValueError(f"no rolling windows of {bad}; allowed: {sorted(ROLLING_FUNCS)}")
     sizes = [window_size_in_days] if isinstance(window_size_in_days, int) else list(window_size_in_days)
-    day = F.unix_date(F.to_date(F.col(order_col)))
-    if pre_aggregate is None:
-        pre_aggregate = all(f in DECOMPOSABLE for f in funcs)
-    if pre_aggregate:
-        bad = [f for f in funcs if f not in DECOMPOSABLE]
-        if bad:
-            raise ValueError(f"pre_aggregate needs decomposable functions, not {bad}")
-        return _rolling_daily(df, keys, day, funcs, cols, sizes, window_offset, round_dec_points)
-    base = Window.partitionBy(*keys).orderBy(day)
-    new = {}
-    for size in sizes:
-        w = base.rangeBetween(*_frame(size, window_offset))
-        for fn in funcs:
-            for c in cols:
-                new[_feature_name(fn, c, size, window_offset)] = _round(
-                    AGG_FUNCS[fn](F.col(c)).over(w), round_dec_points, fn)
-    # All columns share one partitioning and ordering: one shuffle, one sort.
-    return df.withColumns(new)
-
-
-def _rolling_daily(df: DataFrame, keys: list[str], day: Column, funcs: list[str], cols: list[str],
-                   sizes: list[int], offset: int, places: int | None) -> DataFrame:
-    staged = df.withColumn("__day", day)
+    staged = df.withColumn("__day", F.unix_date(F.to_date(F.col(order_col))))
     parts = []
     for c in cols:
         parts += [F.sum(c).alias(f"__s_{c}"), F.count(c).alias(f"__n_{c}")]
@@ -162,25 +139,22 @@ def _rolling_daily(df: DataFrame, keys: list[str], day: Column, funcs: list[str]
             parts.append(F.min(c).alias(f"__lo_{c}"))
         if "max" in funcs:
             parts.append(F.max(c).alias(f"__hi_{c}"))
+        if "stddev" in funcs:
+            x = F.col(c).cast("double")
+            parts += [F.avg(x).alias(f"__m_{c}"), (F.var_pop(x) * F.count(c)).alias(f"__q_{c}")]
     daily = staged.groupBy(*keys, "__day").agg(*parts)
     base = Window.partitionBy(*keys).orderBy("__day")
+    if "stddev" in funcs:
+        # Deviations from the key's first mean: no large squares cancel.
+        first = base.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        daily = daily.withColumns({f"__d_{c}": F.col(f"__m_{c}") - F.first(f"__m_{c}", ignorenulls=True).over(first) for c in cols})
     new = {}
     for size in sizes:
-        w = base.rangeBetween(*_frame(size, offset))
+        w = base.rangeBetween(*_frame(size, window_offset))
         for fn in funcs:
             for c in cols:
-                s, n = F.sum(f"__s_{c}").over(w), F.sum(f"__n_{c}").over(w)
-                if fn == "sum":
-                    v = s
-                elif fn == "count":
-                    v = F.coalesce(n, F.lit(0)).cast("long")
-                elif fn in ("avg", "mean", "average"):
-                    v = F.try_divide(s, n)  # exact for decimal input
-                elif fn == "min":
-                    v = F.min(f"__lo_{c}").over(w)
-                else:
-                    v = F.max(f"__hi_{c}").over(w)
-                new[_feature_name(fn, c, size, offset)] = _round(v, places, fn)
+                new[_feature_name(fn, c, size, window_offset)] = _round(_over_days(fn, c, w), round_dec_points, fn)
+    # All columns share one partitioning and ordering: one shuffle, one sort.
     feats = daily.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__day").alias("__k_day"),
                          *[e.alias(n) for n, e in new.items()])
     cond = [staged[k].eqNullSafe(feats[f"__k_{k}"]) for k in keys] + [staged["__day"].eqNullSafe(feats["__k_day"])]
@@ -188,6 +162,24 @@ def _rolling_daily(df: DataFrame, keys: list[str], day: Column, funcs: list[str]
                   .drop("__day", "__k_day", *[f"__k_{k}" for k in keys]))
 
 
+def _over_days(fn: str, c: str, w: WindowSpec) -> Column:
+    """An aggregate over a window's daily partials of column ``c``."""
+    total, n = F.sum(f"__s_{c}").over(w), F.sum(f"__n_{c}").over(w)
+    if fn == "sum":
+        return total
+    if fn == "count":
+        return F.coalesce(n, F.lit(0)).cast("long")
+    if fn == "min":
+        return F.min(f"__lo_{c}").over(w)
+    if fn == "max":
+        return F.max(f"__hi_{c}").over(w)
+    if fn == "stddev":
+        weight, d = F.col(f"__n_{c}"), F.col(f"__d_{c}")
+        squares = F.sum(F.col(f"__q_{c}") + weight * d * d).over(w) - F.pow(F.sum(weight * d).over(w), 2) / n
+        return F.when(n > 1, F.sqrt(F.greatest(squares, F.lit(0.0)) / (n - 1)))
+    return F.try_divide(total, n)
+
+
 # ------------------------------------------------------------------ G4 --
 def daily_totals(df: DataFrame, keys: list[str], date_col: str, type_cols: list[str],
                  total_name: str = "total_event_cnt", round_dec_points: int | None = 2) -> DataFrame:
@@ -220,12 +212,11 @@ class Rolling:
     window_size_in_days: list[int] = field(default_factory=lambda: [7])
     window_offset: int = 0
     round_dec_points: int | None = 2
-    pre_aggregate: bool | None = None
 
     def apply(self, df: DataFrame) -> DataFrame:
         return rolling_window_aggregations(df, self.partition_cols, self.order_col, self.agg_func,
                                            self.num_cols_to_agg, self.window_size_in_days,
-                                           self.window_offset, self.round_dec_points, self.pre_aggregate)
+                                           self.window_offset, self.round_dec_points)
 
 
 def build_features(df: DataFrame, specs: list[BaseAgg | Rolling]) -> DataFrame:

@@ -282,8 +282,10 @@ def _case_cte() -> str:
     rx = PY_FLOAT_TOKEN.replace("'", "''")
     return rf"""
 WITH p AS ({A.PAYMENTS_SQL}),
-cu AS ({A.CUSTOMERS_SQL}),
-dv AS ({A.DEVICES_SQL}),
+cu AS (SELECT * EXCLUDE (pick) FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY kyc_level) AS pick
+       FROM ({A.CUSTOMERS_SQL})) WHERE pick = 1),
+dv AS (SELECT * EXCLUDE (pick) FROM (SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY reputation) AS pick
+       FROM ({A.DEVICES_SQL})) WHERE pick = 1),
 cc AS ({A.CASE_COMPLETIONS_SQL}),
 j AS (
   SELECT p.*, cu.* EXCLUDE (customer_id), dv.* EXCLUDE (device_id),
@@ -384,17 +386,32 @@ def q_case_audit(spark, sf_dir):
     return CS.audit_table(cases)
 
 
-_PAYMENT_JSON = "to_json(" + _struct_sql(CS.PAYMENT_COLUMNS).replace("'timestamp': timestamp", "'timestamp': \"timestamp\"") + ")"
+def _dumps_sql(cols) -> str:
+    """A JSON object with spaces after commas and colons."""
+    def value(c):
+        if c == "flags":
+            return "'[' || array_to_string(list_transform(flags, lambda x: CAST(to_json(x) AS VARCHAR)), ', ') || ']'"
+        return f"coalesce(CAST(to_json({c}) AS VARCHAR), 'null')"
+    quoted = [f"'\"{c}\": ' || {value(chr(34) + c + chr(34))}" if c == "timestamp" else f"'\"{c}\": ' || {value(c)}" for c in cols]
+    return "'{' || " + " || ', ' || ".join(quoted) + " || '}'"
+
+
+_PAYMENT_JSON = _dumps_sql(["txn_id", "amount", "currency", "merchant", "mcc", "channel", "country", "customer_id", "device_id",
+                            "ip", "timestamp", "flags"])
+_SYSTEM_SQL = "'You are a bank fraud investigation assistant. Be precise, cautious, and explain reasoning succinctly.'"
 
 
 @register("case_prompts", _case_cte() + f"""
-SELECT txn_id AS case_id, 'triage' AS step, '{CS.TRIAGE_PROMPT}' || {_PAYMENT_JSON} AS prompt FROM d
+SELECT txn_id AS case_id, 'triage' AS step, {_SYSTEM_SQL} AS system,
+       'Summarize suspicious aspects of payment ' || {_PAYMENT_JSON} AS prompt, 0.2::DOUBLE AS temperature FROM d
 UNION ALL
-SELECT txn_id, 'model', '{CS.MODEL_PROMPT}' || to_json({{'amount': amount, 'channel': channel,
-       'new_device': NOT coalesce(seen_before, FALSE)}}) FROM d
+SELECT txn_id, 'model', {_SYSTEM_SQL}, 'Estimate fraud probability (0-1) for {{"amount": ' || to_json(amount) || ', "channel": '
+       || to_json(channel) || ', "new_device": ' || CASE WHEN coalesce(seen_before, FALSE) THEN 'false' ELSE 'true' END || '}}',
+       0.0::DOUBLE FROM d
 UNION ALL
-SELECT txn_id, 'investigator', '{CS.INVESTIGATOR_PROMPT}' || {_PAYMENT_JSON} || ', rules ' || to_json(rule_hits)
-       || ', score ' || CASE WHEN isnan(model_score) THEN 'nan' ELSE CAST(model_score AS VARCHAR) END FROM d""")
+SELECT txn_id, 'investigator', {_SYSTEM_SQL}, 'Summarize investigation for ' || {_PAYMENT_JSON} || ', rules ['
+       || array_to_string(list_transform(rule_hits, lambda x: CAST(to_json(x) AS VARCHAR)), ', ') || '], score '
+       || CASE WHEN isnan(model_score) THEN 'nan' ELSE CAST(model_score AS VARCHAR) END, 0.2::DOUBLE FROM d""")
 def q_case_prompts(spark, sf_dir):
     cases, _ = _cases(spark, sf_dir)
     return CS.case_prompts(cases)
@@ -480,10 +497,7 @@ _ROLL_FUNCS, _ROLL_COLS, _ROLL_SIZES = ["sum", "avg", "count"], [_LOGIN, _PAY],
     for w in _ROLL_SIZES for fn in _ROLL_FUNCS for c in _ROLL_COLS) + f" FROM {_DE}")
 def q_rolling_7_3(spark, sf_dir):
     df = _daily(spark, sf_dir).select("customer_id", "business_date", *_ROLL_COLS)
-    # Daily input: at most one row per customer and day, so the direct window
-    # cannot skew and the (key, day) pre-aggregation would only add a join.
-    out = FE.rolling_window_aggregations(df, ["customer_id"], "business_date", _ROLL_FUNCS, _ROLL_COLS, _ROLL_SIZES,
-                                         pre_aggregate=False)
+    out = FE.rolling_window_aggregations(df, ["customer_id"], "business_date", _ROLL_FUNCS, _ROLL_COLS, _ROLL_SIZES)
     return _date_text(out).drop(*_ROLL_COLS)
 
 
@@ -493,21 +507,36 @@ def q_rolling_7_3(spark, sf_dir):
 def q_rolling_offset(spark, sf_dir):
     df = _daily(spark, sf_dir).select("customer_id", "business_date", _EVT)
     out = FE.rolling_window_aggregations(df, ["customer_id"], "business_date", ["avg", "count"], [_EVT], [7],
-                                         window_offset=2, pre_aggregate=False)  # daily input
+                                         window_offset=2)
     return _date_text(out).drop(_EVT)
 
 
-@register("daily_totals", f"""
-SELECT customer_id, CAST(business_date AS VARCHAR) AS business_date,
-       {_r(f'sum({_LOGIN})')} AS sum_{_LOGIN}, {_r(f'sum({_PAY})')} AS sum_{_PAY},
-       {_r(f'coalesce({_r(f"sum({_LOGIN})")}, 0) + coalesce({_r(f"sum({_PAY})")}, 0)')} AS total_event_cnt
-FROM {_DE} GROUP BY customer_id, business_date""")
+_TYPES = ["view", "signup", "error", "click", "purchase"]
+
+
+# One row per event, null where it is of another type: sums of many rows, and
+# days that lack a type.
+@register("daily_totals", "SELECT *, " + " + ".join(f"coalesce(sum_{t}, 0)" for t in _TYPES) + """ AS total_event_cnt FROM (
+SELECT user_id AS customer_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS business_date, """ + ", ".join(
+    f"sum(CASE WHEN event_type = '{t}' THEN 1.0::DOUBLE END) AS sum_{t}" for t in _TYPES) + """
+FROM events GROUP BY user_id, CAST(ts AS DATE))""")
 def q_daily_totals(spark, sf_dir):
-    return _date_text(FE.daily_totals(_daily(spark, sf_dir), ["customer_id"], "business_date", [_LOGIN, _PAY]))
+    ev = A.read_table(spark, sf_dir, "events", "user_id", "ts", "event_type")
+    rows = ev.select(F.col("user_id").alias("customer_id"), F.to_date("ts").alias("business_date"),
+                     *[F.when(F.col("event_type") == t, F.lit(1.0)).alias(t) for t in _TYPES])
+    return _date_text(FE.daily_totals(rows, ["customer_id"], "business_date", _TYPES))
+
+
+@register("base_agg_attach_global", f"""
+SELECT customer_id, CAST(business_date AS VARCHAR) AS business_date, {_r(f'avg({_EVT}) OVER ()')} AS avg_{_EVT},
+       {_r(f'max({_EVT}) OVER ()')} AS max_{_EVT} FROM {_DE}""")
+def q_base_agg_attach_global(spark, sf_dir):
+    df = _daily(spark, sf_dir).select("customer_id", "business_date", _EVT)
+    return _date_text(FE.base_aggregations(df, ["avg", "max"], [_EVT], mode="attach")).drop(_EVT)
 
 
 _CHAIN = [
-    FE.Rolling(["customer_id"], "business_date", ["sum", "avg"], [_LOGIN, _PAY], [7, 2], pre_aggregate=False),
+    FE.Rolling(["customer_id"], "business_date", ["sum", "avg"], [_LOGIN, _PAY], [7, 2]),
     FE.BaseAgg("avg", [_EVT], ["customer_id"], mode="attach"),
 ]
 
@@ -532,12 +561,30 @@ def q_rolling_events_daily(spark, sf_dir):
     # whatever order the partial sums combine in.
     ev = (A.read_table(spark, sf_dir, "events", "event_id", "user_id", "ts", "value")
           .withColumn("value", F.col("value").cast("decimal(18,2)")))
-    out = FE.rolling_window_aggregations(ev, ["user_id"], "ts", _RAW_FUNCS, ["value"], [7, 1], pre_aggregate=True)
+    out = FE.rolling_window_aggregations(ev, ["user_id"], "ts", _RAW_FUNCS, ["value"], [7, 1])
     feats = [c for c in out.columns if c not in ("event_id", "user_id", "ts", "value")]
     return out.select("event_id", "user_id",
                       *[F.col(c).cast("long" if c.startswith("count_") else "double").alias(c) for c in feats])
 
 
+_MOMENT_SQL = "SELECT event_id, user_id, ts, value FROM events"
+
+
+@register("rolling_stddev", "SELECT event_id, user_id, " + ", ".join(
+    f"CAST(round(CAST(stddev_samp(value) OVER (PARTITION BY user_id ORDER BY CAST(ts AS DATE) RANGE BETWEEN INTERVAL {w - 1} DAYS "
+    f"PRECEDING AND CURRENT ROW) AS DECIMAL(38, 12)), 2) AS DOUBLE) AS stddev_value_{w}d" for w in (7, 1)) + f" FROM ({_MOMENT_SQL})")
+def q_rolling_stddev(spark, sf_dir):
+    ev = A.read_table(spark, sf_dir, "events", "event_id", "user_id", "ts", "value")
+    return FE.rolling_window_aggregations(ev, ["user_id"], "ts", "stddev", ["value"], [7, 1]).drop("ts", "value")
+
+
+@register("rolling_min_max", "SELECT event_id, user_id, " + ", ".join(
+    _roll_sql(fn, "value", 3, 1, "user_id", "CAST(ts AS DATE)") for fn in ("min", "max")) + f" FROM ({_MOMENT_SQL})")
+def q_rolling_min_max(spark, sf_dir):
+    ev = A.read_table(spark, sf_dir, "events", "event_id", "user_id", "ts", "value")
+    return FE.rolling_window_aggregations(ev, ["user_id"], "ts", ["min", "max"], ["value"], [3], window_offset=1).drop("ts", "value")
+
+
 # ======================================================= job D (documents) ==
 _DIMS = 64
 

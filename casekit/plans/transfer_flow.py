@@ -26,11 +26,9 @@ def score_transfers(df: DataFrame, completions: DataFrame | None = None,
 
 
 def run_case(spark, record: dict, completions: DataFrame | None = None,
-             run_id: str = "", created_at: str | None = None) -> DataFrame:
-    """One transfer record (a dict, as posted by a client) -> its report row.
-
-    Invalid input comes back as the rejected row instead of raising.
-    """
+             run_id: str = "", created_at: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """One transfer record (a dict, as posted by a client) -> (its report row,
+    rejected rows); invalid input comes back rejected instead of raising."""
     from casekit.schemas import TRANSFER_COLUMNS, TRANSFER_TEXT
     raw = {c: (None if record.get(c) is None else str(record.get(c)).lower()
                if isinstance(record.get(c), bool) else str(record.get(c))) for c in TRANSFER_COLUMNS}

@@ -222,7 +222,13 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
         (ck % 3650).alias("account_age_days"),
         F.abs(F.col("c_acctbal") * 10).cast("long").alias("avg_monthly_spend"),
         (ck % 4).alias("chargeback_count_12m"),
-    )
+        # Some keys stand there twice; the row that sorts first counts.
+        F.explode(F.when(ck % 20 == 0, F.array(F.lit(0), F.lit(1))).when(ck % 10 == 0, F.array(F.lit(0), F.lit(2)))
+                  .otherwise(F.array(F.lit(0)))).alias("__twin"),
+    ).withColumns({
+        "kyc_level": F.when(F.col("__twin") == 1, "A-TWIN").when(F.col("__twin") == 2, "Z-TWIN").otherwise(F.col("kyc_level")),
+        "home_country": F.when(F.col("__twin") > 0, "XX").otherwise(F.col("home_country")),
+    }).drop("__twin")
 
 
 def devices(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -235,7 +241,11 @@ def devices(spark: SparkSession, sf_dir: str) -> DataFrame:
         (sk % 11 == 0).alias("rooted"),
         (sk % 500).alias("distance_km_from_home"),
         F.concat(F.lit("8."), _s(sk % 10), F.lit(".1")).alias("app_version"),
-    )
+        F.explode(F.when(sk % 8 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("__twin"),
+    ).withColumns({
+        "reputation": F.when(F.col("__twin") == 1, "bad").otherwise(F.col("reputation")),
+        "seen_before": F.when(F.col("__twin") == 1, F.lit(True)).otherwise(F.col("seen_before")),
+    }).drop("__twin")
 
 
 def case_completions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,7 +264,11 @@ def case_completions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.lit("investigator").alias("step"),
                  F.concat(F.lit("Investigation for "), case, F.lit(": review customer history.")).alias("text")),
     )
-    return o.filter(k12 != 0).select(case.alias("case_id"), F.inline(steps))
+    rows = o.filter(k12 != 0).select("o_orderkey", case.alias("case_id"), F.inline(steps))
+    # Every 19th case has a second investigator row; the greater text counts.
+    twice = (F.col("o_orderkey") % 19 == 0) & (F.col("step") == "investigator")
+    texts = F.when(twice, F.array(F.col("text"), F.lit("Zero findings on review."))).otherwise(F.array(F.col("text")))
+    return rows.select("case_id", "step", F.explode(texts).alias("text"))
 
 
 PAYMENTS_SQL = """
@@ -291,6 +305,11 @@ SELECT
   c_custkey % 4 AS chargeback_count_12m
 FROM customer
 """
+CUSTOMERS_SQL = f"""
+SELECT * FROM ({CUSTOMERS_SQL}) UNION ALL
+SELECT * REPLACE (CASE WHEN customer_id % 20 = 0 THEN 'A-TWIN' ELSE 'Z-TWIN' END AS kyc_level, 'XX' AS home_country)
+FROM ({CUSTOMERS_SQL}) WHERE customer_id % 10 = 0
+"""
 
 DEVICES_SQL = """
 SELECT
@@ -302,6 +321,10 @@ SELECT
   '8.' || CAST(s_suppkey % 10 AS VARCHAR) || '.1' AS app_version
 FROM supplier
 """
+DEVICES_SQL = f"""
+SELECT * FROM ({DEVICES_SQL}) UNION ALL
+SELECT * REPLACE ('bad' AS reputation, TRUE AS seen_before) FROM ({DEVICES_SQL}) WHERE device_id % 8 = 0
+"""
 
 CASE_COMPLETIONS_SQL = (
     "SELECT 'PAY-' || CAST(o_orderkey AS VARCHAR) AS case_id, "
@@ -309,7 +332,8 @@ CASE_COMPLETIONS_SQL = (
     "CASE o_orderkey % 12 "
     + " ".join(f"WHEN {r} THEN {_sql_str(t)}" for r, t in PAYMENT_SCORE_TEXTS.items())
     + " END AS score_text, "
-    "'Investigation for PAY-' || CAST(o_orderkey AS VARCHAR) || ': review customer history.' AS investigation_notes "
+    "CASE WHEN o_orderkey % 19 = 0 THEN 'Zero findings on review.' ELSE "
+    "'Investigation for PAY-' || CAST(o_orderkey AS VARCHAR) || ': review customer history.' END AS investigation_notes "
     "FROM orders WHERE o_orderkey % 12 <> 0"
 )
 

@@ -72,6 +72,12 @@ def test_prompts_long_form(spark):
     assert p.startswith(C.MODEL_PROMPT) and json.loads(p[len(C.MODEL_PROMPT):]) == \
         {"amount": 18250.0, "channel": "ecom", "new_device": False}
     assert ps[("ALERT-002", "investigator")].endswith(", rules [], score 0.5")
+    assert '"channel": "ecom", "country": "HKG"' in ps[("ALERT-001", "triage")]
+    assert '"flags": ["velocity_alert", "geo_anomaly"]}' in ps[("ALERT-001", "triage")]
+    assert ', rules ["RULE:HIGH_AMOUNT_ECOM", "RULE:GEO_MISMATCH"], score' in ps[("ALERT-001", "investigator")]
+    warm = {r.step: (r.temperature, r.system) for r in C.case_prompts(cases).collect()}
+    assert {k: v[0] for k, v in warm.items()} == {"triage": 0.2, "model": 0.0, "investigator": 0.2}
+    assert all(v[1].startswith("You are a bank fraud investigation assistant.") for v in warm.values())
 
 
 def test_first_per_key_is_deterministic(spark):

@@ -30,12 +30,10 @@ def _brute(rows, k, d, size, off, fn):
     return _round2(sum(vals) / len(vals)) if fn == "avg" else _round2(sum(vals))
 
 
-@pytest.mark.parametrize("pre", [False, True])
 @pytest.mark.parametrize("size,off", [(7, 0), (3, 0), (7, 2), (1, 0)])
-def test_rolling_matches_brute_force(spark, pre, size, off):
+def test_rolling_matches_brute_force(spark, size, off):
     rows, df = _events(spark)
-    out = FE.rolling_window_aggregations(df, ["k"], "d", ["sum", "avg", "count"], ["v"], [size], off,
-                                         pre_aggregate=pre).collect()
+    out = FE.rolling_window_aggregations(df, ["k"], "d", ["sum", "avg", "count"], ["v"], [size], off).collect()
     assert len(out) == len(rows)
     sfx = f"{size}d" + (f"_off{off}" if off else "")
     for r in out:
@@ -43,6 +41,30 @@ def test_rolling_matches_brute_force(spark, pre, size, off):
             assert r[f"{fn}_v_{sfx}"] == _brute(rows, r.k, r.d, size, off, fn), (fn, r)
 
 
+def test_rolling_stddev_min_max_and_types(spark):
+    import statistics
+    rows, df = _events(spark)
+    df = df.withColumn("big", df.v + 1e9)
+    out = FE.rolling_window_aggregations(df, ["k"], "d", ["stddev", "min", "max"], ["v", "big"], [3], round_dec_points=None)
+    assert len(out.columns) == 4 + 6
+    for r in out.collect():
+        vals = [v for k, d, v in rows if k == r.k and d is not None and r.d is not None and 0 <= (r.d - d).days < 3]
+        assert (r.min_v_3d, r.max_v_3d) == (min(vals), max(vals))
+        if len(vals) < 2:
+            assert r.stddev_v_3d is None and r.stddev_big_3d is None
+        else:
+            want = statistics.stdev(vals)
+            assert abs(r.stddev_v_3d - want) < 1e-9 and abs(r.stddev_big_3d - want) < 1e-4
+    amounts = df.selectExpr("k", "d", "cast(v as decimal(18,2)) v")
+    alone = FE.rolling_window_aggregations(amounts, ["k"], "d", ["sum", "avg"], ["v"], [3])
+    both = FE.rolling_window_aggregations(amounts, ["k"], "d", ["sum", "avg", "stddev"], ["v"], [3])
+    for c in ("sum_v_3d", "avg_v_3d"):
+        assert alone.schema[c].dataType == both.schema[c].dataType
+    for fn in ("count_distinct", "approx_count_distinct"):
+        with pytest.raises(ValueError, match="no rolling windows"):
+            FE.rolling_window_aggregations(df, ["k"], "d", fn, ["v"], [3])
+
+
 def test_group_attach_global(spark):
     rows, df = _events(spark)
     g = {r.k: r.avg_v for r in FE.base_aggregations(df, "avg", ["v"], ["k"]).collect()}

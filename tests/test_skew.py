@@ -20,7 +20,7 @@ def test_hot_key_rolling_pre_aggregated(spark):
     hot = [("hot", base + dt.timedelta(days=i % 10), 1.0) for i in range(3000)]
     cold = [(f"k{i}", base + dt.timedelta(days=i % 10), 2.0) for i in range(6000)]
     df = spark.createDataFrame(hot + cold, "k string, d date, v double")
-    out = FE.rolling_window_aggregations(df, ["k"], "d", ["sum", "count"], ["v"], [3], pre_aggregate=True)
+    out = FE.rolling_window_aggregations(df, ["k"], "d", ["sum", "count"], ["v"], [3])
     assert out.count() == 9000  # every input row kept
     r = out.filter((F.col("k") == "hot") & (F.col("d") == base + dt.timedelta(days=5))).first()
     assert (r.sum_v_3d, r.count_v_3d) == (900.0, 900)  # days 3, 4, 5: 300 rows each
