@@ -17,6 +17,7 @@ from casekit.operators.rules import Rule, apply_rules
 # ---------------------------------------------------------------------------
 # These must stay equal to the reference for equal results.
 # ---------------------------------------------------------------------------
+RULE_NAMES = ["RULE:HIGH_AMOUNT_ECOM", "RULE:NEW_DEVICE", "RULE:GEO_MISMATCH"]
 HIGH_AMOUNT = 15000
 ECOM_CHANNEL = "ecom"
 DEFAULT_MODEL_SCORE = 0.5
@@ -84,11 +85,11 @@ def resolved(df: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ R8 --
 def case_rules() -> list[Rule]:
     return [
-        Rule("RULE:HIGH_AMOUNT_ECOM", "RULE:HIGH_AMOUNT_ECOM",
+        Rule(RULE_NAMES[0], RULE_NAMES[0],
              (F.col("amount") > HIGH_AMOUNT) & (F.col("channel") == ECOM_CHANNEL)),
-        Rule("RULE:NEW_DEVICE", "RULE:NEW_DEVICE", ~F.coalesce(F.col("seen_before"), F.lit(False))),
+        Rule(RULE_NAMES[1], RULE_NAMES[1], ~F.coalesce(F.col("seen_before"), F.lit(False))),
         # Python '!=' on possibly-missing values: None != 'X' is True, None != None False.
-        Rule("RULE:GEO_MISMATCH", "RULE:GEO_MISMATCH", ~F.col("country").eqNullSafe(F.col("home_country"))),
+        Rule(RULE_NAMES[2], RULE_NAMES[2], ~F.col("country").eqNullSafe(F.col("home_country"))),
     ]
 
 

@@ -46,6 +46,15 @@ INVESTIGATOR_SYSTEM_PROMPT = (
     "RECOMMENDATION: APPROVE|REVIEW|DECLINE\n"
     "Keep it objective and reference concrete factors."
 )
+LARGE_EXTERNAL, LARGE_INTERNAL = 10000, 5000
+MANY_OUT_1H, MANY_OUT_24H = 5, 15
+NEW_ACCOUNT_DAYS, NEW_ACCOUNT_AMOUNT = 30, 2000
+ML_FULL_AMOUNT_EXTERNAL, ML_FULL_AMOUNT_INTERNAL = 15000.0, 8000.0
+ML_FULL_OUT_1H, ML_FULL_PRIOR_FRAUD = 10.0, 3.0
+ML_WEIGHTS = {"amount": 0.35, "geo": 0.15, "beneficiary": 0.15, "device": 0.10, "velocity": 0.10,
+              "prior_fraud": 0.05, "new_account": 0.05, "memo": 0.05, "rules": 0.20}
+COMPOSITE_ML, COMPOSITE_RULES = 0.6, 0.4
+DECLINE_FROM, REVIEW_FROM = 0.75, 0.45
 FALLBACK_DRIVERS = {
     "DECLINE": "Key drivers: high rules and/or ML score",
     "REVIEW": "Key drivers: moderate risk indicators",
@@ -176,15 +185,15 @@ def transfer_rules() -> list[Rule]:
     amount = F.col("amount")
     ext = F.col("is_external")
     preds = [
-        ext & (amount >= 10000),
-        ~ext & (amount >= 5000),
+        ext & (amount >= LARGE_EXTERNAL),
+        ~ext & (amount >= LARGE_INTERNAL),
         F.col("is_new_beneficiary"),
         F.col("geo_risk") == "HIGH",
         ~F.col("device_known"),
-        F.col("out_1h") >= 5,
-        F.col("out_24h") >= 15,
+        F.col("out_1h") >= MANY_OUT_1H,
+        F.col("out_24h") >= MANY_OUT_24H,
         F.col("prior_fraud") > 0,
-        (F.col("origin_tenure_days") < 30) & (amount >= 2000),
+        (F.col("origin_tenure_days") < NEW_ACCOUNT_DAYS) & (amount >= NEW_ACCOUNT_AMOUNT),
         F.col("memo_risky"),
     ]
     return [Rule(name, reason, p) for (name, reason), p in zip(RULE_TEXTS, preds)]
@@ -200,17 +209,25 @@ def score_rules(df: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
 # --------------------------------------------------------------------- R4 --
 def ml_risk(df: DataFrame) -> DataFrame:
     """Weighted heuristic score clamped to [0, 1], rounded to 3 places."""
-    ext = F.col("is_external")
+    full = F.when(F.col("is_external"), F.lit(ML_FULL_AMOUNT_EXTERNAL)).otherwise(F.lit(ML_FULL_AMOUNT_INTERNAL))
+    w = ML_WEIGHTS
+
+    def share(c: Column, weight: float) -> Column:
+        return F.least(c, F.lit(1.0)) * weight
+
+    def hit(c: Column, weight: float) -> Column:
+        return F.when(c, F.lit(weight)).otherwise(F.lit(0.0))
+
     terms = [
-        F.least(F.col("amount") / F.when(ext, F.lit(15000.0)).otherwise(F.lit(8000.0)), F.lit(1.0)) * 0.35,
-        F.when(F.col("geo_risk") == "HIGH", F.lit(0.15)).otherwise(F.lit(0.0)),
-        F.when(F.col("is_new_beneficiary"), F.lit(0.15)).otherwise(F.lit(0.0)),
-        F.when(~F.col("device_known"), F.lit(0.10)).otherwise(F.lit(0.0)),
-        F.least(F.col("out_1h") / 10.0, F.lit(1.0)) * 0.10,
-        F.least(F.col("prior_fraud") / 3.0, F.lit(1.0)) * 0.05,
-        F.when(F.col("origin_tenure_days") < 30, F.lit(0.05)).otherwise(F.lit(0.0)),
-        F.when(F.col("memo_risky"), F.lit(0.05)).otherwise(F.lit(0.0)),
-        F.col("rule_score") * 0.20,
+        share(F.col("amount") / full, w["amount"]),
+        hit(F.col("geo_risk") == "HIGH", w["geo"]),
+        hit(F.col("is_new_beneficiary"), w["beneficiary"]),
+        hit(~F.col("device_known"), w["device"]),
+        share(F.col("out_1h") / ML_FULL_OUT_1H, w["velocity"]),
+        share(F.col("prior_fraud") / ML_FULL_PRIOR_FRAUD, w["prior_fraud"]),
+        hit(F.col("origin_tenure_days") < NEW_ACCOUNT_DAYS, w["new_account"]),
+        hit(F.col("memo_risky"), w["memo"]),
+        F.col("rule_score") * w["rules"],
     ]
     total = terms[0]
     for t in terms[1:]:
@@ -222,8 +239,8 @@ def ml_risk(df: DataFrame) -> DataFrame:
 def fallback_notes(header: str = DEFAULT_NOTES_HEADER) -> Column:
     """Deterministic investigator notes from the ML and rule scores."""
     ml, rule = F.col("ml_score"), F.col("rule_score")
-    level = (F.when((ml >= 0.75) | (rule >= 0.75), F.lit("DECLINE"))
-             .when((ml >= 0.45) | (rule >= 0.45), F.lit("REVIEW"))
+    level = (F.when((ml >= DECLINE_FROM) | (rule >= DECLINE_FROM), F.lit("DECLINE"))
+             .when((ml >= REVIEW_FROM) | (rule >= REVIEW_FROM), F.lit("REVIEW"))
              .otherwise(F.lit("APPROVE")))
     drivers = F.when(level == "DECLINE", F.lit(FALLBACK_DRIVERS["DECLINE"])) \
         .when(level == "REVIEW", F.lit(FALLBACK_DRIVERS["REVIEW"])) \
@@ -263,12 +280,12 @@ def decide(df: DataFrame) -> DataFrame:
     rec = last_prefixed_line("investigator_notes", RECOMMENDATION_PREFIX)
     staged = df.withColumns({
         "recommendation": rec,
-        "composite": F.least(F.lit(1.0), F.col("ml_score") * 0.6 + F.col("rule_score") * 0.4),
+        "composite": F.least(F.lit(1.0), F.col("ml_score") * COMPOSITE_ML + F.col("rule_score") * COMPOSITE_RULES),
     })
     rec, comp = F.col("recommendation"), F.col("composite")
     verdict = (F.when(rec.isin(VERDICTS), rec)
-               .when(comp >= 0.75, F.lit("DECLINE"))
-               .when(comp >= 0.45, F.lit("REVIEW"))
+               .when(comp >= DECLINE_FROM, F.lit("DECLINE"))
+               .when(comp >= REVIEW_FROM, F.lit("REVIEW"))
                .otherwise(F.lit("APPROVE")))
     out = staged.withColumn("verdict", verdict)
     v = F.col("verdict")

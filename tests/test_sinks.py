@@ -31,8 +31,13 @@ def test_case_listing(spark, scratch):
     assert spark.read.parquet(os.path.join(scratch, "listing")).count() == 2
 
 
-def test_spread_only_when_needed(spark):
-    wide = spark.range(0, 1000, numPartitions=16)
-    assert spread(wide) is wide  # enough partitions already: no shuffle added
-    narrow = spark.range(0, 1000, numPartitions=1)
-    assert spread(narrow, 4).rdd.getNumPartitions() == 4
+def test_spread_only_by_setting(spark):
+    from casekit.functions.parallel import INPUT_PARTITIONS, spread
+    df = spark.range(0, 100, 1, 2)
+    assert spread(df) is df
+    spark.conf.set(INPUT_PARTITIONS, "5")
+    try:
+        out = spread(df)
+    finally:
+        spark.conf.unset(INPUT_PARTITIONS)
+    assert out.count() == 100 and len({r.p for r in out.selectExpr("spark_partition_id() p").collect()}) > 2
