@@ -10,10 +10,14 @@ Candidates are linked if their full sets of shingle hashes (64 bits) say so.
 
 Texts with equal sets are one class, represented by the smallest id; only
 representatives are banded and compared.  In a band's group the candidates are
-not paired with each other but with pivots: first the whole group with a few
-members drawn by hash, again with other members for what is not yet connected,
-and at last every remaining pair of different components -- so no link between
-components is lost, and a group of n mutual copies costs about n comparisons.
+not paired with each other but with pivots: first with the member that shares
+its bands with most others (of edited copies, the original), then with members
+drawn by hash for what is not yet connected, and at last every remaining pair
+of different components -- so no link between components is lost, and a group
+of n mutual copies costs about n comparisons.  From the second step on, most
+pairs of a group are ruled out by numbers alone: what a text lost and gained
+against its group's centre, and how many of its shingles no other text has,
+bound from below how much two texts differ (:func:`_possible`).
 
 Defined results: a null, empty or blank text has an empty set and links with
 nothing, as has a row with a null id (its component is null, and it is kept).
@@ -31,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casekit.functions.workers import ship_with_tasks
-from casekit.llm.common import store
+from casekit.llm.common import release, store
 from casekit.llm.graph import connected_components
 from casekit.llm.shingles import mix, shingle_set, word_hashes
 
@@ -39,7 +43,7 @@ ship_with_tasks(__name__)
 
 BINS = 128
 BAND_ROWS = 4
-PIVOTS = (4, 8)  # orders in which pivots are drawn, by round
+PIVOT_ORDERS = 8  # orders in which pivots are drawn by hash
 
 
 def sketch(items: np.ndarray, bins: int = BINS) -> np.ndarray:
@@ -105,11 +109,22 @@ def sets_udf(width: int):
     return sets
 
 
-def _similar(a: str, b: str, both: Column | None, threshold_pct: int) -> Column:
-    """100 * intersection >= threshold * union, or what sizes alone rule out."""
-    if both is None:
-        return 100 * F.least(a, b) >= threshold_pct * F.greatest(a, b)
-    return 100 * both >= threshold_pct * (F.col(a) + F.col(b) - both)
+def _possible(threshold_pct: int) -> Column:
+    """Whether a text and a pivot can be similar, by counts alone.
+
+    The sets share at most what is left of the smaller one without its ``u``
+    unique shingles.  Against a common centre one text has ``lost`` and
+    ``added`` shingles, ``extra`` of these not unique; two texts differ in all
+    of these but those both lost (at most the lesser count) and those both
+    added (at most the lesser ``extra``).  Unknown counts rule nothing out.
+    """
+    shared = F.least(F.col("n") - F.col("u"), F.col("pn") - F.col("pu"))
+    differ = (F.col("lost") + F.col("added") + F.col("plost") + F.col("padded")
+              - 2 * (F.least("lost", "plost") + F.least("extra", "pextra")))
+    known = F.col("lost").isNotNull() & F.col("plost").isNotNull()
+    sizes = F.col("n") + F.col("pn")
+    return ((100 + threshold_pct) * shared >= threshold_pct * sizes) & (
+        ~known | ((100 + threshold_pct) * differ <= (100 - threshold_pct) * sizes))
 
 
 def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", width: int = 5,
@@ -121,58 +136,94 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
             .agg(F.min(F.struct("id", "bands")).alias("r")).select("a", "b", "n", "r.id", "r.bands"))
     reps = store(reps, "minhash-classes")
     rows = reps.select("id", "n", F.posexplode("bands").alias("band", "key"))
-    shared = store(rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key"), "minhash-shared")
-    members = store(rows.join(shared, "key"), "minhash-members")
+    shared = store(rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "minhash-shared")
+    members = store(rows.join(shared, "key"), "minhash-shares")
+    scores = members.groupBy("id").agg(F.sum("c").alias("score"))
+    members = store(members.drop("c").join(scores, "id"), "minhash-members")
     sets = texts.join(members.select("id").distinct(), "id", "left_semi")
     sets = store(sets.select("id", sets_udf(width)("text").alias("items")).groupBy("id", F.xxhash64("items").alias("h"))
                  .agg(F.first("items").alias("items")).select("id", "items"), "minhash-sets")
+    release(docs.sparkSession)
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """The (x, y) pairs that are similar by their full sets."""
+    def counted(pairs: DataFrame) -> DataFrame:
+        """The (x, y) pairs with the size of their full sets' intersection."""
         of = lambda side, name: sets.select(F.col("id").alias(side), F.col("items").alias(name))
         # Spark carries the smaller text's set to the larger one's.
         full = pairs.join(of("x", "s"), "x").join(of("y", "t"), "y")
-        both = F.size(F.array_intersect("s", "t"))
-        return full.filter(_similar("xn", "yn", both, threshold_pct)).select(F.col("x").alias("a"), F.col("y").alias("b"))
+        return full.select("x", "y", "xn", "yn", F.size(F.array_intersect("s", "t")).cast("long").alias("both"))
+
+    similar = 100 * F.col("both") >= threshold_pct * (F.col("xn") + F.col("yn") - F.col("both"))
 
     def pairs_of(p: DataFrame) -> DataFrame:
         """Distinct candidate pairs, the one with the smaller set first."""
         swap = F.struct("n", "id") > F.struct("pn", "pivot")
-        p = p.filter("id <> pivot").filter(_similar("n", "pn", None, threshold_pct))
+        p = p.filter("id <> pivot").filter(_possible(threshold_pct))
         return p.select(F.when(swap, F.col("pivot")).otherwise(F.col("id")).alias("x"),
                         F.when(swap, F.col("id")).otherwise(F.col("pivot")).alias("y"),
                         F.least("n", "pn").alias("xn"), F.greatest("n", "pn").alias("yn")).distinct()
 
-    def star(m: DataFrame, orders: int, seed: int) -> DataFrame:
-        """Every member with its group's pivot; the order that draws pivots
-        depends on the band, so one text meets several."""
-        draw = F.struct(F.xxhash64("id", F.lit(seed), F.col("band") % orders).alias("h"), F.col("id").alias("pivot"),
-                        F.col("n").alias("pn"), F.col("comp").alias("pcomp"))
-        pivots = store(m.groupBy("key").agg(F.min(draw).alias("p")).select("key", "p.*"), "minhash-pivots")
+    own = ["n", "u", "lost", "added", "extra", "comp"]
+    as_pivot = [F.col("id").alias("pivot"), *[F.col(c).alias(f"p{c}") for c in own]]
+
+    def drawn(m: DataFrame, rank: Column) -> DataFrame:
+        """Every group's pivot, the member of the least rank."""
+        return store(m.groupBy("key").agg(F.min(F.struct(rank.alias("rank"), *as_pivot)).alias("p")).select("key", "p.*"),
+                     "minhash-pivots")
+
+    def star(m: DataFrame, pivots: DataFrame) -> DataFrame:
+        """Every member with its group's pivot."""
         return pairs_of(m.join(pivots, "key").filter("comp <> pcomp"))
 
-    labelled = members.withColumn("comp", F.col("id"))
-    links, tested, comps = None, None, None
-    for step in range(len(PIVOTS) + 1):
-        if step < len(PIVOTS):
-            pairs = star(labelled, PIVOTS[step], step)
+    def unique_counts(m: DataFrame) -> DataFrame:
+        """(id, u): shingles no other text of ``m`` has, where there are any."""
+        items = sets.join(m.select("id").distinct(), "id", "left_semi").select("id", F.explode("items").alias("item"))
+        alone = items.groupBy("item").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id")).filter("c = 1")
+        return alone.groupBy("id").agg(F.count(F.lit(1)).alias("u"))
+
+    nothing = F.lit(None).cast("long")
+    left = members.select("*", F.col("id").alias("comp"), F.lit(0).cast("long").alias("u"), nothing.alias("lost"),
+                          nothing.alias("added"), nothing.alias("extra"))
+    centres = drawn(left, F.struct(-F.col("score"), F.xxhash64("id")))
+    tried, unique = None, None
+    for step in ("centre", "drawn", "rest"):
+        if step == "centre":
+            pairs = star(left, centres)
+        elif step == "drawn":
+            # the order that draws pivots depends on the band, so a text meets several
+            pairs = star(left, drawn(left, F.xxhash64("id", F.col("band") % PIVOT_ORDERS)))
         else:
-            other = labelled.select("key", F.col("id").alias("pivot"), F.col("n").alias("pn"), F.col("comp").alias("pcomp"))
-            pairs = pairs_of(labelled.join(other, "key").filter("comp < pcomp"))
-        if tested is not None:
-            pairs = pairs.join(tested, ["x", "y"], "left_anti")
-        pairs = store(pairs, "minhash-pairs")
-        found = store(verified(pairs), "minhash-links")
-        links = found if links is None else links.union(found)
-        tested = pairs.select("x", "y") if tested is None else tested.union(pairs.select("x", "y"))
+            # by common centre, so that a pair is met once however many groups it shares
+            seat = left.join(centres.select("key", F.col("pivot").alias("centre")), "key").groupBy("id", "centre").agg(
+                F.collect_set("key").alias("keys"), *[F.first(c).alias(c) for c in own])
+            seat = store(seat, "minhash-by-centre")
+            pairs = pairs_of(seat.join(seat.select("centre", F.col("keys").alias("pkeys"), *as_pivot), "centre").filter(
+                "comp < pcomp and arrays_overlap(keys, pkeys)"))
+        if tried is not None:
+            pairs = pairs.join(tried.select("x", "y"), ["x", "y"], "left_anti")
+        new = store(counted(store(pairs, "minhash-pairs")), "minhash-tried")
+        tried = new if tried is None else tried.union(new)
+        links = tried.filter(similar).select(F.col("x").alias("a"), F.col("y").alias("b"))
         comps = store(connected_components(links), "minhash-components")
-        if step < len(PIVOTS):
-            named = members.join(comps.withColumnRenamed("component", "comp"), "id", "left").withColumn(
-                "comp", F.coalesce("comp", "id"))
+        release(docs.sparkSession)
+        if step != "rest":
+            named = store(members.join(comps.withColumnRenamed("component", "comp"), "id", "left").withColumn(
+                "comp", F.coalesce("comp", "id")), "minhash-named")
             # only groups that still hold two components go on
-            named = store(named, "minhash-named")
             open_ = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
-            labelled = store(named.join(store(open_.select("key"), "minhash-open"), "key"), "minhash-left")
+            named = store(named.join(store(open_.select("key"), "minhash-open"), "key"), "minhash-left")
+            if unique is None:
+                unique = store(unique_counts(named), "minhash-unique")
+                near = tried.select(F.col("x").alias("id"), F.col("y").alias("pivot"), "both").union(
+                    tried.select(F.col("y"), F.col("x"), "both"))
+                seats = named.select("id", "key", "n").join(centres.select("key", "pivot", "pn"), "key")
+                seats = seats.join(near, ["id", "pivot"], "left").withColumn(
+                    "both", F.when(F.col("id") == F.col("pivot"), F.col("n")).otherwise(F.col("both")))
+                seats = seats.join(unique, "id", "left").withColumn("u", F.coalesce("u", F.lit(0)))
+                seats = store(seats.select("id", "key", "u", (F.col("pn") - F.col("both")).alias("lost"),
+                                           (F.col("n") - F.col("both")).alias("added"),
+                                           F.when(F.col("both").isNotNull(), F.greatest(F.col("n") - F.col("both") - F.col("u"), F.lit(0)))
+                                           .alias("extra")), "minhash-seats")
+            left = store(named.join(seats, ["id", "key"]), "minhash-counted")
     classes = store(reps.select("a", "b", "n", "id").join(comps, "id", "left").select(
         "a", "b", "n", F.coalesce("component", "id").alias("component_id")), "minhash-result")
     out = feats.drop("bands").join(classes, ["a", "b", "n"], "left")
