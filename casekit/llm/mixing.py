@@ -35,6 +35,7 @@ ship_with_tasks(__name__)
 WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
 BUCKET_BITS = 10
+ADDED = ["size", "source_size", "target", "taken", "copies"]
 # The knapsack search begins when so many words are left, or so many times the longest document.
 _DP_WORDS, _DP_LONGEST = 100_000, 2
 
@@ -115,8 +116,7 @@ def mix(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", seed: int
         weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """Append ``size``, ``source_size``, ``target``, ``taken`` (words) and
     ``copies`` (how often the mix holds the document)."""
-    new = ["size", "source_size", "target", "taken", "copies"]
-    base = df.drop(*new)
+    base = df.drop(*ADDED)
     sized = (base.withColumn("size", F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long"))
              .withColumn("_m_h", F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)))
              .withColumn("_m_b", F.shiftrightunsigned("_m_h", 64 - BUCKET_BITS)))

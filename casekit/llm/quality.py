@@ -151,6 +151,7 @@ def quality_rules(df: DataFrame, text_col: str = "text", max_lost: float = 0.5)
     return df.withColumn("base_failed", failed).withColumn("kept", kept)
 
 
+ADDED = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "clean_text", "lost_chars", "base_failed", "kept"]
 DIGEST = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
           "lost_chars", "kept"]
 

@@ -32,10 +32,18 @@ def _with_text(docs: DataFrame, text: str, columns: list[str]) -> DataFrame:
     return docs.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in columns])
 
 
+def _set_apart(docs: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
+    """Rename columns that an operator's results would replace, and how to
+    name them back."""
+    back = {f"_own_{c}": c for c in names if c in docs.columns}
+    return docs.withColumnsRenamed({c: own for own, c in back.items()}), back
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop failing lines, then documents that fail or lose too much."""
-    judged = quality.quality_rules(docs).filter("kept")
-    return _with_text(judged, "clean_text", docs.columns)
+    own, back = _set_apart(docs, *quality.ADDED)
+    judged = quality.quality_rules(own).filter("kept")
+    return _with_text(judged, "clean_text", own.columns).withColumnsRenamed(back)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,13 +61,16 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mask personal data in the texts."""
-    return _with_text(pii.redact(pii.find_pii(docs)), "text", docs.columns)
+    own, back = _set_apart(docs, "pii")
+    return _with_text(pii.redact(pii.find_pii(own)), "text", own.columns).withColumnsRenamed(back)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix of sources takes it."""
-    mixed = mixing.mix(docs).filter("copies > 0")
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+    own, back = _set_apart(docs, *mixing.ADDED)
+    mixed = mixing.mix(own).filter("copies > 0")
+    copies = mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return copies.select(*own.columns).withColumnsRenamed(back)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -212,16 +212,16 @@ def test_fit_lengths_against_every_subset():
 
 def test_pipeline_stages(spark, docs_of):
     prose = lambda k: " ".join(f"Topic{k} sentence {i} says something of value{k}x{i}." for i in range(15))
-    rows = [(i, prose(i), "en", f"s{i % 3}", 0, "x") for i in range(12)]
-    rows += [(100, prose(1), "en", "s0", 0, "x"), (101, "too short", "en", "s0", 0, "x"), (102, None, "en", "s1", 0, "x"),
-             (103, "a | b | c | d | e | f\n" * 30, "en", "s1", 0, "x"), (104, prose(50) + " Mail me@host.org now.", "en", "s2", 0, "x"),
-             (None, prose(60), "en", None, 0, "x"), (7, prose(7), "en", "s1", 0, "x")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, size string")
+    rows = [(i, prose(i), "en", f"s{i % 3}", 0, "x", "y") for i in range(12)]
+    rows += [(100, prose(1), "en", "s0", 0, "x", "y"), (101, "too short", "en", "s0", 0, "x", "y"), (102, None, "en", "s1", 0, "x", "y"),
+             (103, "a | b | c | d | e | f\n" * 30, "en", "s1", 0, "x", "y"), (104, prose(50) + " Mail me@host.org now.", "en", "s2", 0, "x", "y"),
+             (None, prose(60), "en", None, 0, "x", "y"), (7, prose(7), "en", "s1", 0, "x", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, size string, kept string")
     out, seen = docs, {}
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, out, "").cache()
         seen[name] = out.collect()
-        assert name == "byte_bpe" or out.columns == docs.columns
+        assert name == "byte_bpe" or out.columns == docs.columns and {(r["size"], r.kept) for r in seen[name]} == {("x", "y")}
     assert {r.doc_id for r in seen["quality"]} == {*range(12), 100, 104, None}
     assert sorted(str(r.doc_id) for r in seen["near_duplicates"]) == sorted(str(x) for x in [*range(12), 104, None])
     assert {r.text[-18:] for r in seen["pii"] if r.doc_id == 104} == {" Mail [EMAIL] now."}

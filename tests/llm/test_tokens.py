@@ -40,6 +40,16 @@ def test_encode_decode_round_trip(spark, docs_of, plain):
     assert spark.sql("select cast(null as array<int>) x").select(bpe.decode("x").alias("b")).first().b == b""
 
 
+def test_small_output_batches_keep_rows_together(spark, docs_of, plain, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "OUT_IDS", 40)
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(["word ", "é", " 12", "\n"]) for _ in range(rng.randint(0, 60))) for _ in range(300)]
+    bpe = byte_bpe.ByteBpe(spark)
+    df = docs_of(list(enumerate(texts))).select("doc_id", bpe.encode("text").alias("ids"))
+    got = {r.doc_id: r for r in df.select("*", bpe.decode("ids").alias("bytes")).collect()}
+    assert all(list(got[i].ids) == plain.encode_ordinary(t) and bytes(got[i].bytes) == t.encode() for i, t in enumerate(texts))
+
+
 def digests(turns):
     turns = sorted(((t is not None, t), r or "", x or "") for t, r, x in turns)
     whole = "".join(f"{r}\n{x}\n" for _, r, x in turns)
