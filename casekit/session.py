@@ -26,6 +26,13 @@ DEFAULT_CONF = {
 }
 
 
+# Wide projections (the rule and scoring chains) make generated methods of more
+# than 8,000 bytes of bytecode, which HotSpot by default leaves interpreted.
+# Local sessions compile them; on a cluster the deployment adds the flag to
+# spark.driver.extraJavaOptions and spark.executor.extraJavaOptions.
+COMPILE_LARGE_METHODS = "-XX:-DontCompileHugeMethods"
+
+
 def get_session(master: str | None = None, app_name: str = "casekit",
                 shuffle_partitions: int | None = None,
                 extra_conf: dict[str, str] | None = None) -> SparkSession:
@@ -36,6 +43,8 @@ def get_session(master: str | None = None, app_name: str = "casekit",
     conf = dict(DEFAULT_CONF)
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if master and master.startswith("local"):
+        conf["spark.driver.extraJavaOptions"] = COMPILE_LARGE_METHODS
     conf.update(extra_conf or {})
     for key, value in conf.items():
         builder = builder.config(key, value)
