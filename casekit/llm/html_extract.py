@@ -222,10 +222,14 @@ def extract(pages: list[str], weights: tuple[np.ndarray, np.ndarray]) -> list[tu
 
 
 def fit(pages: DataFrame, html_col: str = "html", train_pages: int = TRAIN_PAGES, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
-    """Train on the ``train_pages`` pages with the smallest seeded hashes."""
+    """Train on the ``train_pages`` different pages with the smallest seeded hashes."""
     draw = pages.filter(F.length(html_col) > 0).select(F.xxhash64(F.lit(seed), html_col).alias("h"), F.col(html_col).alias("p"))
-    # the hashes decide first, so only the drawn pages' texts are sorted
-    return train([r.p for r in draw.orderBy("h", "p").limit(train_pages).collect()])
+    # Hashes decide first; then only the drawn pages, one of each, travel.
+    hashes = [r.h for r in draw.select("h").distinct().orderBy("h").limit(train_pages).collect()]
+    if not hashes:
+        return prior_weights()
+    drawn = draw.filter(F.col("h") <= hashes[-1]).groupBy("h").agg(F.min("p").alias("p"))
+    return train([r.p for r in sorted(drawn.collect(), key=lambda r: r.h)])
 
 
 def main_text(html_col: Column | str, weights: tuple[np.ndarray, np.ndarray]) -> Column:
