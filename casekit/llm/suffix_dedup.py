@@ -25,7 +25,8 @@ Scale: an anchor, and later a block, is one narrow row.  Occurrences are counted
 by grouped sums (combined before the shuffle) and joined back from written
 tables, so very common passages are split like any skewed join key.  Texts are
 shuffled once, to meet their anchors; later rounds move only texts that still
-hold open blocks.  Every round is written to the shared folder.
+hold open blocks.  Every round is written to the shared folder, and what no
+later round reads is deleted there.
 
 Defined results: a null or empty text, or one under 200 bytes, loses nothing.
 Rows repeated in full are occurrences of their own and get equal results.  Null
@@ -44,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casekit.functions.workers import ship_with_tasks
-from casekit.llm.common import release, store, text_of
+from casekit.llm.common import discard, release, store, text_of
 from casekit.llm.substrings import LENGTH, SPAN, Buckets, _buffers, anchor_buckets
 
 ship_with_tasks(__name__)
@@ -116,12 +117,15 @@ def repeated_strings(docs: DataFrame, text_col: str = "text", id_col: str = "doc
     bytes_ = rows.select("d", F.col("text").cast("binary").alias("bytes"))
     anchors = store(bytes_.mapInArrow(_anchor_rows, "d long, p long, core long"), "strings-anchors")
     live = store(anchors.groupBy("core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("core"), "strings-live")
-    items = store(anchors.join(live, "core", "left_semi").groupBy("d").agg(F.collect_set("p").alias("ps")), "strings-items")
     release(spark)
-    items = items.select("d", F.transform("ps", lambda p: p * _X).alias("items"),
+    found = store(anchors.join(live, "core", "left_semi").groupBy("d").agg(F.collect_set("p").alias("ps")), "strings-items")
+    discard(anchors, live)
+    release(spark)
+    items = found.select("d", F.transform("ps", lambda p: p * _X).alias("items"),
                          F.transform("ps", lambda p: F.lit(False)).alias("done"))
     # Rows repeated in full share a key: each of them is an occurrence.
     texts = store(bytes_.join(items, "d"), "strings-texts")
+    discard(found)
     release(spark)
     blocks_in, marks = texts, None
     for k, size in enumerate(LEVELS):
@@ -134,6 +138,8 @@ def repeated_strings(docs: DataFrame, text_col: str = "text", id_col: str = "doc
             "d", (F.col("item") * _X + F.least(F.col("item") % _X + (size - 1), F.lit(SPAN))).alias("mark")).distinct(),
             "strings-marks")
         marks = new if marks is None else marks.union(new)
+        discard(blocks, twice)
+        release(spark)
         if k + 1 == len(LEVELS):
             break
         several = store(contexts.groupBy("core").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("core"),
@@ -146,8 +152,10 @@ def repeated_strings(docs: DataFrame, text_col: str = "text", id_col: str = "doc
             "d", F.struct((F.col("item") - x + F.col("x")).alias("item"), "done").alias("b"))
         open_ = store(open_.groupBy("d").agg(F.collect_list("b").alias("b")).select(
             "d", F.col("b.item").alias("items"), F.col("b.done").alias("done")), "strings-open")
-        keep = texts if k == 0 else blocks_in
-        blocks_in = store(keep.select("d", "bytes").dropDuplicates(["d"]).join(open_, "d"), "strings-texts")
+        discard(contexts, several)
+        release(spark)
+        before, blocks_in = blocks_in, store(blocks_in.select("d", "bytes").dropDuplicates(["d"]).join(open_, "d"), "strings-texts")
+        discard(open_, *([before] if k else []))
         release(spark)
     marked = marks.groupBy("d").agg(F.collect_set("mark").alias("marks"))
     cut = texts.select("d", "bytes").dropDuplicates(["d"]).join(marked, "d").mapInArrow(
