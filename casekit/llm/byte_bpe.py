@@ -36,6 +36,7 @@ ship_with_tasks(__name__)
 RANK_FILE = "byte_bpe_50k.tiktoken"
 MAX_RANK_BYTES = 64 << 20  # bound on what is broadcast
 PART_CHARS = 1 << 16
+OUT_IDS = 1 << 20  # ids (or bytes) after which a worker hands on what it has
 _CUT = re.compile(r"(?<=\w) (?=\w)")
 
 
@@ -80,14 +81,23 @@ class ByteBpe:
                     parts = [enc.encode_to_numpy(p).astype(np.int32) for p in split_long(text.as_py() or "")]
                     flat += parts
                     ends.append(ends[-1] + sum(map(len, parts)))
+                    if ends[-1] > OUT_IDS:
+                        yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat)))
+                        flat, ends = [np.zeros(0, np.int32)], [0]
                 yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat)))
 
         @F.arrow_udf("binary")
         def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             enc = encoder(ranks.value, pattern)
             for ids in batches:
-                yield pa.array((enc.decode_bytes(x.values.to_numpy().tolist()) if x.is_valid and len(x) else b""
-                                for x in ids), pa.binary())
+                out, size = [], 0
+                for x in ids:
+                    out.append(enc.decode_bytes(x.values.to_numpy().tolist()) if x.is_valid and len(x) else b"")
+                    size += len(out[-1])
+                    if size > OUT_IDS:
+                        yield pa.array(out, pa.binary())
+                        out, size = [], 0
+                yield pa.array(out, pa.binary())
 
         self._encode, self._decode = encode, decode
 
