@@ -140,7 +140,8 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     members = store(rows.join(shared, "key"), "minhash-shares")
     scores = members.groupBy("id").agg(F.sum("c").alias("score"))
     members = store(members.drop("c").join(scores, "id"), "minhash-members")
-    sets = texts.join(members.select("id").distinct(), "id", "left_semi")
+    # texts are shuffled to their ids, at every size
+    sets = texts.join(members.select("id").distinct().hint("merge"), "id", "left_semi")
     sets = store(sets.select("id", sets_udf(width)("text").alias("items")).groupBy("id", F.xxhash64("items").alias("h"))
                  .agg(F.first("items").alias("items")).select("id", "items"), "minhash-sets")
     release(docs.sparkSession)

@@ -49,14 +49,14 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five words, 0.8)."""
     found = store(minhash.near_duplicates(docs), "pipeline-groups")
-    kept = found.filter("kept").select(F.col("id").alias("_kept_id")).distinct()
-    stay = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+    # One row per id, null included: whether it stays, and how many rows carry it.
+    rows = F.when(F.col("_id").isNull(), F.lit(1)).otherwise(F.count(F.lit(1)))
+    verdict = found.groupBy(F.col("id").alias("_id")).agg(F.max("kept").alias("_kept"), rows.alias("_rows"))
+    # Texts are shuffled to their verdicts, at every size.
+    stay = docs.join(verdict.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id"))).filter("_kept")
     # Ids that several rows carry, normally none: one row of each stays.
-    repeated = store(found.filter("id is not null").groupBy(F.col("id").alias("_rep_id")).count()
-                     .filter("count > 1").select("_rep_id"), "pipeline-repeated")
-    same = F.col("doc_id") == F.col("_rep_id")
-    return stay.join(repeated, same, "left_anti").unionByName(
-        stay.join(repeated, same, "left_semi").dropDuplicates(["doc_id"]))
+    once = stay.filter("_rows = 1").select(*docs.columns)
+    return once.unionByName(stay.filter("_rows > 1").select(*docs.columns).dropDuplicates(["doc_id"]))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
