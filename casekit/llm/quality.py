@@ -1,8 +1,10 @@
 """Line-first quality rules, all in built-in functions.
 
-Each line of a text is judged on its own -- sentence punctuation, navigation
-separators, symbol noise, shouting, stuttering, boilerplate -- and failing lines
-are removed.  A document that loses more than ``max_lost`` of its word
+Each line of a text is judged -- sentence punctuation, navigation separators,
+symbol noise, shouting, stuttering, boilerplate -- and failing lines are
+removed.  Only the punctuation rule looks at the lines around: a line that is
+part of a hard-wrapped running sentence needs no sentence end of its own.  A
+document that loses more than ``max_lost`` of its word
 characters this way is rejected, as is one that fails the base rules (fewer
 than ``MIN_WORDS`` words, or more than ``MAX_REPEAT_PCT`` percent of its words
 inside 8-word windows that occur twice or more).
@@ -30,7 +32,14 @@ MIN_WORDS = 20
 MAX_REPEAT_PCT = 30
 
 # Line rules.
-SENTENCE_END = r"[.!?:;\x{2026}\x{3002}\x{ff01}\x{ff1f}]['\x22)\]\x{00bb}\x{2019}\x{201d}]*([\x20\x09-\x0D]|$)"
+# Ends: also full width, danda, Arabic, Urdu, Armenian, Ethiopic, Khmer, Burmese, Tibetan, Mongolian.
+_ENDS = (r"[.!?:;\x{2026}\x{3002}\x{ff01}\x{ff1f}\x{ff0e}\x{ff1a}\x{ff1b}\x{ff61}\x{0964}\x{0965}\x{061b}\x{061f}\x{06d4}"
+         r"\x{0589}\x{1362}\x{1367}\x{17d4}\x{17d5}\x{104a}\x{104b}\x{0f0d}\x{0f0e}\x{1803}\x{1809}]"
+         r"['\x22)\]\x{00bb}\x{2019}\x{201d}\x{300d}\x{300f}\x{ff09}]*")
+# Scripts without spaces go on right after their ends.
+SENTENCE_END = _ENDS + r"([\x20\x09-\x0D]|$)|[\x{3002}\x{ff01}\x{ff1f}\x{ff61}]"
+LINE_ENDS_SENTENCE = _ENDS + r"[\x20\x09-\x0D]*$"
+GOES_ON_LOWER = r"^[\x20\x09-\x0D]*['\x22(\[\x{00ab}\x{2018}\x{201c}]*\p{Ll}"
 SEPARATORS = "[|»›•]"
 NOISE = "[#*$%&<>~=_^]"
 ANY_NOISE = "[|»›•#*$%&<>~=_^!]"
@@ -45,6 +54,9 @@ NOISE_PER_CHARS = 20   # noise: one or more per so many characters of the line
 # A line without any sentence end stays when it is prose by length: lists of
 # links and headings are short.
 UNPUNCTUATED_MIN_CHARS = 200
+# A line that runs on into the next one is at least so long: wrapped lines end
+# where the next word does not fit, single links and headings are shorter.
+WRAPPED_MIN_CHARS = 30
 # Lines are tested for stuttering where more than one in so many words of the
 # document repeats the word before it.
 STUTTER_ONE_IN = 20
@@ -56,12 +68,31 @@ def _count(text: Column, chars: str) -> Column:
     return F.length(text) - F.length(F.regexp_replace(text, chars, ""))
 
 
-def line_verdicts(line: Column, stutters: Column) -> dict[str, Column]:
-    """The line rules: name -> true when the line fails it.
+def _runs_on(lines: Column, i: Column) -> Column:
+    """The sentence of line ``i`` runs on into the next line.
+
+    The line ends open and is not all capitalized words, and the next one
+    either goes on in lower case or, for nouns and scripts without case, begins
+    with a word that did not fit: the line with that word would be longer than
+    all lines around.  Half or more capitalized words then make it a title.
+    """
+    line, after = F.get(lines, i), F.get(lines, i + 1)
+    first = F.length(F.element_at(F.split(F.regexp_replace(after, "^" + GAP, ""), GAP, 2), 1))
+    width = F.greatest(*[F.length(F.get(lines, i + j)) for j in (-2, -1, 0, 1, 2)])
+    titled = _count(F.regexp_replace(line, r"(?<=[^\x20\x09-\x0D])[^\x20\x09-\x0D]+", ""), r"\p{Lu}")
+    n_words = F.size(words_of(line))
+    wrapped = (F.length(line) + 1 + first > width) & (2 * titled < n_words)
+    return F.coalesce((F.length(line) >= WRAPPED_MIN_CHARS) & after.rlike(HAS_WORD) & ~line.rlike(LINE_ENDS_SENTENCE)
+                      & ((after.rlike(GOES_ON_LOWER) & (titled < n_words)) | wrapped), F.lit(False))
+
+
+def line_verdicts(lines: Column, i: Column, stutters: Column) -> dict[str, Column]:
+    """The line rules for line ``i`` of ``lines``: name -> true when it fails it.
 
     ``stutters`` says whether the whole document repeats words enough for the
     repetition rule to be looked at.
     """
+    line = F.get(lines, i)
     n = F.length(line)
 
     def dense(chars: str) -> Column:
@@ -71,7 +102,8 @@ def line_verdicts(line: Column, stutters: Column) -> dict[str, Column]:
     word_chars = F.length(F.regexp_replace(line, GAP, ""))
     fresh_chars = F.length(F.regexp_replace(F.regexp_replace(line, STUTTER, "$1"), GAP, ""))
     return {
-        "punctuation": (n < UNPUNCTUATED_MIN_CHARS) & ~line.rlike(SENTENCE_END),
+        "punctuation": (n < UNPUNCTUATED_MIN_CHARS) & ~line.rlike(SENTENCE_END)
+        & ~_runs_on(lines, i) & ~_runs_on(lines, i - 1),
         "navigation": dense(SEPARATORS),
         "symbols": dense(NOISE),
         "shouting": dense("!"),
@@ -80,9 +112,9 @@ def line_verdicts(line: Column, stutters: Column) -> dict[str, Column]:
     }
 
 
-def line_fails(line: Column, stutters: Column) -> Column:
-    v = line_verdicts(line, stutters)
-    noise = line.rlike(ANY_NOISE) & (v["navigation"] | v["symbols"] | v["shouting"])  # one scan for most lines
+def line_fails(lines: Column, i: Column, stutters: Column) -> Column:
+    v = line_verdicts(lines, i, stutters)
+    noise = F.get(lines, i).rlike(ANY_NOISE) & (v["navigation"] | v["symbols"] | v["shouting"])  # one scan for most lines
     return v["punctuation"] | noise | v["repetition"] | v["boilerplate"]
 
 
@@ -131,18 +163,19 @@ def quality_rules(df: DataFrame, text_col: str = "text", max_lost: float = 0.5)
     t = F.col("_q_t")
     df = sealed(df, {
         "_q_w": words_of(t),
-        "_q_l": F.filter(F.split(t, "\n"), lambda x: x.rlike(HAS_WORD)),
+        "_q_a": F.split(t, "\n"),
         "n_symbols": _count(t, SYMBOLS).cast("long"),
     })
+    df = sealed(df, {"_q_l": F.filter("_q_a", lambda x: x.rlike(HAS_WORD))})
     df = repeated_window_words(df, "_q_w", "n_repeat_words", "_q_echo")
     stutters = F.col("_q_echo") * STUTTER_ONE_IN > F.size("_q_w")
     df = sealed(df, {
         "n_words": F.size("_q_w").cast("long"),
         "word_chars": F.length(F.array_join("_q_w", "")).cast("long"),
         "n_dup_lines": (F.size("_q_l") - F.size(F.array_distinct("_q_l"))).cast("long"),
-        "_q_c": F.filter("_q_l", lambda x: ~line_fails(x, stutters)),
+        "_q_c": F.filter("_q_a", lambda x, i: x.rlike(HAS_WORD) & ~line_fails(F.col("_q_a"), i, stutters)),
         "_q_n": F.size("_q_l"),
-    }).drop("_q_t", "_q_w", "_q_l", "_q_echo")
+    }).drop("_q_t", "_q_w", "_q_a", "_q_l", "_q_echo")
     clean = F.array_join("_q_c", "\n")
     df = sealed(df, {"clean_text": clean, "lost_chars": F.when(F.size("_q_c") == F.col("_q_n"), F.lit(0)).otherwise(
         F.col("word_chars") - F.length(F.regexp_replace(clean, GAP, ""))).cast("long")}).drop("_q_c", "_q_n")

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 
 from pyspark.sql import functions as F
 
@@ -43,6 +44,28 @@ def test_quality_verdicts(docs_of):
     assert got[4].clean_text == prose and got[1].clean_text == prose
 
 
+def test_quality_keeps_hard_wrapped_prose(docs_of):
+    english = ("The old harbour master walked along the quay every morning before the boats came in and wrote down the names of all "
+               "the crews who had been out during the night while his brother James Porter from Bristol counted the crates of fish that "
+               "were brought ashore and sold them to the merchants who had been waiting there since the early hours of the day.")
+    german = ("Der alte Meister ging an jedem Morgen an der Mauer entlang und schrieb mit seiner Feder die Namen der Boote auf, die in der "
+              "Nacht auf See gewesen waren, bevor die Frauen der Fischer mit ihren Karren und den schweren Kisten voller Heringe zum Markt "
+              "im Zentrum der Stadt fuhren und dort auf die Kunden aus den Bergen warteten.")
+    hindi = "\n".join(["यह नदी पहाड़ों से निकल कर मैदानों की ओर बहती है और किनारे के गाँवों को"] * 2 + ["पानी देती है।"])
+    rows = {10 * k + i: textwrap.fill(t, width) for k, width in enumerate((60, 72, 100)) for i, t in enumerate((english, german))}
+    rows |= {50: english.replace(" and ", " and\r\n"), 51: hindi, 52: "क्या यह ठीक है؟\nयह ठीक है।"}
+    got = {r.doc_id: r for r in quality.quality_rules(docs_of(rows.items())).collect()}
+    assert {i: r.lost_chars for i, r in got.items()} == dict.fromkeys(rows, 0)
+    assert all(got[i].kept and got[i].clean_text == t for i, t in rows.items() if i < 50)
+
+
+def test_quality_still_drops_links_and_headings_around_prose(docs_of):
+    prose = textwrap.fill(" ".join(f"Sentence number {i} tells something long enough of its own to be wrapped" for i in range(12)) + ".", 72)
+    junk = ["Home", "About us", "Latest News From Our Correspondents Around The World Today", "contact", "imprint", "Login Here", ""]
+    got = quality.quality_rules(docs_of([(1, "\n".join([*junk, prose, "", *junk]))])).first()
+    assert got.clean_text == prose
+
+
 def test_quality_long_text_repeated_rows_and_empty_table(docs_of):
     long = " ".join(f"w{i % 997}x{i}" for i in range(60000)) + "."
     got = quality.quality_rules(docs_of([(1, long), (1, long), (None, long)])).collect()
