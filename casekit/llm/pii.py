@@ -5,6 +5,11 @@ digit counts) confirm them, and words near a span adjust its score.  The four
 base kinds are decided by pattern and validator alone; the further kinds need
 a score of ``threshold`` or more.
 
+The pattern for account numbers proposes beginnings only, each with the text
+that may belong to it; the validator fixes the length, since a number is often
+followed by a capital letter or digit.  Of numbers that overlap the first
+stands.
+
 Positions come from the pieces between matches: ``split`` by the same pattern
 gives the text around each match, and running lengths give the offsets.  The
 patterns are written without backtracking (possessive, entered only where a
@@ -71,7 +76,7 @@ def _alone(before: Column, after: Column) -> Column:
     return ~before.rlike("[A-Za-z0-9]$") & ~after.rlike("^[A-Za-z0-9]")
 
 
-def _mod97(m: Column, before: Column, after: Column) -> Column:
+def _mod97(m: Column) -> Column:
     s = F.regexp_replace(m, "\x20", "")
     turned = F.concat(F.substring(s, 5, 40), F.substring(s, 1, 4))
 
@@ -80,7 +85,34 @@ def _mod97(m: Column, before: Column, after: Column) -> Column:
         return F.when(c >= 65, (acc * 100 + c - 55) % 97).otherwise((acc * 10 + c - 48) % 97)
 
     rest = F.aggregate(F.sequence(F.lit(1), F.length(turned)), F.lit(0), step)
-    return _alone(before, after) & F.when(F.length(s).between(15, 34), rest == 1).otherwise(F.lit(False))
+    return m.rlike("^[A-Z0-9\x20]+$") & F.when(F.length(s).between(15, 34), rest == 1).otherwise(F.lit(False))
+
+
+def _ibans(heads: Column, tails: Column, text: Column) -> Column:
+    """Positions of account numbers from those of their first four characters
+    and the texts that may go on.
+
+    A number ends before a space or where its tail ends; the length registered
+    for its country goes first, then the longest that passes mod-97.
+    """
+    own = F.create_map(*[F.lit(x) for c in IBAN_LENGTHS.split() for x in (c[:2], int(c[2:]))])
+
+    def settled(head: Column, tail: Column) -> Column:
+        words = F.split(tail, "\x20")
+        ends = F.transform(F.sequence(F.size(words), F.lit(1), F.lit(-1)),
+                           lambda k: F.concat(head, F.array_join(F.slice(words, 1, k), " ")))
+        valid = F.filter(ends, _mod97)
+        first = F.filter(valid, lambda v: F.length(F.regexp_replace(v, "\x20", "")) == F.element_at(own, F.left(v, F.lit(2))))
+        return F.coalesce(F.get(first, F.lit(0)), F.get(valid, F.lit(0)))
+
+    found = F.zip_with(heads, tails, lambda x, tail: F.struct(
+        x["start"].alias("start"), x["before"].alias("before"), settled(x["match"], tail).alias("match")))
+    spans = F.transform(F.filter(found, lambda x: x["match"].isNotNull()), lambda x: F.struct(
+        x["start"].alias("start"), (x["start"] + F.length(x["match"])).alias("end"), x["match"].alias("match"), x["before"].alias("before"),
+        F.substring(text, x["start"] + F.length(x["match"]) + 1, F.lit(CONTEXT_CHARS)).alias("after")))
+    none = F.struct(F.lit(0).alias("pos"), F.array().cast(f"array<{_SPAN}>").alias("out"))
+    return F.aggregate(spans, none, lambda acc, x: F.when(x["start"] >= acc["pos"], F.struct(
+        x["end"].alias("pos"), F.array_append(acc["out"], x).alias("out"))).otherwise(acc))["out"]
 
 
 def _ssn(m: Column, before: Column, after: Column) -> Column:
@@ -99,14 +131,21 @@ KINDS = (
          lambda t: F.col(_HAS_DIGIT), _luhn, 0.8, r"(?i)\b(card|visa|credit|debit|payment|cvv)\b", True),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]",
          lambda t: F.col(_HAS_DIGIT) & t.contains("+"), _phone, 0.6, r"(?i)\b(phone|call|tel|mobile|fax)\b", True),
-    Kind("iban", r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}",
-         lambda t: F.col(_HAS_DIGIT) & t.rlike("[A-Z]{2}[0-9]{2}"), _mod97, 0.9, r"(?i)\b(iban|account|bank|transfer)\b",
+    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=((?:\x20?[A-Z0-9]){11,30}+[A-Za-z0-9]?))",
+         lambda t: F.col(_HAS_DIGIT) & t.rlike("[A-Z]{2}[0-9]{2}"), lambda m, b, a: F.lit(True), 0.9, r"(?i)\b(iban|account|bank|transfer)\b",
          False),
     Kind("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
          lambda t: F.col(_HAS_DIGIT) & t.contains("-"), _ssn, 0.4, r"(?i)\b(ssn|social|security)\b", False),
 )
+# Characters of an account number by country (IBAN registry).
+IBAN_LENGTHS = (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 "
+    "FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 "
+    "LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 "
+    "SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30")
 CONTEXT_CHARS = 40
 CONTEXT_BONUS = 0.3
+_SPAN = "struct<start:int,end:int,match:string,before:string,after:string>"
 
 
 def _positions(pieces: Column, matches: Column) -> Column:
@@ -122,8 +161,7 @@ def _positions(pieces: Column, matches: Column) -> Column:
         F.get(matches, i).alias("match"),
         F.right(F.get(pieces, i), F.lit(CONTEXT_CHARS)).alias("before"),
         F.left(F.get(pieces, i + 1), F.lit(CONTEXT_CHARS)).alias("after"))
-    one = "struct<start:int,end:int,match:string,before:string,after:string>"
-    none = F.array().cast(f"array<{one}>")
+    none = F.array().cast(f"array<{_SPAN}>")
 
     def block(pos: Column, b: Column) -> Column:
         return F.aggregate(
@@ -135,7 +173,7 @@ def _positions(pieces: Column, matches: Column) -> Column:
 
     blocks = F.aggregate(
         F.sequence(F.lit(0), F.floor((n - 1) / _BLOCK).cast("int")),
-        F.struct(F.lit(0).alias("pos"), F.array().cast(f"array<array<{one}>>").alias("out")),
+        F.struct(F.lit(0).alias("pos"), F.array().cast(f"array<array<{_SPAN}>>").alias("out")),
         lambda acc, b: F.struct(block(acc["pos"], b)["pos"].alias("pos"),
                                 F.array_append(acc["out"], block(acc["pos"], b)["out"]).alias("out")))
     return F.when(n > 0, F.flatten(blocks["out"])).otherwise(none)
@@ -168,6 +206,11 @@ def find_pii(df: DataFrame, text_col: str = "text", threshold: float = 0.5) -> D
         df = sealed(df, {f"_p_c_{k.name}": F.when(F.size(m) > 0, F.split(t, k.pattern, -1)).otherwise(empty)})
     for rank, k in enumerate(KINDS):
         df = sealed(df, {f"_p_s_{k.name}": _positions(F.col(f"_p_c_{k.name}"), F.col(f"_p_m_{k.name}"))})
+        if k.name == "iban":
+            tails = F.regexp_extract_all(t, F.lit(k.pattern), F.lit(1))
+            tails = F.when(F.size("_p_m_iban") > 0, tails).otherwise(empty)
+            df = sealed(df, {"_p_x_iban": tails})
+            df = sealed(df, {"_p_s_iban": _ibans(F.col("_p_s_iban"), F.col("_p_x_iban"), t)}).drop("_p_x_iban")
         df = sealed(df, {f"_p_f_{k.name}": _confirmed(k, rank, F.col(f"_p_s_{k.name}"), threshold)})
         df = df.drop(f"_p_m_{k.name}", f"_p_c_{k.name}", f"_p_s_{k.name}")
     found = [f"_p_f_{k.name}" for k in KINDS]

@@ -119,6 +119,18 @@ def test_pii_method_kinds_context_and_redaction(docs_of):
     assert masked[1] == "IBAN [IBAN] here"
 
 
+def test_pii_account_numbers_before_capitals_and_digits(docs_of):
+    de, gb = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"
+    rows = {1: "IBAN DE89370400440532013000 Thanks", 2: "DE89370400440532013000 EUR 250", 3: f"{de} BIC COBADEFF", 4: f"{gb} I paid",
+            5: f"{de} {gb} 98", 6: f"AB12 CODE {de} OK", 7: f"X{de}", 8: "DE89370400440532013000x", 9: f"({de})", 10: f"é {gb}, AND {de} 7",
+            11: "NO93 8601 1117 947 NO93 8601 1117 947", 12: "DE88370400440532013000 EUR 250"}
+    df = pii.find_pii(docs_of(rows.items()))
+    masked = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    assert masked == {
+        1: "IBAN [IBAN] Thanks", 2: "[IBAN] EUR 250", 3: "[IBAN] BIC COBADEFF", 4: "[IBAN] I paid", 5: "[IBAN] [IBAN] 98",
+        6: "AB12 CODE [IBAN] OK", 7: rows[7], 8: rows[8], 9: "([IBAN])", 10: "é [IBAN], AND [IBAN] 7", 11: "[IBAN] [IBAN]", 12: rows[12]}
+
+
 def test_pii_many_matches_and_empty_table(docs_of):
     text = " ".join(f"u{i}@h.io" for i in range(700))
     got = pii.digest(pii.find_pii(docs_of([(1, text), (1, text)]))).collect()
