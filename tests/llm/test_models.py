@@ -1,11 +1,14 @@
 """HTML extraction, language-model scores, mixing and the pipeline."""
 
 import collections
+import itertools
 import math
 import random
+import types
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -148,6 +151,32 @@ def test_scores(docs_of, monkeypatch):
     assert all(few[i].n_known == got[i].n_known and math.isclose(few[i].base_score, got[i].base_score, rel_tol=1e-9) for i in got)
 
 
+def counted_runs(texts, seeds, sizes):
+    """Key -> run of training ids, from batches of the given sizes."""
+    path = lm_score.public_tokenizers.path(lm_score.RANK_FILE)
+    with open(path, "rb") as f:
+        work = lm_score._counting(types.SimpleNamespace(value=f.read()), lm_score.public_tokenizers.PATTERN)
+    at = [0, *itertools.accumulate(sizes)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[a:b], pa.string()), pa.array(seeds[a:b], pa.int64())], ["text", "seed"])
+               for a, b in itertools.pairwise(at)]
+    out = [r for b in work(iter(batches)) for r in b.to_pylist()]
+    return {r["key"]: (r["n"], r["ids"]) for r in out if r["kind"] == 2}, {r["key"]: r["n"] for r in out if r["kind"] == 1}
+
+
+def test_every_training_subword_is_a_target_once(monkeypatch):
+    rng = random.Random(8)
+    monkeypatch.setattr(lm_score, "_CHUNK", 1 << 12)  # long texts in several chunks
+    texts = [None, "", "one", *(sentences(rng, n) for n in (5, 700, 9000))]
+    runs, subwords = counted_runs(texts, list(range(len(texts))), [len(texts)])
+    hit = collections.Counter()
+    for n, ids in runs.values():
+        inputs, targets = attention.windows(np.array(ids) + 1, 0 if ids[0] < 0 else attention.WINDOW - attention.STRIDE)
+        assert len(inputs) == n
+        hit.update(targets[targets != attention.PAD].tolist())
+    assert hit.pop(0) == len(texts)  # ends
+    assert {i - 1: n for i, n in hit.items()} == {i: n for i, n in subwords.items() if i != attention.PAD - 1}
+
+
 def test_scores_without_training_texts(docs_of):
     held = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5 == 1][:3]
     got = lm_score.score_texts(docs_of([(i, "a b") for i in held])).collect()
