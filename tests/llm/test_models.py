@@ -177,6 +177,24 @@ def test_every_training_subword_is_a_target_once(monkeypatch):
     assert {i - 1: n for i, n in hit.items()} == {i: n for i, n in subwords.items() if i != attention.PAD - 1}
 
 
+def test_training_depends_on_the_data_only(spark, monkeypatch):
+    rng = random.Random(9)
+    texts = [sentences(rng, n) for n in (3, 900, 40, 2500, 700, 1)]
+    seeds = [rng.getrandbits(63) - (1 << 62) for _ in texts]
+    runs, _ = counted_runs(texts, seeds, [6])
+    assert runs == counted_runs(texts, seeds, [1, 2, 3])[0]
+    monkeypatch.setattr(lm_score, "TASK_WINDOWS", 64)  # several tasks a round
+    table = np.append(np.arange(300000) % attention.SLOTS, 0)
+    rows = spark.createDataFrame([(k, n, ids) for k, (n, ids) in runs.items()], "key long, n long, ids array<int>")
+    start = attention.initial(np.ones(attention.SLOTS))
+    one, many = (lm_score.train(rows.repartition(parts), start, table) for parts in (1, 7))
+    assert all((one[k] == many[k]).all() for k in one) and not np.allclose(one["E"], start["E"])
+    taken = []
+    monkeypatch.setattr(type(spark.sparkContext), "defaultParallelism", property(lambda sc: taken.append(1) or 3))
+    lm_score.train(rows, start, table, rounds=1)
+    assert not taken
+
+
 def test_scores_without_training_texts(docs_of):
     held = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5 == 1][:3]
     got = lm_score.score_texts(docs_of([(i, "a b") for i in held])).collect()
