@@ -4,6 +4,7 @@ import collections
 import itertools
 import math
 import random
+import textwrap
 import types
 import zlib
 
@@ -195,6 +196,29 @@ def test_training_depends_on_the_data_only(spark, monkeypatch):
     assert not taken
 
 
+def test_long_text_scores_as_one_run(monkeypatch):
+    rng = random.Random(10)
+    path = lm_score.public_tokenizers.path(lm_score.RANK_FILE)
+    with open(path, "rb") as f:
+        ranks = f.read()
+    p = attention.initial(np.ones(attention.SLOTS))
+    p = {k: v * 3 if k in ("E", "C", "O") else v for k, v in p.items()}  # context matters
+    table = np.append(np.arange(300000) % attention.SLOTS, 0)
+    held = [types.SimpleNamespace(value=x) for x in (
+        ranks, p, table, np.zeros(300001), (np.zeros(0, np.uint64), np.zeros(0, np.int64)))]
+    batch = pa.RecordBatch.from_arrays([pa.array([0, 1]), pa.array([sentences(rng, 6000), sentences(rng, 30)])], ["rid", "text"])
+
+    def scores():
+        work = lm_score._scoring(held[0], lm_score.public_tokenizers.PATTERN, *held[1:])
+        return [r["score"] for b in work(iter([batch])) for r in b.to_pylist() if r["key"] is None]
+    whole = scores()
+    monkeypatch.setattr(lm_score, "_CHUNK", 1 << 10)
+    monkeypatch.setattr("casekit.llm.lm_score.pieces", lambda texts: (
+        (i, line.encode()) for i, t in enumerate(texts) for line in textwrap.wrap(t.decode(), 500)))
+    monkeypatch.setattr(lm_score, "BATCH", 7)
+    assert np.allclose(scores(), whole, rtol=1e-6)
+
+
 def test_scores_without_training_texts(docs_of):
     held = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5 == 1][:3]
     got = lm_score.score_texts(docs_of([(i, "a b") for i in held])).collect()
