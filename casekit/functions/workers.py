@@ -15,3 +15,6 @@ from pyspark import cloudpickle
 
 def ship_with_tasks(module_name: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[module_name])
+
+
+ship_with_tasks(__name__)  # modules shipped whole hold a reference to the function above
