@@ -132,6 +132,22 @@ def sentences(rng, n):
     return " ".join(vocab[int(rng.paretovariate(0.8)) % 400] + rng.choice(["", "", ",", "."]) for _ in range(n))
 
 
+def test_scores_of_shuffled_inputs(spark, docs_of):
+    """Input that is computed again must lose no row and swap no scores."""
+    rng = random.Random(8)
+    df = docs_of([(i, sentences(rng, rng.randint(1, 60))) for i in range(3000)])
+    base = ["held_out", "n_tokens", "n_known", "train_tokens", "base_score"]
+    plain = {r.id: r for r in lm_score.score_texts(df).collect()}
+    for shuffled in (df.repartition("doc_id"), df.dropDuplicates(["doc_id"])):
+        got = lm_score.score_texts(shuffled).collect()
+        assert len(got) == 3000 and {r.id for r in got} == set(plain)
+        for r in got:
+            want = plain[r.id]
+            assert all(math.isclose(r[c], want[c], rel_tol=1e-9) for c in base)
+            # the order of training windows in a task follows the input's order only in ties
+            assert abs(r.score - want.score) <= 0.02 * abs(want.score)
+
+
 def test_scores(docs_of, monkeypatch):
     rng = random.Random(6)
     rows = [(0, None), (1, ""), (2, " \n"), (3, "Word WORD \xa0word é \x1c x")] + [(i, sentences(rng, rng.randint(1, 400))) for i in range(4, 160)]
