@@ -9,7 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casekit.llm import byte_bpe, chat_format, embed_dedup, html_extract, lm_score, minhash, mixing, pii, quality, suffix_dedup
+from casekit.llm import (
+    alignment, byte_bpe, chat_format, embed_dedup, html_extract, lm_score, minhash, mixing, packing, pii, quality, suffix_dedup,
+    whitening,
+)
 from casekit.llm.common import read
 
 
@@ -66,6 +69,19 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(read(spark, sf_dir, "documents")).select(*quality.DIGEST)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.components(read(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(read(spark, sf_dir, "documents"))
+    return packing.placements(packed).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_html_extract,
     op2_lm_score,
@@ -77,6 +93,9 @@ QUERIES = {f.__name__: f for f in (
     op8_mixing,
     op9_suffix_dedup,
     op10_quality_rules,
+    op11_whitening,
+    op12_token_alignment,
+    op13_best_fit_packing,
 )}
 
 ORACLE = {
