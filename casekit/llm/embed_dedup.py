@@ -12,10 +12,11 @@ Dense groups are not paired up.  First, vectors of one bucket that lie within
 half the threshold angle of their common centre form a *ball*: all its members
 are linked with each other by the triangle inequality, so a ball is one class
 with a centre, a radius and a size.  All others are classes of one.  Only
-classes are looked up in the tables, and a pair of classes is settled by its
-centres wherever the angles allow (all members linked, or none); the members of
-the remaining pairs are compared one by one.  A group of n near copies thus
-costs n steps, and an exact copy costs nothing beyond its ball.
+classes are looked up in the tables, each by the distinct keys of its members
+(members may link with vectors that lie far from the centre), and a pair of
+classes is settled by its centres wherever the angles allow (all members linked,
+or none); the members of the remaining pairs are compared one by one.  A group
+of n near copies thus costs n steps, and an exact copy adds no key to its ball.
 
 The number of hashes per key grows with the number of vectors, so that
 unrelated vectors keep sharing few buckets.
@@ -153,13 +154,14 @@ def _scaled(v: Column) -> Column:
 
 
 def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
-                           threshold: float = 0.95, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
-    """(id, n_links, component_id, kept), one row per row of ``vectors``."""
+                           threshold: float = 0.95, tables: int = TABLES, probes: int = PROBES, hashes: int | None = None) -> DataFrame:
+    """(id, n_links, component_id, kept), one row per row of ``vectors``;
+    ``hashes`` per key follow the number of vectors unless given."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
     base = store(rows.select(F.monotonically_increasing_id().alias("rid"), "id", unit_udf()("v").alias("u")), "vectors-unit")
     good = base.filter("id is not null and u is not null")
     n, dims = good.agg(F.count(F.lit(1)), F.max(F.size("u"))).first()
-    hashes = max(MIN_HASHES, math.ceil(math.log(max(n, 2)) / math.log(2 * max(dims or 1, 2))))
+    hashes = hashes or max(MIN_HASHES, math.ceil(math.log(max(n, 2)) / math.log(2 * max(dims or 1, 2))))
     hashes = min(hashes, int(46 / math.log2(4 * max(dims or 1, 2))))  # a key fits a long
     keys = keys_udf(tables, hashes, probes)
     theta = math.acos(threshold)
@@ -173,17 +175,18 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
                         "vectors-centres")
         near = own.join(centres, "k").withColumn("far", _angle(F.col("u"), F.col("centre"))).filter(
             F.col("far") <= theta / 2 - _SAFE)
-        near = store(near.select("rid", "id", "u", F.concat_ws("-", F.lit(r), "k").alias("cls"), "centre", "far"), "vectors-ball")
+        near = store(near.select("rid", "id", "u", "ks", F.concat_ws("-", F.lit(r), "k").alias("cls"), "centre", "far"), "vectors-ball")
         balls = near if balls is None else balls.union(near)
         free = store(free.join(near.select("rid"), "rid", "left_anti"), "vectors-free")
-    single = free.select("rid", "id", "u", F.concat_ws("-", F.lit("one"), "rid").alias("cls"), F.col("u").alias("centre"),
+    single = free.select("rid", "id", "u", "ks", F.concat_ws("-", F.lit("one"), "rid").alias("cls"), F.col("u").alias("centre"),
                          F.lit(0.0).alias("far"))
-    members = store(balls.union(single), "vectors-members")
+    keyed = balls.union(single)
+    members = store(keyed.drop("ks"), "vectors-members")
     classes = members.groupBy("cls").agg(F.count(F.lit(1)).alias("size"), F.max("far").alias("radius"), F.min("id").alias("least"),
                                          F.min("centre").alias("centre"))
     classes = store(classes, "vectors-classes")
     # A key is looked up only if several classes have it.
-    buckets = store(classes.select("cls", F.explode(F.array_distinct(keys("centre"))).alias("k")), "vectors-buckets")
+    buckets = store(keyed.select("cls", F.explode("ks").alias("k")).distinct(), "vectors-buckets")
     shared = store(buckets.groupBy("k").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("k"), "vectors-shared")
     shared = store(buckets.join(shared, "k"), "vectors-candidates")
     pairs = (shared.join(shared.withColumnRenamed("cls", "cls2"), "k").filter("cls < cls2").select("cls", "cls2").distinct())

@@ -3,6 +3,8 @@
 import hashlib
 import random
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -222,6 +224,37 @@ def test_vectors_against_brute_force(spark, dims):
     assert embed_dedup.near_duplicate_vectors(df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("hashes", [4, 5])
+def test_balls_are_found_by_their_members(spark, hashes):
+    """More hashes to a key, as large tables have: vectors linked with members
+    at the rim of a ball lie far from its centre."""
+    rng, dims = np.random.default_rng(hashes), 64
+    theta = math.acos(0.95)
+
+    def turned(v, angle):
+        side = rng.normal(size=dims)
+        side -= side @ v * v
+        return math.cos(angle) * v + math.sin(angle) * side / np.linalg.norm(side)
+    vectors = []
+    for _ in range(25):
+        centre = turned(np.eye(dims)[0], rng.uniform(0.5, 3))
+        rim = [turned(centre, theta * 0.47) for _ in range(12)]
+        vectors += rim + [turned(centre, theta * rng.uniform(0, 0.2)) for _ in range(10)]
+        for x in rim[:8]:  # outside the ball, near one member
+            out = x - x @ centre * centre
+            out /= np.linalg.norm(out)
+            far = theta * rng.uniform(1.2, 1.45)
+            vectors.append(math.cos(far) * centre + math.sin(far) * out)
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.id: r.n_links for r in embed_dedup.near_duplicate_vectors(df, hashes=hashes).collect()}
+    want = {i: n for i, n, *_ in brute_vectors(rows)}
+    assert all(got[i] <= n for i, n in want.items())
+    assert sum(got.values()) >= 0.99 * sum(want.values())
+    outer = [i for k in range(25) for i in range(30 * k + 22, 30 * k + 30)]
+    assert sum(got[i] for i in outer) >= 0.95 * sum(want[i] for i in outer) > 0
+
+
 def test_hadamard_is_orthonormal():
     h = embed_dedup.hadamard(np.eye(16))
     assert np.allclose(h @ h.T, np.eye(16))
