@@ -20,8 +20,8 @@ average, dealt by hash, at every size of the input; groups grow in number.
 Every round is written to the shared checkpoint folder.
 
 Encoding: the tokenizer drops white space and merges nothing across it, so
-words are encoded one by one, each distinct one once per worker (as long as
-``WORDS`` distinct ones fit).
+words are encoded apart, each distinct one once per worker (as long as ``WORDS``
+distinct ones fit); ASCII words are put together from their distinct parts.
 
 Defined results: a null or empty text has the end id only.  Null ids and rows
 repeated in full are documents of their own.  Very long texts are read in parts
@@ -32,9 +32,13 @@ extra columns are not looked at.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count, islice
 
 import numpy as np
 import public_tokenizers
@@ -61,6 +65,7 @@ GROUP_PIECES = 1 << 20
 STALL = 0.02
 WORDS = 1 << 20
 _CHUNK = 4 << 20
+_WORDS_AT_ONCE = 1 << 16
 _ROUND_BITS = 6
 _FIELDS = ["piece", "start", "length", "ids_crc32", "offset"]
 
@@ -89,42 +94,105 @@ def best_fit(sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     return seq, offset
 
 
+# The form of tokenizer whose ASCII words are taken apart here: lower-cased, cut
+# by this pattern, each match encoded by itself with an end-of-word token.
+_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ a-z0-9]+| ")
+
+
+class _Kept:
+    """Runs of ids by number, in one flat array."""
+
+    def __init__(self):
+        self.starts, self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(sizes) - sizes))
+        self.sizes, self.ids = np.concatenate((self.sizes, sizes)), np.concatenate((self.ids, ids))
+
+    def of(self, at: np.ndarray) -> np.ndarray:
+        n = self.sizes[at]
+        return self.ids[np.repeat(self.starts[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+
+
 class WordIds:
-    """Token ids of words, each distinct word encoded once."""
+    """Token ids of words, each distinct word encoded once; ASCII words from
+    their distinct parts."""
 
     def __init__(self, spec: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        self.tokenizer = Tokenizer.from_str(spec.decode())
+        self.tokenizer, self.parts_only = Tokenizer.from_str(spec.decode()), None
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        form = json.loads(spec)
+        before, cut = form.get("normalizer") or {}, form.get("pre_tokenizer") or {}
+        known = ([n["type"] for n in before.get("normalizers", [])] == _NORMALIZERS
+                 and [c.get("pattern", {}).get("Regex") for c in cut.get("pretokenizers", [])][:1] == [_PATTERN])
+        suffix = form["model"].get("end_of_word_suffix")
+        if known and suffix:
+            self.parts_only = Tokenizer.from_str(spec.decode())
+            self.parts_only.normalizer = None
+            self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            for token, i in self.tokenizer.get_vocab().items():
+                self.ends_word[i] = token.endswith(suffix)
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[bytes, int] = {}
-        self.starts, self.sizes, self.ids, self.end = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32), 0
+        self.place: dict[bytes, int] = defaultdict(count().__next__)  # words are numbered as they come
+        self.words, self.parts = _Kept(), _Kept()
+        self.part_place: dict[str, int] = defaultdict(count(1).__next__)
+        self.part_place[" "] = 0
+        self.parts.add(np.zeros(0, np.uint32), np.zeros(1, np.int64))
+
+    def _by_offsets(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many each word has): the words in one text, told apart by
+        where their tokens lie."""
+        text = [w.decode("utf-8", "replace") for w in words]
+        if any(t in b" ".join(words) for t in self.added):
+            found = [e.ids for e in self.tokenizer.encode_batch(text, add_special_tokens=False)]
+            return np.array([i for x in found for i in x], np.uint32), np.array(list(map(len, found)), np.int64)
+        e = self.tokenizer.encode(" ".join(text), add_special_tokens=False)
+        ends = np.cumsum(np.array(list(map(len, text)), np.int64) + 1)
+        owner = np.searchsorted(ends, np.array([s for s, _ in e.offsets], np.int64), "right")
+        return np.array(e.ids, np.uint32), np.bincount(owner, minlength=len(words))
+
+    def _by_parts(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        found = _ASCII.findall(b" ".join(words).decode().lower())
+        known = len(self.part_place)
+        at = np.fromiter(map(self.part_place.__getitem__, found), np.int64, len(found))
+        if len(self.part_place) > known:
+            new = list(islice(self.part_place, known, None))
+            ids = np.array(self.parts_only.encode(" ".join(new), add_special_tokens=False).ids, np.uint32)
+            ends = np.flatnonzero(self.ends_word[ids])
+            self.parts.add(ids, np.diff(ends, prepend=-1))
+        word = np.cumsum(at == 0)
+        return self.parts.of(at), np.bincount(word, self.parts.sizes[at], len(words)).astype(np.int64)
 
     def _add(self, words: list[bytes]) -> None:
-        found = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        new = [e.ids for e in found]
-        sizes = np.array([len(x) for x in new], np.int64)
-        self.starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(sizes) - sizes))
-        self.sizes = np.concatenate((self.sizes, sizes))
-        self.ids = np.concatenate((self.ids, *[np.array(x, np.uint32) for x in new]))
-        at = len(self.place)
-        self.place.update(zip(words, range(at, at + len(words)), strict=True))
+        for lo in range(0, len(words), _WORDS_AT_ONCE):
+            run = words[lo:lo + _WORDS_AT_ONCE]
+            plain = np.array([self.parts_only is not None and w.isascii() and not (b"<" in w and any(t in w for t in self.added))
+                              for w in run])
+            ids, sizes = np.zeros(0, np.uint32), np.zeros(len(run), np.int64)
+            starts = sizes.copy()
+            for rows, encode in ((np.flatnonzero(plain), self._by_parts), (np.flatnonzero(~plain), self._by_offsets)):
+                if len(rows):
+                    new, n = encode([run[i] for i in rows])
+                    starts[rows], sizes[rows] = len(ids) + np.cumsum(n) - n, n
+                    ids = np.concatenate((ids, new))
+            self.words.starts = np.concatenate((self.words.starts, len(self.words.ids) + starts))
+            self.words.sizes, self.words.ids = np.concatenate((self.words.sizes, sizes)), np.concatenate((self.words.ids, ids))
 
     def of(self, parts: list[bytes]) -> list[np.ndarray]:
         """The ids of some texts (or parts of texts, cut at white space)."""
         words = [p.split() for p in parts]
         if len(self.place) > WORDS:
             self.clear()
-        new = list(dict.fromkeys(w for ws in words for w in ws if w not in self.place))
-        if new:
-            self._add(new)
-        out = []
-        for ws in words:
-            at = np.fromiter(map(self.place.__getitem__, ws), np.int64, len(ws))
-            n = self.sizes[at]
-            out.append(self.ids[np.repeat(self.starts[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())])
-        return out
+        known = len(self.place)
+        places = [np.fromiter(map(self.place.__getitem__, ws), np.int64, len(ws)) for ws in words]
+        if len(self.place) > known:
+            self._add(list(islice(self.place, known, None)))
+        return [self.words.of(at) for at in places]
 
 
 def word_ids(spec: bytes) -> WordIds:

@@ -263,6 +263,17 @@ def test_packing_ends_where_nothing_can_be_joined(docs_of, word_tokenizer):
     assert n == 300
 
 
+def test_word_ids_are_those_of_whole_texts(word_tokenizer):
+    rng = random.Random(14)
+    enc = packing.WordIds(open(public_tokenizers.path(packing.TOKENIZER), "rb").read())
+    assert enc.parts_only is not None
+    signs = [chr(c) for c in range(33, 127)] * 2 + list("sdtrevlm'") * 4 + ["\x00", "\x1c", "\x7f", "é", "É", "e\u0301", "İ", "ß", "ﬁ", "日", "Σ", "\u00a0", "\u2003", "½", "٣"]
+    texts = [" ".join("".join(rng.choices(signs, k=rng.randint(1, 12))) for _ in range(rng.randint(0, 200))) for _ in range(60)]
+    texts += ["I'll he'd WE'RE 'S 's' ' 's don't", "<|startoftext|>a b<|endoftext|> <|ENDOFTEXT|>", "\t\n x \x0b y\x0cz\r"]
+    for text, ids in zip(texts, enc.of([t.encode() for t in texts]), strict=True):
+        assert ids.tolist() == word_tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_best_fit_takes_the_tightest_sequence():
     seq, offset = packing.best_fit(np.array([6, 5, 4, 3, 2, 1]), 10)
     fill = collections.Counter()
