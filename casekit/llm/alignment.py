@@ -44,8 +44,10 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import count, islice
 
 import numpy as np
 import pandas as pd
@@ -69,7 +71,7 @@ LONG = 1 << 17
 FAN_BITS = 4
 HEAD = 1 << 19
 MARK = "▁"
-_UNITS, _UNIT_BYTES = 1 << 18, 1 << 25  # units a worker keeps
+_UNITS, _UNIT_BYTES = 3 << 17, 1 << 25  # units a worker keeps
 _CHUNK = 1 << 21        # characters of texts looked at together
 _BULK = 1 << 16         # characters encoded at a time
 _OUT_PAIRS = 1 << 20    # pairs after which a worker hands on what it has
@@ -116,10 +118,13 @@ class Tokens:
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode()
                         for i, p in enumerate(names)]
         self.size_a, self.size_b = (np.array(list(map(len, x)), np.int64) for x in (self.bytes_a, self.bytes_b))
-        self.ids = [str(i) for i in range(max(len(self.bytes_a), len(self.bytes_b)))]
+        n = max(len(self.bytes_a), len(self.bytes_b))
+        # Every id as text with what can follow it: another id, the other side, another group.
+        self.spelled = [f"{i}{sep}" for sep in ",|;" for i in range(n)]
+        self.widths = np.array(list(map(len, self.spelled[:n])), np.int64)
         self._x = len(self.b.encode("x"))
 
-    def encode(self, unit: str, alone: bool = False) -> tuple[np.ndarray, np.ndarray, bool]:
+    def encode(self, unit: str) -> tuple[np.ndarray, np.ndarray, bool]:
         """Ids of some units joined (all but the last character white space
         free at its end), and whether both spell space + unit."""
         raw = (" " + unit).encode()
@@ -132,17 +137,33 @@ def pair_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a << 32) | b
 
 
+def _common(ends_a: np.ndarray, ends_b: np.ndarray) -> np.ndarray:
+    """Ends that two rising lists share."""
+    if not len(ends_a) or not len(ends_b):
+        return ends_a[:0]
+    at = np.minimum(np.searchsorted(ends_b, ends_a), len(ends_b) - 1)
+    return ends_a[ends_b[at] == ends_a]
+
+
 def linked(a: np.ndarray, ends_a: np.ndarray, b: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(last byte of the overlap, id pair) of every linked pair of occurrences:
     between two neighbouring ends lies the overlap of exactly one pair."""
-    ends = np.union1d(ends_a, ends_b)
+    ends = np.sort(np.concatenate((ends_a, ends_b)), kind="stable")
+    ends = ends[np.concatenate((ends[1:] != ends[:-1], [True]))[:len(ends)]]
     return ends, pair_of(a[np.searchsorted(ends_a, ends)], b[np.searchsorted(ends_b, ends)])
 
 
-def _group_texts(ids: list[str], a: list[int], cuts_a: list[int], b: list[int], cuts_b: list[int]) -> list[str]:
-    """Groups as text; group i ends before place cuts[i + 1] of each list."""
-    spell = lambda x: ",".join(map(ids.__getitem__, x))
-    return [spell(a[i:j]) + "|" + spell(b[k:n]) for i, j, k, n in zip(cuts_a, cuts_a[1:], cuts_b, cuts_b[1:], strict=False)]
+def group_text(tokens: Tokens, a: np.ndarray, ends_a: np.ndarray, b: np.ndarray, ends_b: np.ndarray,
+               common: np.ndarray) -> tuple[str, np.ndarray]:
+    """The groups as text, each with a semicolon behind it, and where the text
+    of each group ends."""
+    side = np.concatenate((2 * np.searchsorted(common, ends_a), 2 * np.searchsorted(common, ends_b) + 1))
+    order = np.argsort(side, kind="stable")
+    side, ids = side[order], np.concatenate((a, b))[order]
+    last = np.concatenate((side[1:] != side[:-1], [True]))[:len(side)]
+    sep = np.where(last, 1 + (side & 1), 0)
+    text = "".join(map(tokens.spelled.__getitem__, (ids + sep * len(tokens.widths)).tolist()))
+    return text, np.cumsum(tokens.widths[ids])[last & (side & 1 == 1)]
 
 
 class Units:
@@ -153,7 +174,7 @@ class Units:
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[str, int] = {}
+        self.place: dict[str, int] = defaultdict(count().__next__)  # units are numbered as they come
         self.texts: list[str] = []
         self.size = 0
         self.good = np.zeros(0, bool)
@@ -190,32 +211,29 @@ class Units:
                 continue
             ends_a, ends_b = np.cumsum(self.tokens.size_a[a]), np.cumsum(self.tokens.size_b[b])
             bounds = np.cumsum([len(u.encode()) + 1 for u in group])
-            common = np.intersect1d(ends_a, ends_b)
-            cuts_a = np.append(0, np.searchsorted(ends_a, common) + 1)
-            cuts_b = np.append(0, np.searchsorted(ends_b, common) + 1)
+            common = _common(ends_a, ends_b)
             ends, pairs = linked(a, ends_a, b, ends_b)
-            lines = _group_texts(self.tokens.ids, a.tolist(), cuts_a.tolist(), b.tolist(), cuts_b.tolist())
             places = [np.append(0, np.searchsorted(x, bounds) + 1) for x in (ends_a, ends_b, common, ends)]
             counts.append(np.stack([np.diff(p) for p in places]))
-            at = places[2].tolist()
-            self.texts += [";".join(lines[i:j]) for i, j in zip(at, at[1:], strict=False)]
+            text, until = group_text(self.tokens, a, ends_a, b, ends_b, common)
+            until = np.append(0, until)[places[2]].tolist()
+            self.texts += [text[i:j - 1] for i, j in zip(until, until[1:], strict=False)]
             for held, new in zip(flat, (a, b, pairs), strict=True):
                 held.append(new)
         self.counts, self.good = np.concatenate(counts, axis=1), np.concatenate(good)
         self.flat = [np.concatenate(x) for x in flat]
         self.starts = [np.cumsum(self.counts[k]) - self.counts[k] for k in (0, 1, 3)]
         self.size += sum(map(len, names))
-        first = len(self.place)
-        self.place.update(zip(names, range(first, first + len(names)), strict=True))
 
     def places(self, texts: list[list[str]]) -> list[np.ndarray]:
         """Places of the units of some texts."""
         if len(self.place) > _UNITS or self.size > _UNIT_BYTES:
             self.clear()
-        new = list(dict.fromkeys(u for t in texts for u in t if u not in self.place))
-        if new:
-            self._add(new)
-        return [np.fromiter(map(self.place.__getitem__, t), np.int64, len(t)) for t in texts]
+        known = len(self.place)
+        places = [np.fromiter(map(self.place.__getitem__, t), np.int64, len(t)) for t in texts]
+        if len(self.place) > known:
+            self._add(list(islice(self.place, known, None)))
+        return places
 
 
 def _units_of(spec: Broadcast) -> Units:
@@ -363,18 +381,17 @@ class Closed:
 def _closed(tokens: Tokens, key: int, inner: bool, a: np.ndarray, b: np.ndarray) -> Closed:
     """Groups of tokens that begin and end together."""
     ends_a, ends_b = np.cumsum(tokens.size_a[a]), np.cumsum(tokens.size_b[b])
-    common = np.intersect1d(ends_a, ends_b)
-    cuts_a, cuts_b = (np.append(0, np.searchsorted(e, common) + 1).tolist() for e in (ends_a, ends_b))
-    text = ";".join(_group_texts(tokens.ids, a.tolist(), cuts_a, b.tolist(), cuts_b))
+    common = _common(ends_a, ends_b)
+    text, _ = group_text(tokens, a, ends_a, b, ends_b, common)
     ends, found = linked(a, ends_a, b, ends_b)
     pairs, times = np.unique(found, return_counts=True)
-    return Closed(key, inner, text, [len(a), len(b), len(common), len(ends)], pairs, times)
+    return Closed(key, inner, text[:-1], [len(a), len(b), len(common), len(ends)], pairs, times)
 
 
 def fragment(tokens: Tokens, key: int, a: np.ndarray, ends_a: np.ndarray, b: np.ndarray,
              ends_b: np.ndarray) -> tuple[Fragment, Closed | None]:
     """The fragment of the tokens that end in one byte range."""
-    common = np.intersect1d(ends_a, ends_b)
+    common = _common(ends_a, ends_b)
     if not len(common):
         return Fragment(key, -1, (a.tolist(), b.tolist())), None
     (a1, a2), (b1, b2) = (np.searchsorted(e, common[[0, -1]]) + 1 for e in (ends_a, ends_b))
