@@ -60,9 +60,91 @@ def test_rolling_stddev_min_max_and_types(spark):
     both = FE.rolling_window_aggregations(amounts, ["k"], "d", ["sum", "avg", "stddev"], ["v"], [3])
     for c in ("sum_v_3d", "avg_v_3d"):
         assert alone.schema[c].dataType == both.schema[c].dataType
-    for fn in ("count_distinct", "approx_count_distinct"):
-        with pytest.raises(ValueError, match="no rolling windows"):
-            FE.rolling_window_aggregations(df, ["k"], "d", fn, ["v"], [3])
+
+
+@pytest.mark.parametrize("size,off", [(7, 0), (1, 0), (4, 3)])
+def test_rolling_distinct_matches_brute_force(spark, size, off):
+    rnd = random.Random(size)
+    base = dt.date(2024, 1, 1)
+    rows = [(rnd.choice(["a", "b", None]), rnd.choice([base + dt.timedelta(days=rnd.randint(0, 60)), None] + [base] * (i % 2)),
+             rnd.choice([None, "x", "y", "z", "w", str(rnd.randint(0, 30))])) for i in range(500)]
+    df = spark.createDataFrame(rows, "k string, d date, v string")
+    out = FE.rolling_window_aggregations(df, ["k"], "d", "count_distinct", ["v"], [size, 30], off).collect()
+    assert len(out) == len(rows)
+    for r in out:
+        for w in (size, 30):
+            lo, hi = w - 1 + off, off
+            if r.d is None:
+                want = {v for k, d, v in rows if k == r.k and d is None and v is not None}
+            else:
+                want = {v for k, d, v in rows if k == r.k and d is not None and v is not None and hi <= (r.d - d).days <= lo}
+            assert r[f"count_distinct_v_{w}d" + (f"_off{off}" if off else "")] == len(want), r
+
+
+def test_sketches_estimate_and_merge_over_runs(spark):
+    rnd = random.Random(5)
+    base = dt.date(2024, 1, 1)
+    rows = [(rnd.choice(["a", "b"]), base + dt.timedelta(days=rnd.randint(0, 9)), rnd.randint(0, 20000)) for _ in range(60000)]
+    df = spark.createDataFrame(rows, "k string, d date, v long")
+    both = FE.rolling_window_aggregations(df, ["k"], "d", ["count_distinct", "approx_count_distinct"], ["v"], [7, 1])
+    seen = both.drop("v").distinct().collect()
+    for r in seen:
+        for w in (7, 1):
+            exact, about = r[f"count_distinct_v_{w}d"], r[f"approx_count_distinct_v_{w}d"]
+            assert abs(about - exact) <= 4 * FE.SKETCH_ERROR * exact + 1
+    # tables of two runs that share days and values
+    first, second = df.filter("v % 3 > 0"), df.filter("v % 3 < 2")
+    merged = FE.merge_sketches([FE.daily_sketches(x, ["k"], "d", ["v"]) for x in (first, second)], ["k"])
+    got = {(r.k, r.day): r for r in FE.sketched_distinct_counts(merged, ["k"], [7, 1]).collect()}
+    assert len(got) == len({(r.k, r.d) for r in seen})
+    for r in seen:
+        about = got[r.k, r.d].approx_count_distinct_v_7d
+        assert abs(about - r.count_distinct_v_7d) <= 4 * FE.SKETCH_ERROR * r.count_distinct_v_7d + 1
+
+
+def _leaves(df):
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return plan.count("Relation [") + plan.count("LogicalRDD") + plan.count("LocalRelation")
+
+
+def test_chain_of_steps_reads_its_source_twice(spark, scratch):
+    rows, df = _events(spark)
+    df.write.parquet(scratch + "/t")
+    df = spark.read.parquet(scratch + "/t")
+    specs = [FE.Rolling(["k"], "d", fn, ["v"], [size]) for size in (7, 3) for fn in ("sum", "avg", "max")]
+    specs += [FE.BaseAgg(["avg", "stddev"], ["v"], ["k"], mode="attach")]
+    out = FE.build_features(df, specs)
+    assert _leaves(out) == 2
+    one_by_one = df
+    for spec in specs:
+        one_by_one = spec.apply(one_by_one)
+    assert out.columns == one_by_one.columns
+    assert sorted(map(str, out.collect())) == sorted(map(str, one_by_one.collect()))
+    # rows of one day each: no join, one read; checked
+    daily = df.groupBy("k", "d").agg(F.sum("v").alias("v"))
+    specs = [FE.Rolling(["k"], "d", ["sum", "count", "stddev", "min", "count_distinct"], ["v"], [7, 2], one_row_per_day=flag) for flag in (True, False)]
+    declared, plain = (FE.build_features(daily, [s]) for s in specs)
+    assert sorted(map(str, declared.collect())) == sorted(map(str, plain.collect()))
+    assert _leaves(FE.build_features(daily, [FE.Rolling(["k"], "d", "sum", ["v"], [7], one_row_per_day=True)])) == 1
+    with pytest.raises(Exception, match="one_row_per_day"):
+        FE.rolling_window_aggregations(df, ["k"], "d", "sum", ["v"], [7], one_row_per_day=True).collect()
+
+
+def test_steps_of_several_keys_and_of_features(spark):
+    rows, df = _events(spark)
+    df = df.withColumn("g", F.lit("all"))
+    specs = [FE.Rolling(["k"], "d", "sum", ["v"], [7]), FE.Rolling(["g"], "d", "sum", ["v"], [2]), FE.BaseAgg("max", ["v"], ["g"], mode="attach"),
+             FE.BaseAgg("min", ["v"], mode="attach"), FE.Rolling(["k"], "d", "max", ["sum_v_7d"], [3]),
+             FE.BaseAgg("avg", ["max_sum_v_7d_3d"], ["k"])]
+    out = FE.build_features(df, specs[:5])
+    one_by_one = df
+    for spec in specs[:2]:
+        one_by_one = spec.apply(one_by_one.drop("sum_v_2d"))
+    assert out.columns == ["k", "d", "v", "g", "sum_v_7d", "sum_v_2d", "max_v", "min_v", "max_sum_v_7d_3d"]
+    assert out.count() == len(rows) and out.filter("max_v <> 9 or min_v <> 0").count() == 0
+    assert FE.build_features(df, specs).columns == ["k", "avg_max_sum_v_7d_3d"]
+    with pytest.raises(ValueError, match="there already"):
+        FE.build_features(out, specs[:1])
 
 
 def test_group_attach_global(spark):
