@@ -1,10 +1,11 @@
 """Exact k-nearest-neighbour search between a query table and a corpus.
 
-Plan (no collect, no broadcast, no cross join, no job before the action):
+Plan (no collect, no broadcast, no cross join):
 
-1. Queries are hashed into ``query_blocks`` blocks and corpus rows into
-   ``corpus_shards`` shards; each (block, shard) cell gets its block's queries
-   and its shard's rows by one hash shuffle.
+1. Queries are hashed into blocks of about ``QUERIES_PER_BLOCK`` (the queries
+   are counted, nothing else runs before the action) and corpus rows into
+   shards; each (block, shard) cell gets its block's queries and its shard's
+   rows by one hash shuffle.  More queries make more blocks, not larger ones.
 2. A task streams through its cells, queries first: it holds one block of
    queries and their best ``k`` items so far, and scores the cell's corpus
    rows batch by batch with numpy.  It emits exactly ``k`` items per query and
@@ -12,10 +13,11 @@ Plan (no collect, no broadcast, no cross join, no job before the action):
 3. A window ``row_number`` per query over those partial winners picks the
    global top-k (Spark plans it with a window group limit).
 
-A task's memory is one block of queries and one Arrow batch, so choose
-``query_blocks`` by the size of the query table; ``corpus_shards`` is the
-number of tasks a block is spread over.  The corpus is shuffled once per block
-and the queries once per shard.
+A task's memory is one block of queries and one Arrow batch, whatever the
+tables' sizes.  There are as many shards as it takes to have a cell for every
+shuffle partition of the session; they only spread the work.  The corpus is
+shuffled once per block and the queries once per shard; where that is too much,
+:mod:`casekit.operators.vector_index` leaves most of the cells out.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,8 +34,7 @@ from casekit.functions.workers import ship_with_tasks
 
 ship_with_tasks(__name__)
 
-QUERY_BLOCKS = 2
-CORPUS_SHARDS = 8
+QUERIES_PER_BLOCK = 4096
 _BLOCK_FLOATS = 4_000_000  # bound on one temporary array
 
 
@@ -130,11 +131,41 @@ def _search(k: int, metric: str, items: list[str], query_col: str, exclude_self:
     return run
 
 
+def check_search(queries: DataFrame, corpus: DataFrame, query_id: str, items: list[str], metric: str) -> T.StructType:
+    """The schema of what the cells find."""
+    if metric not in ("l2", "cosine", "dot"):
+        raise ValueError("metric must be l2, cosine or dot")
+    return T.StructType([queries.schema[query_id]] + [corpus.schema[c] for c in items] + [T.StructField("score", T.DoubleType())])
+
+
+def numbers(n: Column | int) -> Column:
+    """One row for each of 0 .. n - 1."""
+    return F.explode(F.sequence(F.lit(0).cast("long"), (n if isinstance(n, Column) else F.lit(n)).cast("long") - 1))
+
+
+def search_cells(queries: DataFrame, corpus: DataFrame, partitions: int, schema: T.StructType, k: int, metric: str,
+                 items: list[str], query_id: str, exclude_self: bool) -> DataFrame:
+    """The best ``k`` items of every query in every cell: ``queries`` (__q, __v)
+    and ``corpus`` (items, __v) rows with their cells (__b, __s)."""
+    q = queries.select("__q", "__v", "__b", "__s", F.lit(False).alias("__item"),
+                       *[F.lit(None).cast(schema[c].dataType).alias(c) for c in items])
+    c = corpus.select(F.lit(None).cast(schema[query_id].dataType).alias("__q"), "__v", "__b", "__s", F.lit(True).alias("__item"), *items)
+    cells = q.unionByName(c).repartition(partitions, "__b", "__s").sortWithinPartitions("__b", "__s", "__item")
+    return cells.mapInPandas(_search(k, metric, items, query_id, exclude_self), schema)
+
+
+def best_of_cells(found: DataFrame, k: int, query_id: str, items: list[str], metric: str) -> DataFrame:
+    """The global top k of the cells' winners."""
+    order = F.col("score").asc() if metric == "l2" else F.col("score").desc()
+    w = Window.partitionBy(query_id).orderBy(order, *[F.col(i).asc() for i in items])
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(query_id, *items, "rank", "score")
+
+
 def similarity_search(queries: DataFrame, corpus: DataFrame, k: int = 3,
                       query_id: str = "query_id", query_vec: str = "vector",
                       item_cols: list[str] | str = "item_id", item_vec: str = "vector",
                       metric: str = "l2", exclude_self: bool = False,
-                      query_blocks: int = QUERY_BLOCKS, corpus_shards: int = CORPUS_SHARDS) -> DataFrame:
+                      query_blocks: int | None = None, corpus_shards: int | None = None) -> DataFrame:
     """Top ``k`` corpus items per query: ``(query_id, *item_cols, rank, score)``.
 
     ``metric``: ``l2`` (squared Euclidean, ascending), ``cosine`` or ``dot``
@@ -142,28 +173,16 @@ def similarity_search(queries: DataFrame, corpus: DataFrame, k: int = 3,
     scores that are not finite are left out.  ``exclude_self`` drops the pair
     where the query id equals the (single) item id.
     """
-    if metric not in ("l2", "cosine", "dot"):
-        raise ValueError("metric must be l2, cosine or dot")
     items = [item_cols] if isinstance(item_cols, str) else list(item_cols)
-    out_schema = T.StructType([queries.schema[query_id]] + [corpus.schema[c] for c in items]
-                              + [T.StructField("score", T.DoubleType())])
-
-    def numbers(n: int):
-        return F.explode(F.array(*[F.lit(i) for i in range(n)]))
+    schema = check_search(queries, corpus, query_id, items, metric)
+    blocks = query_blocks or max(1, -(-queries.count() // QUERIES_PER_BLOCK))
+    shards = corpus_shards or max(1, -(-int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")) // blocks))
 
     q = queries.select(F.col(query_id).alias("__q"), F.col(query_vec).cast("array<double>").alias("__v"))
     q = q.filter(F.col("__v").isNotNull()).select(
-        "*", F.pmod(F.xxhash64("__q", "__v"), F.lit(query_blocks)).cast("int").alias("__b"), F.lit(False).alias("__item"),
-        *[F.lit(None).cast(corpus.schema[c].dataType).alias(c) for c in items])
+        "*", F.pmod(F.xxhash64("__q", "__v"), F.lit(blocks)).cast("long").alias("__b"), numbers(shards).alias("__s"))
     c = corpus.select(*items, F.col(item_vec).cast("array<double>").alias("__v"))
     c = c.filter(F.col("__v").isNotNull()).select(
-        "*", F.pmod(F.xxhash64(*items, "__v"), F.lit(corpus_shards)).cast("int").alias("__s"), F.lit(True).alias("__item"),
-        F.lit(None).cast(queries.schema[query_id].dataType).alias("__q"))
-    cells = (q.withColumn("__s", numbers(corpus_shards)).unionByName(c.withColumn("__b", numbers(query_blocks)))
-             .repartition(query_blocks * corpus_shards, "__b", "__s").sortWithinPartitions("__b", "__s", "__item"))
-    cand = cells.mapInPandas(_search(k, metric, items, query_id, exclude_self), out_schema)
-    order = F.col("score").asc() if metric == "l2" else F.col("score").desc()
-    w = Window.partitionBy(query_id).orderBy(order, *[F.col(i).asc() for i in items])
-    return (cand.withColumn("rank", F.row_number().over(w))
-                .filter(F.col("rank") <= k)
-                .select(query_id, *items, "rank", "score"))
+        "*", F.pmod(F.xxhash64(*items, "__v"), F.lit(shards)).cast("long").alias("__s"), numbers(blocks).alias("__b"))
+    found = search_cells(q, c, blocks * shards, schema, k, metric, items, query_id, exclude_self)
+    return best_of_cells(found, k, query_id, items, metric)
