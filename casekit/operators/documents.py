@@ -1,11 +1,8 @@
 """Documents -> overlapping chunks -> term vectors -> context text.
 
-Fixed-size chunking and the hashed term vectors are native expressions
-(``sequence``/``substring``, ``split``/``md5``/higher-order array functions),
-so they run in codegen with no Python worker and no shuffle.  Boundary-aware
-chunking needs a per-text scan for separators; it runs as an Arrow-batched
-pandas UDF that returns only (start, end) offsets, and the substrings are cut
-JVM-side.  Every text is processed whole.
+Chunking, fixed and boundary-aware, and the tokens of the term vectors are
+native expressions (regular expressions, ``split``/``md5``, higher-order array
+functions), with no Python worker and no shuffle.  Every text is processed whole.
 """
 
 from __future__ import annotations
@@ -110,35 +107,84 @@ def boundary_spans(text: str | None, size: int, overlap: int) -> list[list[int]]
     return [c for c in chunks if text[c[0]:c[1]].strip()]
 
 
+# What str.strip() takes away, as a character class.
+_BLANK = r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+
+
+def _separated(text: Column, size: int) -> Column:
+    """Spans of a text between separators, as an array of strings: what is
+    longer than ``size`` is split behind blank lines, then line breaks, then
+    spaces, then anywhere."""
+    def cut(spans: Column, pattern: str) -> Column:
+        return F.flatten(F.transform(spans, lambda s: F.when(F.length(s) <= size, F.array(s)).otherwise(
+            F.regexp_extract_all(s, F.lit(pattern), F.lit(0)))))
+
+    spans = F.array(text)
+    for sep in BOUNDARY_SEPARATORS:
+        spans = cut(spans, f"(?s).*?{sep}|.+" if sep else f"(?s).{{1,{size}}}")
+    return spans
+
+
+def _merged(spans: Column, size: int, overlap: int) -> Column:
+    """Chunks as (first span, end span, start): a fold over the spans.
+
+    The state holds where the open chunk begins, where it ends so far, and the
+    places at its end that the next chunk can begin at (``overlap`` characters
+    of them, so it stays small however long the text).
+    """
+    place = lambda i, at: F.struct(i.alias("i"), at.alias("at"))
+    chunk = lambda first, end: F.struct(first["i"].alias("first"), end.alias("end"), first["at"].alias("start"))
+    zero = F.lit(0)
+    state = F.struct(place(zero, zero).alias("first"), place(zero, zero).alias("end"),
+                     F.array().cast("array<struct<i:int,at:int>>").alias("next"),
+                     F.array().cast("array<struct<first:int,end:int,start:int>>").alias("out"))
+
+    def add(x: Column, span: Column) -> Column:
+        first, end, n = x["first"], x["end"], F.length(span)
+        full = (end["i"] > first["i"]) & (end["at"] + n - first["at"] > size)
+        fits = F.filter(x["next"], lambda p: end["at"] - p["at"] <= F.least(F.lit(overlap), size - n))
+        begin = F.when(full, F.coalesce(F.get(fits, zero), end)).otherwise(first)
+        then = F.filter(F.array_append(x["next"], end), lambda p: (p["i"] >= begin["i"]) & (end["at"] + n - p["at"] <= overlap))
+        return F.struct(begin.alias("first"), place(end["i"] + 1, end["at"] + n).alias("end"), then.alias("next"),
+                        F.when(full, F.array_append(x["out"], chunk(first, end["i"]))).otherwise(x["out"]).alias("out"))
+
+    return F.aggregate(spans, state, add, lambda x: F.array_append(x["out"], chunk(x["first"], x["end"]["i"])))
+
+
 def chunk_documents_boundary(df: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
                              id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Chunks cut at a blank line, else a line break, else a space, else
-    anywhere; same output shape as :func:`chunk_documents`."""
+    anywhere; same output shape as :func:`chunk_documents`.  Consecutive chunks
+    share at most ``overlap`` characters; chunks of white space only are left
+    out.  Native expressions; :func:`boundary_spans` states the same cut.
+    """
     if not 0 <= overlap < size:
         raise ValueError("need 0 <= overlap < size")
-
-    piece = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("chunk_text", T.StringType())])
-
-    @F.pandas_udf(T.ArrayType(piece))
-    def pieces(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"start": a, "chunk_text": t[a:b]} for a, b in boundary_spans(t, size, overlap)])
-
-    return (spread(df).select(F.col(id_col), F.posexplode(pieces(F.col(text_col))).alias("chunk_id", "p"))
-              .select(id_col, "chunk_id", "p.start", "p.chunk_text"))
+    rows = spread(df.filter(F.length(F.col(text_col)) > 0)).select(F.col(id_col), _separated(F.col(text_col), size).alias("__s"))
+    rows = rows.select(id_col, F.inline_outer(F.array(F.struct("__s"))))  # split once per text
+    rows = rows.select(id_col, F.inline_outer(F.array(F.struct("__s", _merged(F.col("__s"), size, overlap).alias("__c")))))
+    texts = F.transform("__c", lambda c: F.struct(c["start"].alias("start"), F.array_join(
+        F.slice("__s", c["first"] + 1, c["end"] - c["first"]), "").alias("chunk_text")))
+    rows = rows.select(id_col, F.inline_outer(F.array(F.struct(texts.alias("__t")))))
+    said = F.filter("__t", lambda t: t["chunk_text"].rlike(f"[^{_BLANK}]"))
+    return rows.select(id_col, F.posexplode(said).alias("chunk_id", "p")).select(id_col, "chunk_id", "p.start", "p.chunk_text")
 
 
 CHUNKERS = {"fixed": chunk_documents, "boundary": chunk_documents_boundary}
 
 
 # --------------------------------------------------------------------- D2 --
+def terms(text: Column) -> Column:
+    """Lower-cased tokens: runs of letters and digits of any script."""
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+
+
 def term_buckets(text: Column, dims: int) -> Column:
-    """Lower-cased tokens (runs of letters and digits of any script) mapped to
-    ``dims`` buckets by the first 32 bits of their md5 (stable across engines
-    and runs)."""
+    """Tokens (:func:`terms`) mapped to ``dims`` buckets by the first 32 bits of
+    their md5 (stable across engines and runs)."""
     if not 1 <= dims <= 1 << 31:
         raise ValueError("dims must be in 1..2**31")
-    tokens = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
-    return F.transform(tokens, lambda t: F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long") % dims)
+    return F.transform(terms(text), lambda t: F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long") % dims)
 
 
 def _histogram_udf(dims: int):
