@@ -251,15 +251,22 @@ def fallback_notes(header: str = DEFAULT_NOTES_HEADER) -> Column:
 
 def attach_notes(df: DataFrame, completions: DataFrame | None = None,
                  step: str = "investigator", key: str = "txn_id",
-                 header: str = DEFAULT_NOTES_HEADER) -> DataFrame:
+                 header: str = DEFAULT_NOTES_HEADER, completion_col: str | None = None) -> DataFrame:
     """``investigator_notes``: the model completion for (case, step) when
     present, else the fallback notes; ``notes_source`` says which.
+    ``completion_col`` names a column that holds the completion already.
 
     ``completions(case_id, step, text)`` is reduced to one row per case for
     this step (partial aggregation, so a key repeated many times is combined
     map-side) and left-joined on the case key; AQE chooses broadcast or
     sort-merge from the runtime size.
     """
+    def notes(text: Column) -> dict[str, Column]:
+        return {"investigator_notes": F.coalesce(text, fallback_notes(header)),
+                "notes_source": F.when(text.isNotNull(), F.lit("model")).otherwise(F.lit("heuristic"))}
+
+    if completion_col is not None:
+        return df.withColumns(notes(F.col(completion_col))).drop(completion_col)
     if completions is None:
         return df.withColumns({"investigator_notes": fallback_notes(header),
                                "notes_source": F.lit("heuristic")})
@@ -267,10 +274,7 @@ def attach_notes(df: DataFrame, completions: DataFrame | None = None,
            .groupBy(F.col("case_id").alias("__case"))
            .agg(F.max("text").alias("__text")))
     joined = df.join(one, df[key] == one["__case"], "left")
-    return joined.withColumns({
-        "investigator_notes": F.coalesce(F.col("__text"), fallback_notes(header)),
-        "notes_source": F.when(F.col("__text").isNotNull(), F.lit("model")).otherwise(F.lit("heuristic")),
-    }).drop("__case", "__text")
+    return joined.withColumns(notes(F.col("__text"))).drop("__case", "__text")
 
 
 # --------------------------------------------------------------------- R6 --

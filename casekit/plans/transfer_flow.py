@@ -15,12 +15,12 @@ from casekit.operators import transfers as T
 
 def score_transfers(df: DataFrame, completions: DataFrame | None = None,
                     run_id: str = "", created_at: str | None = None,
-                    notes_header: str = T.DEFAULT_NOTES_HEADER) -> DataFrame:
+                    notes_header: str = T.DEFAULT_NOTES_HEADER, completion_col: str | None = None) -> DataFrame:
     """Typed transfer rows in, one scored case per row out."""
     return (df.transform(T.enrich_transfers)
               .transform(T.score_rules)
               .transform(T.ml_risk)
-              .transform(T.attach_notes, completions, header=notes_header)
+              .transform(T.attach_notes, completions, header=notes_header, completion_col=completion_col)
               .transform(T.decide)
               .transform(T.make_reports, run_id=run_id, created_at=created_at))
 
