@@ -196,7 +196,8 @@ def case_prompts(df: DataFrame) -> DataFrame:
     and colons, in all three steps.
     """
     df = df.withColumn("new_device", ~F.coalesce(F.col("seen_before"), F.lit(False)))
-    payment = _dumps_object(df, PAYMENT_COLUMNS)
+    df = df.withColumn("__payment", _dumps_object(df, PAYMENT_COLUMNS))  # once, for two prompts
+    payment = F.col("__payment")
     texts = {
         "triage": F.concat(F.lit(TRIAGE_PROMPT), payment),
         "model": F.concat(F.lit(MODEL_PROMPT), _dumps_object(df, ["amount", "channel", "new_device"])),
