@@ -18,7 +18,9 @@ from casekit.operators import cases as CS
 from casekit.operators import derived as DER
 from casekit.operators import documents as DOC
 from casekit.operators import features as FE
+from casekit.operators import terms as TERMS
 from casekit.operators import tools as TOOLS
+from casekit.operators import vector_index as IDX
 from casekit.operators import vectors as VEC
 from casekit.operators import transfers as TR
 from casekit.functions.parse import PY_FLOAT_TOKEN
@@ -497,7 +499,8 @@ _ROLL_FUNCS, _ROLL_COLS, _ROLL_SIZES = ["sum", "avg", "count"], [_LOGIN, _PAY],
     for w in _ROLL_SIZES for fn in _ROLL_FUNCS for c in _ROLL_COLS) + f" FROM {_DE}")
 def q_rolling_7_3(spark, sf_dir):
     df = _daily(spark, sf_dir).select("customer_id", "business_date", *_ROLL_COLS)
-    out = FE.rolling_window_aggregations(df, ["customer_id"], "business_date", _ROLL_FUNCS, _ROLL_COLS, _ROLL_SIZES)
+    out = FE.rolling_window_aggregations(df, ["customer_id"], "business_date", _ROLL_FUNCS, _ROLL_COLS, _ROLL_SIZES,
+                                         one_row_per_day=True)
     return _date_text(out).drop(*_ROLL_COLS)
 
 
@@ -536,7 +539,7 @@ def q_base_agg_attach_global(spark, sf_dir):
 
 
 _CHAIN = [
-    FE.Rolling(["customer_id"], "business_date", ["sum", "avg"], [_LOGIN, _PAY], [7, 2]),
+    FE.Rolling(["customer_id"], "business_date", ["sum", "avg"], [_LOGIN, _PAY], [7, 2], one_row_per_day=True),
     FE.BaseAgg("avg", [_EVT], ["customer_id"], mode="attach"),
 ]
 
@@ -550,6 +553,81 @@ def q_feature_chain(spark, sf_dir):
     return _date_text(FE.build_features(_daily(spark, sf_dir), _CHAIN))
 
 
+_STEPS = [
+    FE.Rolling(["user_id"], "ts", "sum", ["value"], [7]),
+    FE.Rolling(["user_id"], "ts", "avg", ["value"], [3]),
+    FE.Rolling(["user_id"], "ts", ["min", "max"], ["value"], [5], window_offset=1),
+    FE.Rolling(["user_id"], "ts", "count", ["value"], [14]),
+    FE.BaseAgg("max", ["value"], ["user_id"], mode="attach"),
+    FE.Rolling(["event_type"], "ts", "count", ["value"], [2]),
+]
+
+
+# Six steps on raw events: two sets of keys, so two daily tables.
+@register("feature_chain_steps", "SELECT event_id, " + ", ".join([
+    _roll_sql("sum", "value", 7, 0, "user_id", "CAST(ts AS DATE)"), _roll_sql("avg", "value", 3, 0, "user_id", "CAST(ts AS DATE)"),
+    _roll_sql("min", "value", 5, 1, "user_id", "CAST(ts AS DATE)"), _roll_sql("max", "value", 5, 1, "user_id", "CAST(ts AS DATE)"),
+    _roll_sql("count", "value", 14, 0, "user_id", "CAST(ts AS DATE)"), f"{_r('max(value) OVER (PARTITION BY user_id)')} AS max_value",
+    _roll_sql("count", "value", 2, 0, "event_type", "CAST(ts AS DATE)")]).replace("count_value_2d", "type_count_value_2d")
+    + " FROM (SELECT event_id, user_id, event_type, ts, CAST(value AS DECIMAL(18, 2)) AS value FROM events)")
+def q_feature_chain_steps(spark, sf_dir):
+    ev = (A.read_table(spark, sf_dir, "events", "event_id", "user_id", "event_type", "ts", "value")
+          .withColumn("value", F.col("value").cast("decimal(18,2)")))
+    out = FE.build_features(ev, _STEPS)
+    return out.select("event_id", *[F.col(c).cast("double").alias(c) for c in (
+        "sum_value_7d", "avg_value_3d", "min_value_5d_off1", "max_value_5d_off1", "max_value")],
+        "count_value_14d", F.col("count_value_2d").alias("type_count_value_2d"))
+
+
+_DAY_RANGE = "PARTITION BY user_id ORDER BY CAST(ts AS DATE) RANGE BETWEEN INTERVAL {} DAYS PRECEDING AND {}"
+_DISTINCT_SQL = ", ".join(
+    f"count(DISTINCT {c}) OVER ({_DAY_RANGE.format(lo, hi)}) AS count_distinct_{c}_{name}"
+    for c in ("event_type", "value") for lo, hi, name in ((6, "CURRENT ROW", "7d"), (0, "CURRENT ROW", "1d")))
+
+
+@register("rolling_distinct", f"SELECT event_id, user_id, {_DISTINCT_SQL}, count(DISTINCT event_type) OVER ("
+          + _DAY_RANGE.format(6, "INTERVAL 2 DAYS PRECEDING") + ") AS count_distinct_event_type_5d_off2 FROM events")
+def q_rolling_distinct(spark, sf_dir):
+    ev = A.read_table(spark, sf_dir, "events", "event_id", "user_id", "event_type", "ts", "value")
+    out = FE.build_features(ev, [FE.Rolling(["user_id"], "ts", "count_distinct", ["event_type", "value"], [7, 1]),
+                                 FE.Rolling(["user_id"], "ts", "count_distinct", ["event_type"], [5], window_offset=2)])
+    return out.drop("event_type", "ts", "value")
+
+
+def _within(about: str, exact: str, error: float) -> F.Column:
+    """Four standard errors of the sketch hold."""
+    return F.abs(F.col(about) - F.col(exact)) <= 4 * error * F.col(exact) + 1
+
+
+@register("rolling_distinct_approx", """
+SELECT event_type, CAST(CAST(ts AS DATE) AS VARCHAR) AS day,
+  max(n7) AS count_distinct_user_id_7d, TRUE AS estimate_holds, TRUE AS merged_estimate_holds
+FROM (SELECT event_type, ts, count(DISTINCT user_id) OVER (PARTITION BY event_type ORDER BY CAST(ts AS DATE)
+        RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW) AS n7 FROM events)
+GROUP BY event_type, CAST(ts AS DATE)""")
+def q_rolling_distinct_approx(spark, sf_dir):
+    # Estimates from daily sketches: made in one go, and merged from those of two runs that share days and users.
+    ev = A.read_table(spark, sf_dir, "events", "event_id", "event_type", "user_id", "ts")
+    rows = FE.rolling_window_aggregations(ev, ["event_type"], "ts", ["count_distinct", "approx_count_distinct"], ["user_id"], 7)
+    exact, about = "count_distinct_user_id_7d", "approx_count_distinct_user_id_7d"
+    days = rows.groupBy("event_type", F.to_date("ts").alias("day")).agg(F.max(exact).alias(exact), F.max(about).alias("__one"))
+    runs = [FE.daily_sketches(ev.filter(f"event_id % 3 {op} 1"), ["event_type"], "ts", ["user_id"]) for op in ("<=", ">=")]
+    merged = FE.sketched_distinct_counts(FE.merge_sketches(runs, ["event_type"]), ["event_type"], [7])
+    both = days.join(merged, ["event_type", "day"])
+    return both.select("event_type", F.col("day").cast("string").alias("day"), exact,
+                       _within("__one", exact, FE.SKETCH_ERROR).alias("estimate_holds"),
+                       _within(about, exact, FE.SKETCH_ERROR).alias("merged_estimate_holds"))
+
+
+@register("base_agg_approx_distinct", """
+SELECT event_type, count(DISTINCT user_id) AS count_distinct_user_id, TRUE AS estimate_holds FROM events GROUP BY event_type""")
+def q_base_agg_approx_distinct(spark, sf_dir):
+    ev = A.read_table(spark, sf_dir, "events", "event_type", "user_id")
+    out = FE.base_aggregations(ev, ["count_distinct", "approx_count_distinct"], ["user_id"], ["event_type"])
+    return out.select("event_type", "count_distinct_user_id",
+                      _within("approx_count_distinct_user_id", "count_distinct_user_id", 0.05).alias("estimate_holds"))
+
+
 _RAW_FUNCS = ["sum", "avg", "count", "max"]
 
 
@@ -635,29 +713,46 @@ def q_chunks_fixed(spark, sf_dir):
     return _chunk_summary(_fixed_chunks(spark, sf_dir))
 
 
-# What the cut promises, per document: all its text but white space comes back
-# from the chunks in order, none is too long, none shares too much, and each
-# ends at a separator where its text has one.
-@register("chunks_boundary", rf"""
-SELECT doc_id, md5(regexp_replace(text, '[\x09-\x0D\x20]+', '', 'g')) AS text_md5, TRUE AS sizes_hold,
-       TRUE AS overlaps_hold, TRUE AS ends_hold
-FROM documents WHERE regexp_matches(text, '[^\x09-\x0D\x20]')""")
+def _split_sql(spans: str, sep: str, size: int) -> str:
+    """Spans that are too long, split behind every ``sep``."""
+    cut = (f"list_filter(list_transform(range(1, len(string_split(s, {sep})) + 1), lambda i: CASE WHEN i < len(string_split(s, {sep})) "
+           f"THEN string_split(s, {sep})[i] || {sep} ELSE string_split(s, {sep})[i] END), lambda x: x <> '')")
+    return f"flatten(list_transform({spans}, lambda s: CASE WHEN length(s) <= {size} THEN [s] ELSE {cut} END))"
+
+
+def _boundary_ctes(size: int = DOC.CHUNK_SIZE, overlap: int = DOC.CHUNK_OVERLAP) -> str:
+    """The cut itself, for WITH RECURSIVE: spans between separators, their ends
+    ``p``, and chunk by chunk the spans ``f`` .. ``e - 1`` that fit; ``c`` has the chunks."""
+    pieces = f"list_transform(range(0, length(s), {size}), lambda o: substr(s, CAST(o + 1 AS BIGINT), {size}))"
+    blank = r"[^\x09-\x0D\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+    end = f"coalesce(list_filter(range(f + 1, len(p) + 1), lambda i: p[i] - p0 > {size})[1], len(p) + 1)"
+    room = f"least({overlap}, {size} - (p[e] - p[e - 1]))"
+    first = f"list_filter(range(f, e + 1), lambda j: p[e - 1] - CASE WHEN j = 1 THEN 0 ELSE p[j - 1] END <= {room})[1]"
+    return f"""
+s1 AS MATERIALIZED (SELECT doc_id, text, {_split_sql('[text]', 'chr(10) || chr(10)', size)} AS a FROM documents WHERE length(text) > 0),
+s2 AS MATERIALIZED (SELECT doc_id, text, {_split_sql('a', 'chr(10)', size)} AS a FROM s1),
+s3 AS MATERIALIZED (SELECT doc_id, text, {_split_sql('a', "' '", size)} AS a FROM s2),
+s4 AS MATERIALIZED (SELECT doc_id, text, flatten(list_transform(a, lambda s: {pieces})) AS a FROM s3),
+ends AS (SELECT doc_id, i, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS p
+         FROM (SELECT doc_id, unnest(range(1, len(a) + 1)) AS i, unnest(list_transform(a, lambda x: length(x))) AS n FROM s4)),
+lists AS MATERIALIZED (SELECT doc_id, list(CAST(p AS BIGINT) ORDER BY i) AS p FROM ends GROUP BY doc_id),
+cuts AS (
+  SELECT doc_id, 0 AS n, f, p0, {end} AS e FROM (SELECT doc_id, p, 1::BIGINT AS f, 0::BIGINT AS p0 FROM lists)
+  UNION ALL
+  SELECT doc_id, n, f, p0, {end} AS e FROM (
+    SELECT doc_id, p, n, f, CASE WHEN f = 1 THEN 0 ELSE p[f - 1] END AS p0 FROM (
+      SELECT doc_id, p, cuts.n + 1 AS n, {first} AS f FROM cuts JOIN lists USING (doc_id) WHERE e <= len(p)))),
+c AS MATERIALIZED (
+  SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS INTEGER) AS chunk_id, CAST(p0 AS INTEGER) AS start, chunk_text
+  FROM (SELECT doc_id, n, p0, substr(text, p0 + 1, p[e - 1] - p0) AS chunk_text FROM cuts JOIN lists USING (doc_id) JOIN s4 USING (doc_id))
+  WHERE regexp_matches(chunk_text, '{blank}'))"""
+
+
+@register("chunks_boundary", f"""
+WITH RECURSIVE {_boundary_ctes()}
+SELECT doc_id, chunk_id, start, CAST(length(chunk_text) AS INTEGER) AS chunk_len, md5(chunk_text) AS chunk_md5 FROM c""")
 def q_chunks_boundary(spark, sf_dir):
-    docs = A.read_table(spark, sf_dir, "documents", "doc_id", "text")
-    ch = DOC.chunk_documents_boundary(docs)
-    w = Window.partitionBy("doc_id").orderBy("chunk_id")
-    end = F.col("start") + F.length("chunk_text")
-    ch = ch.withColumns({"end": end, "before": F.coalesce(F.lag(end).over(w), F.lit(0)),
-                         "last": F.lead("chunk_id").over(w).isNull()})
-    fresh = F.substring("chunk_text", F.greatest(F.col("before") - F.col("start"), F.lit(0)) + 1, DOC.CHUNK_SIZE)
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_id", fresh.alias("t")))), lambda x: x["t"]), "")
-    cut_well = F.col("last") | F.col("chunk_text").rlike(r"[\n\x20]$") | ~F.substring(
-        "chunk_text", 2, DOC.CHUNK_SIZE).rlike(r"[\n\x20]")
-    return ch.groupBy("doc_id").agg(
-        F.md5(F.regexp_replace(body, r"[\x09-\x0D\x20]+", "")).alias("text_md5"),
-        (F.max(F.length("chunk_text")) <= DOC.CHUNK_SIZE).alias("sizes_hold"),
-        (F.max(F.col("before") - F.col("start")) <= DOC.CHUNK_OVERLAP).alias("overlaps_hold"),
-        F.min(cut_well).alias("ends_hold"))
+    return _chunk_summary(DOC.chunk_documents_boundary(A.read_table(spark, sf_dir, "documents", "doc_id", "text")))
 
 
 @register("chunk_vectors", f"""
@@ -691,24 +786,23 @@ def q_chunk_vectors_wide(spark, sf_dir):
                        F.md5(F.array_join(text, ",")).alias("vector_md5"))
 
 
-_ZERO_TIES = "CASE WHEN vec_id % 7 = 0 THEN list_transform(e, lambda x: 0.0::DOUBLE) ELSE e END"
+_COARSE = "list_transform(e, lambda x: round(x * 2))"
 
 
+# Coarse vectors score whole numbers: many ties, zero vectors among them.
 @register("knn_ties", f"""
 WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-z AS (SELECT vec_id, {_ZERO_TIES} AS e FROM v),
+z AS (SELECT vec_id, {_COARSE} AS e FROM v),
 p AS (
   SELECT a.vec_id AS query_id, b.vec_id AS neighbor_id,
-         round(list_sum(list_transform(list_zip(a.e, b.e), lambda x: x[1] * x[2])), 9) AS s
-  FROM z a JOIN z b ON a.vec_id <> b.vec_id WHERE a.vec_id % 7 = 0),
+         list_sum(list_transform(list_zip(a.e, b.e), lambda x: x[1] * x[2])) AS s
+  FROM z a JOIN z b ON a.vec_id <> b.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, neighbor_id) AS rank FROM p)
 SELECT query_id, neighbor_id, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3""")
 def q_knn_ties(spark, sf_dir):
-    # Zero vectors score 0 against everything: a tie of the whole corpus.
     emb = A.read_table(spark, sf_dir, "embeddings", "vec_id", "embedding")
-    zeros = emb.withColumn("embedding", F.when(F.col("vec_id") % 7 == 0, F.transform("embedding", lambda x: x * 0))
-                           .otherwise(F.col("embedding")))
-    res = VEC.similarity_search(zeros.filter("vec_id % 7 = 0").withColumnRenamed("vec_id", "query_id"), zeros, k=DOC.TOP_K,
+    coarse = emb.withColumn("embedding", F.transform(F.col("embedding").cast("array<double>"), lambda x: F.round(x * 2)))
+    res = VEC.similarity_search(coarse.withColumnRenamed("vec_id", "query_id"), coarse, k=DOC.TOP_K,
                                 query_vec="embedding", item_cols="vec_id", item_vec="embedding", metric="dot", exclude_self=True)
     return res.select("query_id", F.col("vec_id").alias("neighbor_id"), "rank")
 
@@ -731,14 +825,17 @@ def q_knn_nonfinite(spark, sf_dir):
     return res.select("query_id", F.col("vec_id").alias("neighbor_id"), "rank", F.round("score", 4).alias("distance"))
 
 
-@register("knn_top3", """
+_TOP3_SQL = """
 WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 p AS (
   SELECT a.vec_id AS query_id, b.vec_id AS neighbor_id,
          list_sum(list_transform(list_zip(a.e, b.e), lambda x: (x[1] - x[2]) * (x[1] - x[2]))) AS d
   FROM v a JOIN v b ON a.vec_id <> b.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, neighbor_id) AS rank FROM p)
-SELECT query_id, neighbor_id, CAST(rank AS INTEGER) AS rank, round(d, 4) AS distance FROM r WHERE rank <= 3""")
+SELECT query_id, neighbor_id, CAST(rank AS INTEGER) AS rank, round(d, 4) AS distance FROM r WHERE rank <= 3"""
+
+
+@register("knn_top3", _TOP3_SQL)
 def q_knn_top3(spark, sf_dir):
     emb = A.read_table(spark, sf_dir, "embeddings", "vec_id", "embedding")
     res = VEC.similarity_search(emb.withColumnRenamed("vec_id", "query_id"), emb, k=DOC.TOP_K,
@@ -748,8 +845,18 @@ def q_knn_top3(spark, sf_dir):
                       F.round("score", 4).alias("distance"))
 
 
-@register("search_context", f"""
-WITH c AS MATERIALIZED ({_chunks_sql()}),
+# The same rows from the pruned index (exact, cells left out by the triangle inequality).
+@register("knn_index_top3", _TOP3_SQL)
+def q_knn_index_top3(spark, sf_dir):
+    emb = A.read_table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    index = IDX.build_index(emb, "vec_id", "embedding")
+    res = IDX.index_search(index, emb.withColumnRenamed("vec_id", "query_id"), k=DOC.TOP_K, query_vec="embedding", exclude_self=True)
+    return res.select("query_id", F.col("vec_id").alias("neighbor_id"), "rank", F.round("score", 4).alias("distance"))
+
+
+def _search_sql(chunks: str) -> str:
+    return f"""
+WITH {chunks},
 {_vector_ctes('c', 'c', 'chunk_text', 'doc_id, chunk_id, chunk_text')},
 {_vector_ctes('q', 'benchmark', 'text', 'item_id')},
 p AS (SELECT qv.item_id, cv.doc_id, cv.chunk_id, cv.chunk_text, list_inner_product(qv.v, cv.v) AS s FROM qv, cv),
@@ -758,29 +865,66 @@ SELECT item_id AS query_id,
        md5(string_agg(chunk_text, chr(10) || chr(10) ORDER BY rank)) AS context_md5,
        string_agg(CAST(doc_id AS VARCHAR) || ':' || CAST(chunk_id AS VARCHAR), ',' ORDER BY rank) AS top_chunks,
        round(max(s), 6) AS best_score
-FROM r WHERE rank <= 3 GROUP BY item_id""")
-def q_search_context(spark, sf_dir):
+FROM r WHERE rank <= 3 GROUP BY item_id"""
+
+
+def _search_context(spark, sf_dir, chunks: str) -> DataFrame:
     docs = A.read_table(spark, sf_dir, "documents", "doc_id", "text")
     bench = A.read_table(spark, sf_dir, "benchmark", "item_id", "text")
-    res = search_documents(docs, bench.withColumnRenamed("item_id", "query_id"), k=DOC.TOP_K, dims=_DIMS)
+    res = search_documents(docs, bench.withColumnRenamed("item_id", "query_id"), k=DOC.TOP_K, dims=_DIMS, chunks=chunks)
     return res.select("query_id", F.md5("context").alias("context_md5"), "top_chunks",
                       F.round("best_score", 6).alias("best_score"))
 
 
-# The facts that hold whatever the cut: k chunks per query, each from its document.
-@register("search_context_boundary", """
-SELECT item_id AS query_id, 3::BIGINT AS n_chunks, TRUE AS texts_hold FROM benchmark""")
+@register("search_context", _search_sql(f"c AS MATERIALIZED ({_chunks_sql()})"))
+def q_search_context(spark, sf_dir):
+    return _search_context(spark, sf_dir, "fixed")
+
+
+@register("search_context_boundary", _search_sql(f"RECURSIVE {_boundary_ctes()}"))
 def q_search_context_boundary(spark, sf_dir):
-    docs = A.read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return _search_context(spark, sf_dir, "boundary")
+
+
+# ------------------------------------------------ weighted terms (D2 / D3) --
+def _tfidf_ctes() -> str:
+    words = r"list_filter(string_split_regex(lower(coalesce({}, '')), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '')"
+    return f"""
+c AS MATERIALIZED ({_chunks_sql()}),
+tf AS MATERIALIZED (SELECT doc_id, chunk_id, term, count(*) AS n FROM (
+  SELECT doc_id, chunk_id, unnest({words.format('chunk_text')}) AS term FROM c) GROUP BY ALL),
+df AS MATERIALIZED (SELECT term, ln((1 + (SELECT count(*) FROM c)) / (1.0::DOUBLE + count(*))) + 1 AS idf FROM tf GROUP BY term),
+w AS (SELECT doc_id, chunk_id, term, n * idf AS x FROM tf JOIN df USING (term)),
+v AS MATERIALIZED (SELECT doc_id, chunk_id, term, x / sqrt(sum(x * x) OVER (PARTITION BY doc_id, chunk_id)) AS x FROM w),
+qt AS (SELECT item_id, term, count(*) AS n FROM (
+  SELECT item_id, unnest({words.format('text')}) AS term FROM benchmark) GROUP BY ALL),
+qw AS (SELECT item_id, term, n * idf AS x FROM qt JOIN df USING (term)),
+qv AS MATERIALIZED (SELECT item_id, term, x / sqrt(sum(x * x) OVER (PARTITION BY item_id)) AS x FROM qw)"""
+
+
+@register("chunk_tfidf", f"""
+WITH {_tfidf_ctes()}
+SELECT doc_id, chunk_id, count(*) AS n_terms,
+       md5(string_agg(term || ':' || printf('%.6f', x), ',' ORDER BY term)) AS vector_md5
+FROM v GROUP BY doc_id, chunk_id""")
+def q_chunk_tfidf(spark, sf_dir):
+    vec = TERMS.tfidf(_fixed_chunks(spark, sf_dir), ["doc_id", "chunk_id"], "chunk_text").vectors
+    text = F.transform("vector", lambda x: F.concat(x["term"], F.lit(":"), F.call_function("format_number", x["weight"], F.lit("0.000000"))))
+    return vec.select("doc_id", "chunk_id", F.size("vector").cast("long").alias("n_terms"), F.md5(F.array_join(text, ",")).alias("vector_md5"))
+
+
+# Top chunks by weighted terms, through posting lists; the SQL scores everything.
+@register("search_postings", f"""
+WITH {_tfidf_ctes()},
+p AS (SELECT item_id, doc_id, chunk_id, round(sum(qv.x * v.x), 9) AS s FROM qv JOIN v USING (term) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY s DESC, doc_id, chunk_id) AS rank FROM p)
+SELECT item_id AS query_id, doc_id, chunk_id, CAST(rank AS INTEGER) AS rank, round(s, 6) AS score FROM r WHERE rank <= 3""")
+def q_search_postings(spark, sf_dir):
+    keys = ["doc_id", "chunk_id"]
+    index = TERMS.build_postings(_fixed_chunks(spark, sf_dir), keys, "chunk_text")
     bench = A.read_table(spark, sf_dir, "benchmark", "item_id", "text")
-    res = search_documents(docs, bench.withColumnRenamed("item_id", "query_id"), k=DOC.TOP_K, dims=_DIMS, chunks="boundary")
-    names = F.explode(F.split("top_chunks", ",")).alias("name")
-    best = res.select("query_id", "context", names).withColumn("doc_id", F.split("name", ":")[0].cast("long"))
-    cut = DOC.chunk_documents_boundary(docs).withColumn("name", F.concat_ws(":", F.col("doc_id").cast("string"),
-                                                                            F.col("chunk_id").cast("string")))
-    found = best.join(cut.select("name", "chunk_text"), "name")
-    return found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_chunks"),
-                                         F.min(F.col("context").contains(F.col("chunk_text"))).alias("texts_hold"))
+    found = TERMS.search_postings(index, bench.withColumnRenamed("item_id", "query_id"), k=DOC.TOP_K)
+    return found.select("query_id", *keys, "rank", F.round("score", 6).alias("score"))
 
 
 # ================================================== tool + derived inputs ==
