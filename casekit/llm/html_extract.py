@@ -12,7 +12,8 @@ mark their main part themselves (``article``, ``main``, ``role="main"``,
 ``itemprop="articleBody"``).  Every labelled page is used twice, once with its
 marks hidden, so that text shape and link share carry weight on pages without
 any.  Training reads a bounded sample, the ``train_pages`` pages with the
-smallest seeded hashes; extraction reads every page whole.
+smallest seeded hashes of those with ``train_chars`` characters at most;
+extraction reads every page whole.
 
 Defined results: a null or empty page gives an empty text.  Rows are judged
 one by one, so repeated rows and ties give one result each; an empty table
@@ -36,10 +37,13 @@ from casekit.llm.html_tree import TEXT, Tree, parse
 ship_with_tasks(__name__)
 
 TRAIN_PAGES = 400
+TRAIN_CHARS = 1 << 20  # of a training page: the sample is bounded in bytes too
 CHUNK_CHARS = 4 << 20
 
 # Words in class, id and role that name a part of a page.
 GOOD_CUES = re.compile(r"\b(article|articlebody|content|entry|main|post|story|body|text|prose)(s|-?body|-?content|-?text)?\b")
+# A rights line: the sign, a year behind the word, or the usual phrase.
+LEGAL = re.compile(r"(?i)©|\(c\)\s*(19|20)\d\d|^\W*copyright\b.{0,30}\b(19|20)\d\d\b|\ball rights reserved\b")
 BAD_CUES = re.compile(
     r"(\b|_)(ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu|breadcrumbs?|sidebar|side|aside|footer|foot|header|masthead|"
     r"cookie\w*|consent|notice|alert|popup|modal|overlay|comments?|replies|respond|discussion|form|login|signup|search|"
@@ -87,7 +91,7 @@ def features(tree: Tree) -> tuple[np.ndarray, np.ndarray]:
             end = text.rstrip("'\")]»”’")[-1:] in (".", "!", "?", "…", ":", ";", "。")
             x[i, _N_GROUPS + 5:_N_GROUPS + 10] = (
                 end, not end, len(text) < 25, min(text.count(","), 10) / 10,
-                ("©" in text or "all rights reserved" in text.lower()) and len(text) < 300)
+                len(text) < 300 and LEGAL.search(text) is not None)
     s = _N_GROUPS
     x[:, s] = 1
     x[:, s + 3] = np.log1p(chars) / 8
@@ -221,9 +225,11 @@ def extract(pages: list[str], weights: tuple[np.ndarray, np.ndarray]) -> list[tu
     return out
 
 
-def fit(pages: DataFrame, html_col: str = "html", train_pages: int = TRAIN_PAGES, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
-    """Train on the ``train_pages`` different pages with the smallest seeded hashes."""
-    draw = pages.filter(F.length(html_col) > 0).select(F.xxhash64(F.lit(seed), html_col).alias("h"), F.col(html_col).alias("p"))
+def fit(pages: DataFrame, html_col: str = "html", train_pages: int = TRAIN_PAGES, seed: int = 11,
+        train_chars: int = TRAIN_CHARS) -> tuple[np.ndarray, np.ndarray]:
+    """Train on the ``train_pages`` different pages with the smallest seeded
+    hashes, of those with ``train_chars`` characters at most."""
+    draw = pages.filter(F.length(html_col).between(1, train_chars)).select(F.xxhash64(F.lit(seed), html_col).alias("h"), F.col(html_col).alias("p"))
     # Hashes decide first; then only the drawn pages, one of each, travel.
     hashes = [r.h for r in draw.select("h").distinct().orderBy("h").limit(train_pages).collect()]
     if not hashes:

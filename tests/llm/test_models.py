@@ -72,6 +72,22 @@ def test_extraction(spark):
     assert got == {1: text, 2: text, 3: text, 4: "", 5: "", 6: "plain text only."}
 
 
+def test_extraction_of_rights_lines_and_clashing_columns(spark):
+    weights = html_extract.train(training_pages())
+    for line in ("Copyright 2024 Example", "(c) 2019 Example Inc.", "© Example", "Example 2024. All rights reserved."):
+        hidden = page("<p>This one sentence is the text of the page, and it says so.</p>", article=False).replace(
+            "<footer>&copy; someone</footer>", f"<div>{line}</div>")
+        assert html_extract.extract([hidden], weights)[0][0] == "This one sentence is the text of the page, and it says so."
+    law = "Lawyers met to discuss what the copyright of a photograph meant in 1998, and none of them agreed on it."
+    assert html_extract.extract([page(f"<p>{law}</p><p>More of the same text follows here, as it should.</p>")], weights)[0][0].startswith(law)
+    rows = spark.createDataFrame([(1, page("<p>Some text stands here, enough of it to count.</p>" * 4000), "mine", 7)],
+                                 "page_id long, html string, text string, n_blocks int")
+    fitted = html_extract.fit(rows, train_chars=1000)  # the page is too large to train on, and read whole
+    got = rows.select("*", html_extract.main_text("html", weights).alias("m")).first()
+    assert (got.text, got.n_blocks, got.m.n_blocks) == ("mine", 7, 4000)
+    assert all(np.array_equal(a, b) for a, b in zip(fitted, html_extract.prior_weights(), strict=True))
+
+
 def test_extraction_accuracy_on_held_out_pages():
     pages = training_pages(90)
     weights = html_extract.train(pages[:60])
@@ -322,6 +338,22 @@ def test_pipeline_stages(spark, docs_of):
                for r in seen["byte_bpe"])
 
 
+def test_pipeline_with_a_very_long_text(spark):
+    words = lambda k: " ".join(f"Sentence {i} of text {k} tells of thing{k * 7919 + i * 31}." for i in range(30000))
+    long = words(1)
+    mail = long + " Write to someone@example.org today."
+    rows = [(1, mail, "en", "a", len(mail)), (2, mail + " And more.", "en", "a", len(mail) + 10), (3, "Short but clean text. " + words(3)[:2000] + ".", "en", "b", 2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out, seen = docs, {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, out, "").cache()
+        seen[name] = {r.doc_id: r for r in out.collect()}
+    assert set(seen["quality"]) == {1, 2, 3} and len(long) > 1_000_000
+    assert set(seen["near_duplicates"]) == {1, 3}
+    assert seen["pii"][1].text == long + " Write to [EMAIL] today."
+    assert set(seen["byte_bpe"]) == set(seen["mixing"]) <= {1, 3} and seen["byte_bpe"]
+
+
 def test_pipeline_on_an_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in corpus_pipeline.STAGES:
