@@ -176,13 +176,19 @@ def format_conversations(rows: DataFrame, tokenizer_path: str | None = None) ->
 
 def read_back(formatted: DataFrame) -> DataFrame:
     """Digests per conversation, from :func:`format_conversations`'s output:
-    turns parsed from the text, loss text taken through the token mask."""
+    turns parsed from the text, loss text taken through the token mask.
+
+    The segments of a conversation must come in order, as they do there; a table
+    dealt otherwise raises and is to be sorted by conv_id and segment first."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in DIGEST_SCHEMA.split(", ")]
-        state = None
+        state, last = None, (None, -1)
         for batch in batches:
             out = []
             for row in batch.to_pylist():
+                if row["segment"] and (row["conv_id"], row["segment"] - 1) != last:
+                    raise ValueError(f"segment {row['segment']} of conversation {row['conv_id']} does not follow the one before it")
+                last = row["conv_id"], row["segment"]
                 if row["segment"] == 0:
                     if state:
                         out.append(state)

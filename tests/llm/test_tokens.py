@@ -83,6 +83,8 @@ def test_chat_nulls_and_segments(spark, monkeypatch):
     assert out.count() > 5
     r = chat_format.read_back(out).first()
     assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == digests([t[1:] for t in many])
+    with pytest.raises(Exception, match="does not follow"):
+        chat_format.read_back(out.sort(F.desc("segment")).coalesce(1)).collect()
 
 
 def test_escape_is_reversible():
