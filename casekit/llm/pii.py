@@ -257,15 +257,14 @@ def oracle_sql() -> str:
         "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
         "card": r"[0-9](?:[\x20-]?[0-9])+",
         "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-        "iban": r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}",
+        "iban": r"[A-Z]{2}[0-9]{2}",  # the heads
         "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
     }
     digits = "regexp_replace(m, '[^0-9]', '', 'g')"
     digit = f"(ascii(substr(reverse({digits}), i, 1)) - 48)"
     luhn = (f"list_sum(list_transform(range(1, len({digits}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN {digit} "
             f"WHEN {digit} > 4 THEN 2 * {digit} - 9 ELSE 2 * {digit} END))")
-    iban = "replace(m, ' ', '')"
-    turned = f"concat(substr({iban}, 5), substr({iban}, 1, 4))"
+    turned = "concat(substr(x, 5), substr(x, 1, 4))"
     as_number = (f"list_reduce(list_transform(string_split({turned}, ''), lambda c: CASE WHEN ascii(c) >= 65 THEN "
                  "100 + ascii(c) - 55 ELSE ascii(c) - 48 END), lambda a, v: CASE WHEN v >= 100 THEN "
                  "(a * 100 + v - 100) % 97 ELSE (a * 10 + v) % 97 END, 0)")
@@ -276,7 +275,7 @@ def oracle_sql() -> str:
               "len(list_filter(string_split(m, '.'), lambda p: try_cast(p AS HUGEINT) IS NULL)) = 0",
         "card": f"CASE WHEN len({digits}) BETWEEN 14 AND 19 THEN {luhn} % 10 = 0 ELSE false END",
         "phone": f"len({digits}) BETWEEN 10 AND 15",
-        "iban": f"{alone} AND len({iban}) BETWEEN 15 AND 34 AND {as_number} = 1",
+        "iban": "NOT regexp_matches(b, '[A-Za-z0-9]$')",
         "ssn": f"{alone} AND NOT regexp_matches(m, '^(000|666|9)|-00-|-0000$') AND "
                r"(regexp_matches(b, '(?i)\b(ssn|social|security)\b') OR regexp_matches(a, '(?i)\b(ssn|social|security)\b'))",
     }
@@ -291,10 +290,28 @@ def oracle_sql() -> str:
               FROM (SELECT doc_id, r, regexp_extract_all(t, '{pat}') AS ms, regexp_split_to_array(t, '{pat}') AS ps
                     FROM d)))
   WHERE {valid[kind]}""")
+    # Account numbers: every end before a space, or where the tail ends, that
+    # passes; the country's own length first, then the longest; none inside another.
+    lengths = ", ".join(f"('{x[:2]}', {x[2:]})" for x in IBAN_LENGTHS.split())
+    tail = r"^((?:\x20?[A-Z0-9]){11,30}[A-Za-z0-9]?)"
+    k = list(plain).index("iban")
+    ibans = f"""
+heads AS ({parts.pop(k)}),
+tails AS (SELECT doc_id, r, s, substr(t, s + 1, 4) AS head,
+                 string_split(regexp_extract(substr(t, s + 5, 80), '{tail}', 1), ' ') AS words FROM heads JOIN d USING (doc_id, r)),
+ends AS (SELECT doc_id, r, s, head || array_to_string(words[1:n], ' ') AS m
+         FROM (SELECT *, unnest(range(1, len(words) + 1)) AS n FROM tails)),
+passed AS (SELECT doc_id, r, s, m, row_number() OVER (PARTITION BY r, s ORDER BY len(x) = own.n DESC NULLS LAST, len(m) DESC) AS place
+           FROM (SELECT *, replace(m, ' ', '') AS x FROM ends) LEFT JOIN (VALUES {lengths}) own(c, n) ON own.c = left(m, 2)
+           WHERE regexp_matches(m, '^[A-Z0-9 ]+$') AND CASE WHEN len(x) BETWEEN 15 AND 34 THEN {as_number} = 1 ELSE false END),
+apart AS (SELECT doc_id, r, list_reduce(list([{{'s': s, 'e': s + len(m)}}] ORDER BY s), lambda a, x: CASE WHEN x[1].s >= a[len(a)].e
+          THEN list_concat(a, x) ELSE a END) AS spans FROM passed WHERE place = 1 GROUP BY doc_id, r),"""
+    parts.append(f"""
+  SELECT doc_id, r, x.s, {k} AS k, 'iban' AS kind, x.e FROM (SELECT doc_id, r, unnest(spans) AS x FROM apart)""")
     counts = ", ".join(f"(count(*) FILTER (kind = '{k}'))::BIGINT AS n_{k}" for k in plain)
     named = "string_agg(concat_ws(':', kind, s, e), ',' ORDER BY s, k)"
     return f"""
-WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t FROM documents),
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t FROM documents),{ibans}
 f AS ({' UNION ALL '.join(parts)})
 SELECT d.doc_id, {counts},
        sha256(coalesce({named} FILTER (k < 4), '')) AS base_sha256, coalesce({named}, '') AS spans

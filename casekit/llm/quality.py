@@ -191,8 +191,10 @@ DIGEST = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repe
 
 def oracle_sql(max_lost: float = 0.5) -> str:
     """DuckDB rendering of the registered query, written out independently."""
-    end = r"[.!?:;…。！？][''\x22)\]»’”]*([\x20\x09-\x0D]|$)"
+    closing = r"[.!?:;…。！？．：；｡।॥؛؟۔։።፧។៕၊။།༎᠃᠉][''\x22)\]»’”」』）]*"
+    end = closing + r"([\x20\x09-\x0D]|$)|[。！？｡]"
     gap = r"[\x20\x09-\x0D]+"
+    word = r"[^\x20\x09-\x0D]"
     lw = f"list_filter(regexp_split_to_array(l, '{gap}'), lambda x: x <> '')"
     # every word but those equal to the word before, against every word
     fresh = (f"list_sum(list_transform(list_zip({lw}, list_prepend('', {lw})), "
@@ -203,8 +205,16 @@ def oracle_sql(max_lost: float = 0.5) -> str:
 
     def dense(c: str) -> str:
         return f"({count(c)} >= 3 AND {count(c)} * 20 > len(l))"
-    bad = (f"((NOT regexp_matches(l, '{end}') AND len(l) < 200) OR {dense('[|»›•]')} OR {dense('[#*$%&<>~=_^]')} "
+    bad = (f"((NOT regexp_matches(l, '{end}') AND len(l) < 200 AND NOT runs AND NOT coalesce(before, false)) OR {dense('[|»›•]')} OR {dense('[#*$%&<>~=_^]')} "
            f"OR {dense('!')} OR (echo * 20 > len(w) AND 2 * {fresh} < len(regexp_replace(l, '{gap}', '', 'g'))) OR (len(l) <= 200 AND regexp_matches(l, '{phrases}')))")
+    # A line runs on into the next: it is long, ends open, and is no title; the
+    # next goes on in lower case, or starts with a word that did not fit.
+    titled = f"len(list_filter({lw}, lambda x: regexp_matches(x, '^\\p{{Lu}}')))"
+    lower = r"^[\x20\x09-\x0D]*[''\x22(\[«‘“]*\p{Ll}"
+    first = f"len(regexp_extract(nxt, '{word}+'))"
+    near = ", ".join(f"length(lag(l, {k}) OVER lines), length(lead(l, {k}) OVER lines)" for k in (1, 2))
+    runs = (f"coalesce(len(l) >= 30 AND regexp_matches(nxt, '{word}') AND NOT regexp_matches(l, '{closing}[\\x20\\x09-\\x0D]*$') AND "
+            f"((regexp_matches(nxt, '{lower}') AND {titled} < len({lw})) OR (len(l) + 1 + {first} > width AND 2 * {titled} < len({lw}))), false)")
     return rf"""
 WITH d AS (
   SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t,
@@ -213,6 +223,14 @@ WITH d AS (
   FROM documents),
 e AS (
   SELECT r, len(list_filter(list_zip(w, list_prepend('', w)), lambda p: p[1] = p[2])) AS echo FROM d),
+lines AS (
+  SELECT r, j, l, lead(l) OVER lines AS nxt, greatest(length(l), {near}) AS width
+  FROM (SELECT r, unnest(string_split(t, chr(10))) AS l, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS j FROM d)
+  WINDOW lines AS (PARTITION BY r ORDER BY j)),
+lost AS (
+  SELECT r, sum(len(regexp_replace(l, '{gap}', '', 'g'))) AS n
+  FROM (SELECT *, lag(runs) OVER (PARTITION BY r ORDER BY j) AS before FROM (SELECT *, {runs} AS runs FROM lines)) JOIN d USING (r) JOIN e USING (r)
+  WHERE regexp_matches(l, '{word}') AND {bad} GROUP BY r),
 win AS (
   SELECT r, i, array_to_string(list_slice(w, i, i + 7), ' ') AS k
   FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)),
@@ -226,9 +244,8 @@ base AS (
          (len(t) - len(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
          (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
          coalesce(cov.n, 0)::BIGINT AS n_repeat_words,
-         coalesce(list_sum(list_transform(list_filter(ls, lambda l: {bad}),
-           lambda l: len(regexp_replace(l, '{gap}', '', 'g')))), 0)::BIGINT AS lost_chars
-  FROM d JOIN e USING (r) LEFT JOIN cov USING (r))
+         coalesce(lost.n, 0)::BIGINT AS lost_chars
+  FROM d LEFT JOIN lost USING (r) LEFT JOIN cov USING (r))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed, lost_chars,
        NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND lost_chars <= {max_lost} * word_chars AS kept
