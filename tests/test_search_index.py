@@ -94,6 +94,60 @@ def test_all_zero_queries_tie_everywhere(spark):
     assert [(r[0], r[2]) for r in _rows(got)] == [(1, 0), (1, 2), (1, 3), (3, 0), (3, 1), (3, 2)]
 
 
+def _l2(x, q, k, exclude_self=True):
+    out = []
+    for i in q:
+        d = ((x - x[i]) ** 2).sum(axis=1)
+        order = [j for j in np.lexsort((np.arange(len(x)), d)) if j != i or not exclude_self][:k]
+        out += [(i, n, int(j), round(d[j], 9)) for n, j in enumerate(order, 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("move,scale", [(0, 1), (1e6, 1e-3), (0, 1e-15)])
+def test_distances_are_computed_for_near_pairs_only(spark, monkeypatch, move, scale):
+    monkeypatch.setattr(VEC, "_scores", lambda *args: 1 / 0)  # scores all pairs one by one
+    monkeypatch.setattr(VEC, "_BATCH_ROWS", 100)
+    monkeypatch.setattr(VEC, "_FIRST_ROWS", 30)
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(500, 12))
+    x[100:140], x[300:350] = x[3], x[100]                       # copies
+    x[400:450] = x[400] + rng.normal(size=(50, 12)) * 1e-5      # closer than single precision tells
+    x = x * scale + move
+    df = _frame(spark, x, [(900, None), (901, [float("nan")] * 12), (902, [float("inf")] + [0.0] * 11), (903, [None] * 12)])
+    q = df.withColumnRenamed("item_id", "query_id")
+    for blocks, shards in ((1, 1), (3, 2)):
+        got = VEC.similarity_search(q, df, k=3, exclude_self=True, query_blocks=blocks, corpus_shards=shards)
+        ids = {}
+        for r in got.collect():
+            ids.setdefault(r.query_id, {})[r["rank"]] = r.item_id
+        assert {(i, n, j) for i, n, j, _ in _l2(x, range(500), 3)} == {(i, n, j) for i, g in ids.items() for n, j in g.items()}
+
+
+def test_distances_beyond_single_precision(spark):
+    x = np.random.default_rng(22).normal(size=(60, 4)) * 1e30
+    df = _frame(spark, x)
+    got = VEC.similarity_search(df.withColumnRenamed("item_id", "query_id"), df, k=4, exclude_self=True)
+    assert [(r[0], r[1], r[2]) for r in _rows(got)] == [r[:3] for r in _l2(x, range(60), 4)]
+
+
+def test_copies_of_an_id_do_not_hide_others(spark):
+    rows = [(5, [1.0, 1.0])] * 9 + [(6, [1.0, 1.0]), (7, [1.0, 1.0]), (8, [2.0, 1.0])]
+    df = spark.createDataFrame(rows, "item_id long, vector array<double>")
+    q = df.filter("item_id = 5").distinct().withColumnRenamed("item_id", "query_id")
+    got = VEC.similarity_search(q, df, k=3, exclude_self=True)
+    assert [r[2] for r in _rows(got)] == [6, 7, 8]
+
+
+def test_vectors_that_are_not_finite_are_not_dealt_out(spark, monkeypatch):
+    dealt = []
+    monkeypatch.setattr(VEC, "search_cells", lambda q, c, *a, real=VEC.search_cells: dealt.append((q.count(), c.count())) or real(q, c, *a))
+    nan = float("nan")
+    df = _frame(spark, np.arange(8.0).reshape(4, 2), [(10 + i, [nan, 1.0]) for i in range(20)])
+    q = df.withColumnRenamed("item_id", "query_id")
+    assert len(VEC.similarity_search(q, df, k=2, query_blocks=1, corpus_shards=1).collect()) == 8
+    assert dealt == [(4, 4)]
+
+
 # --------------------------------------------------------- weighted terms --
 def _texts(seed, n=250):
     rng = random.Random(seed)
