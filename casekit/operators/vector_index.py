@@ -11,14 +11,18 @@ Search, exact for every query by the triangle inequality:
    takes to hold ``k`` candidates.  The k-th best distance found bounds the
    answer from above.
 2. A cell whose centroid is further away than the bound plus its radius
-   cannot hold a better row and is left out; all others are scored.
-3. The winners of both steps are ranked.
+   cannot hold a better row and is left out for the query; all others are scored.
+3. The best of what the second step finds are ranked.
 
 No candidate is capped: a query that nothing can be left out for is scored
-against the whole corpus.  (Query, cell) pairs are dealt as in
+against the whole corpus.  In the first step (query, cell) pairs are dealt as in
 :mod:`casekit.operators.vectors`: large cells in shards of about
 ``ROWS_PER_SHARD`` rows and a cell's queries in blocks, so that a cell or a
-region of queries holding a third of all rows is split.
+region of queries holding a third of all rows is split.  In the second,
+queries of neighbouring first cells make blocks of about ``QUERIES_PER_BLOCK``
+and a corpus row goes once to each block with a query that needs its cell; there
+the cell is scored for the queries that need it, or for all if most do.  So
+rows moved grow with blocks, not with pairs, also where nothing can be left out.
 
 What the driver holds is bounded: the sample, ``MAX_CELLS`` centroids (also
 broadcast) and one row per cell.
@@ -43,7 +47,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from casekit.functions.workers import ship_with_tasks
-from casekit.operators.vectors import QUERIES_PER_BLOCK, best_of_cells, check_search, numbers, search_cells
+from casekit.operators.vectors import _BLOCK_NUMBERS, QUERIES_PER_BLOCK, best_of_cells, check_search, finite, numbers, search_cells
 from casekit.session import checkpoint_dir
 
 ship_with_tasks(__name__)
@@ -70,7 +74,7 @@ def _vector(vec: str, metric: str) -> Column:
     """The vector as doubles, of length one for cosine; null where it has no place
     (not finite, or without direction)."""
     v = F.col(vec).cast("array<double>")
-    good = (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & (F.abs(x) < F.lit(float("inf"))))
+    good = (F.size(v) > 0) & finite(v)
     v = F.when(v.isNotNull() & good, v)
     if metric == "l2":
         return v
@@ -167,21 +171,75 @@ def _first_cells(index: VectorIndex, k: int):
     return work
 
 
-def _other_cells(index: VectorIndex):
-    """For each query: the cells that can hold something better than its bound."""
+def _opens(index: VectorIndex):
+    """(vectors, bounds) -> queries x cells: which can hold something better."""
     numbers_, radius = index.cells["__cell"].to_numpy(np.int64), index.cells["radius"].to_numpy(float)
     centroids = index.centroids[numbers_]
 
+    def opens(x: np.ndarray, bound: np.ndarray) -> np.ndarray:
+        return ~(_distances(x, centroids) - radius > bound[:, None] + _slack(x, centroids))
+    return opens, numbers_
+
+
+def _other_cells(index: VectorIndex):
+    """For each query: the cells that can hold something better than its bound."""
+    opens, numbers_ = _opens(index)
+
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for q in batches:
-            x = np.stack(q["__v"].to_numpy())
-            bound = q["__bound"].fillna(np.inf).to_numpy(float)[:, None]
-            open_ = ~(_distances(x, centroids) - radius > bound + _slack(x, centroids))
+            open_ = opens(np.stack(q["__v"].to_numpy()), q["__bound"].fillna(np.inf).to_numpy(float))
             q["__cells"] = [np.setdiff1d(numbers_[o], c).astype(np.int32) for o, c in zip(open_, q["__cells"], strict=True)]
             yield q[["__q", "__v", "__cells"]]
     return work
 
 
+def _block_cells(index: VectorIndex):
+    """The cells that queries of a block need: (__b, __cell), once per batch."""
+    opens, numbers_ = _opens(index)
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for q in batches:
+            for block, rows in q.groupby("__b"):
+                open_ = opens(np.stack(rows["__v"].to_numpy()), rows["__bound"].fillna(np.inf).to_numpy(float))
+                yield pd.DataFrame({"__b": block, "__cell": numbers_[open_.any(axis=0)].astype(np.int32)})
+    return work
+
+
+def _skips(index: VectorIndex):
+    """In a block: the queries that need a cell (bounds are squared there)."""
+    opens, numbers_ = _opens(index)
+
+    def skips(x: np.ndarray, bound: np.ndarray):
+        step = max(1, 4_000_000 // len(numbers_))
+        open_ = np.concatenate([opens(x[at:at + step], np.sqrt(bound[at:at + step])) for at in range(0, len(x), step)])
+        at = {int(c): i for i, c in enumerate(numbers_)}
+        return lambda cell: np.flatnonzero(open_[:, at[int(cell)]])
+    return skips
+
+
+def _score_others(index: VectorIndex, todo: DataFrame, schema: T.StructType, k: int, query_id: str, exclude_self: bool) -> DataFrame:
+    """Score ``todo`` (__q, __v, __first, __bound) against all cells that are needed;
+    rows of the first cells come again."""
+    spark = todo.sparkSession
+    asked = todo.groupBy("__first").agg(F.count(F.lit(1)).alias("n")).orderBy("__first").toPandas()  # one row per cell
+    asked["before"] = asked["n"].cumsum() - asked["n"]
+    per = max(1, min(QUERIES_PER_BLOCK, _BLOCK_NUMBERS // max(1, index.centroids.shape[1])))
+    blocks = max(1, -(-int(asked["n"].sum()) // per))
+    place = spark.createDataFrame(asked[["__first", "n", "before"]].astype({"__first": "int32", "n": "int64", "before": "int64"}),
+                                  "__first int, n long, before long")
+    total = max(1, int(asked["n"].sum()))
+    at = F.col("before") + F.pmod(F.xxhash64("__q", "__v"), F.col("n"))
+    todo = todo.join(F.broadcast(place), "__first").withColumn("__b", F.floor(at * blocks / total).cast("long")).drop("n", "before")
+    shards = max(1, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // blocks))
+    needed = todo.select("__b", "__v", "__bound").mapInPandas(_block_cells(index), "__b long, __cell int").distinct()
+    lists = needed.groupBy("__cell").agg(F.collect_list("__b").alias("__bs"))  # at most a row per cell
+    q = todo.select("__q", "__v", "__b", (F.col("__bound") * F.col("__bound") * (1 + 1e-12)).alias("__bound"), numbers(shards).alias("__s"))
+    c = index.rows.join(F.broadcast(lists), "__cell").select(
+        *index.items, "__v", "__cell", F.pmod(F.xxhash64(*index.items, "__v"), F.lit(shards)).cast("long").alias("__s"),
+        F.explode("__bs").alias("__b"))
+    return search_cells(q, c, blocks * shards, schema, k, "l2", index.items, query_id, exclude_self, _skips(index))
+
+
 def _score(index: VectorIndex, queries: DataFrame, schema: T.StructType, k: int, query_id: str, exclude_self: bool) -> DataFrame:
     """Score (query, cell) pairs: ``queries`` (__q, __v, __cells)."""
     spark = queries.sparkSession
@@ -207,36 +265,50 @@ def index_search(index: VectorIndex, queries: DataFrame, k: int = 3, query_id: s
                  exclude_self: bool = False) -> DataFrame:
     """Exact top ``k`` per query, the rows of :func:`similarity_search` on the
     indexed corpus: (query_id, *items, rank, score)."""
-    return _search(index, queries, k, query_id, query_vec, exclude_self)[0]
+    schema = check_search(queries, index.rows, query_id, index.items, index.metric)
+    q = _queries(index, queries, query_id, query_vec)
+    if q is None:
+        return queries.sparkSession.createDataFrame([], schema.add("rank", "integer")).select(query_id, *index.items, "rank", "score")
+    todo = _bounded(index, q, schema, k, query_id, exclude_self)
+    todo = todo.withColumn("__first", F.get("__cells", F.lit(0))).drop("__cells")
+    # Rows of the first cells are scored in both steps; the second alone finds the whole answer.
+    best = best_of_cells(_score_others(index, todo, schema, k, query_id, exclude_self), k, query_id, index.items, "l2")
+    if index.metric == "cosine":  # of unit vectors: distance^2 = 2 - 2 cos
+        best = best.withColumn("score", 1 - F.col("score") / 2)
+    return best
 
 
 def cells_scored(index: VectorIndex, queries: DataFrame, k: int = 3, query_id: str = "query_id", query_vec: str = "vector",
                  exclude_self: bool = False) -> DataFrame:
-    """(query_id, n_scored, n_cells): how many of the index's cells each query is scored against."""
-    _, first, other = _search(index, queries, k, query_id, query_vec, exclude_self)
-    both = first.unionByName(other).groupBy(F.col("__q").alias(query_id)).agg(F.sum(F.size("__cells")).alias("n_scored"))
-    return both.withColumn("n_cells", F.lit(len(index.cells)))
+    """(query_id, n_scored, n_cells): how many of the index's cells each query needs to be scored against."""
+    schema = check_search(queries, index.rows, query_id, index.items, index.metric)
+    q = _queries(index, queries, query_id, query_vec)
+    if q is None:
+        nothing = queries.select(F.col(query_id), _vector(query_vec, index.metric).alias("__v")).filter(F.col("__v").isNotNull())
+        return nothing.groupBy(query_id).agg(F.lit(0).cast("long").alias("n_scored")).withColumn("n_cells", F.lit(0))
+    todo = _bounded(index, q, schema, k, query_id, exclude_self)
+    other = todo.mapInPandas(_other_cells(index), todo.select("__q", "__v", "__cells").schema)
+    both = todo.select("__q", "__cells").unionByName(other.select("__q", "__cells"))
+    return both.groupBy(F.col("__q").alias(query_id)).agg(F.sum(F.size("__cells")).alias("n_scored")).withColumn("n_cells", F.lit(len(index.cells)))
 
 
-def _search(index: VectorIndex, queries: DataFrame, k: int, query_id: str, query_vec: str,
-            exclude_self: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
-    schema = check_search(queries, index.rows, query_id, index.items, index.metric)
-    key = schema[query_id].dataType.simpleString()
-    q = queries.select(F.col(query_id).alias("__q"), _vector(query_vec, index.metric).alias("__v")).filter(F.col("__v").isNotNull())
+def _queries(index: VectorIndex, queries: DataFrame, query_id: str, query_vec: str) -> DataFrame | None:
     if not len(index.cells):
-        empty = queries.sparkSession.createDataFrame([], schema.add("rank", "integer")).select(query_id, *index.items, "rank", "score")
-        nothing = q.select("__q", "__v", F.array().cast("array<int>").alias("__cells"))
-        return empty, nothing, nothing
-    dims = index.centroids.shape[1]
-    q = q.filter(F.size("__v") == dims)
+        return None
+    q = queries.select(F.col(query_id).alias("__q"), _vector(query_vec, index.metric).alias("__v"))
+    return q.filter(F.size("__v") == index.centroids.shape[1])
+
+
+def _bounded(index: VectorIndex, q: DataFrame, schema: T.StructType, k: int, query_id: str, exclude_self: bool) -> DataFrame:
+    """The queries with their nearest cells and the bound that the best of these
+    give: (__q, __v, __cells, __bound)."""
+    spark = q.sparkSession
+    key = schema[query_id].dataType.simpleString()
     first = q.mapInPandas(_first_cells(index, k + exclude_self), f"__q {key}, __v array<double>, __cells array<int>")
     near = _score(index, first, schema, k, query_id, exclude_self)
     bound = best_of_cells(near, k, query_id, index.items, "l2").filter(F.col("rank") == k).select(
         F.col(query_id).alias("__q2"), F.sqrt("score").alias("__bound"))
     todo = first.join(bound, F.col("__q").eqNullSafe(F.col("__q2")), "left").drop("__q2")
-    other = todo.mapInPandas(_other_cells(index), f"__q {key}, __v array<double>, __cells array<int>")
-    found = near.unionByName(_score(index, other, schema, k, query_id, exclude_self))
-    best = best_of_cells(found, k, query_id, index.items, "l2")
-    if index.metric == "cosine":  # of unit vectors: distance^2 = 2 - 2 cos
-        best = best.withColumn("score", 1 - F.col("score") / 2)
-    return best, first, other
+    path = f"{checkpoint_dir(spark).rstrip('/')}/vector-search-{uuid.uuid4().hex}"
+    todo.write.parquet(path)  # read three times: to deal queries out, for the cells needed, to score
+    return spark.read.schema(todo.schema).parquet(path)

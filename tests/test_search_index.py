@@ -148,6 +148,19 @@ def test_vectors_that_are_not_finite_are_not_dealt_out(spark, monkeypatch):
     assert dealt == [(4, 4)]
 
 
+def test_index_search_deals_rows_to_blocks_not_to_pairs(spark, monkeypatch):
+    dealt = []
+    monkeypatch.setattr(IDX, "search_cells", lambda q, c, *a, real=IDX.search_cells: dealt.append((q.count(), c.count())) or real(q, c, *a))
+    x = np.random.default_rng(23).normal(size=(400, 16))  # no structure: next to nothing can be left out
+    df = _frame(spark, x)
+    q = df.withColumnRenamed("item_id", "query_id")
+    index = IDX.build_index(df, n_cells=40)
+    got = IDX.index_search(index, q, k=3, exclude_self=True)
+    assert [r[:3] for r in _rows(got)] == [r[:3] for r in _l2(x, range(400), 3)]
+    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert dealt[-1][0] == 400 * shards and dealt[-1][1] <= 400  # one block
+
+
 # --------------------------------------------------------- weighted terms --
 def _texts(seed, n=250):
     rng = random.Random(seed)
