@@ -1,12 +1,15 @@
 """Weighted terms of texts, and exact search over posting lists.
 
-``tfidf`` takes two passes: term counts per text, then document frequencies over
-the whole corpus.  A text's vector is sparse: its terms in order with weights
+``tfidf``: texts are counted once and kept as term lists in groups of up to
+``GROUP_ROWS`` texts.  Document frequencies are summed over the groups' distinct
+terms, and each group gets the weights of its own terms back, so what is joined
+and sorted is one row per group and term, not one per text and term.  A text's
+vector is sparse: its terms in order with weights
 ``count * (ln((1 + texts) / (1 + texts with the term)) + 1)``, scaled to length one.
 
 ``build_postings`` turns the vectors around: one row per (term, text, weight),
 written by term, and per term its number of texts and its largest weight.
-``search_postings`` sums postings, exactly, without touching most of them:
+``search_postings`` sums postings, exactly, without touching what cannot win:
 
 1. The rarest terms of a query, as many as occur in ``k`` texts, give candidates;
    the k-th best of their full scores is a score the answer reaches.
@@ -14,6 +17,10 @@ written by term, and per term its number of texts and its largest weight.
    into the answer by themselves.  Only the postings of the other terms are
    read; the texts in them are scored in full from their vectors.
 
+A text is scored once for a block of queries, however many of them its terms are
+in: tasks hold a block's weights by term and the best ``k`` texts so far, and
+stream through the texts in the order of their keys.
+
 Hot terms are split: a term's postings lie in blocks of about ``BLOCK_ROWS`` by
 hash of the text, and joins are on (term, block).  Nothing is capped; a query
 of frequent words only reads what it has to.
@@ -26,15 +33,28 @@ texts have no terms.  Ties (scores equal to nine decimals) go by the key columns
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
+from decimal import ROUND_HALF_UP, Decimal
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from casekit.functions.workers import ship_with_tasks
 from casekit.operators.documents import terms
 from casekit.session import checkpoint_dir
 
+ship_with_tasks(__name__)
+
 BLOCK_ROWS = 1 << 16
+GROUP_ROWS = 1 << 14
+QUERIES_PER_BLOCK = 1 << 12
+_CELLS = 2_000_000  # bound on one temporary array
 _SLACK = 1e-9  # scores are sums of rounded numbers
 
 
@@ -59,14 +79,109 @@ def _unit(weighted: DataFrame, keys: list[str]) -> DataFrame:
         *keys, F.transform("v", lambda x: F.struct(x["term"].alias("term"), (x["weight"] / F.col("norm")).alias("weight"))).alias("vector"))
 
 
-def tfidf(rows: DataFrame, keys: list[str], text_col: str = "text") -> TermVectors:
-    """Sparse vectors of all texts; ``keys`` identify a text."""
-    counts = _counts(rows, keys, text_col)
-    n = rows.agg(F.count(F.lit(1)).alias("n")).scalar()
-    idf = counts.groupBy("term").agg(F.count(F.lit(1)).alias("texts")).withColumn(
-        "idf", F.log((1 + n) / (F.lit(1.0) + F.col("texts"))) + 1)
-    weighted = counts.join(idf, "term").select(*keys, "term", (F.col("n") * F.col("idf")).alias("weight"))
-    return TermVectors(_unit(weighted, keys), idf)
+def _kept(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's distinct terms in order with their numbers, and its group."""
+    group, room = TaskContext.get().partitionId() << 32, GROUP_ROWS
+    for batch in batches:
+        listed = batch.column("__t")
+        codes = listed.flatten().dictionary_encode()
+        order = pc.sort_indices(codes.dictionary).to_numpy()
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        row = np.repeat(np.arange(len(listed)), np.diff(listed.offsets.to_numpy()))
+        size = max(1, len(order))
+        both, n = np.unique(row * size + place[codes.indices.to_numpy()], return_counts=True)
+        found = codes.dictionary.take(pa.array(order)).take(pa.array(both % size))
+        offsets = pa.array(np.searchsorted(both, np.arange(len(listed) + 1) * size).astype(np.int32))
+        groups = []
+        for _ in range(len(listed)):
+            if not room:
+                group, room = group + 1, GROUP_ROWS
+            groups.append(group)
+            room -= 1
+        names = [c for c in batch.schema.names if c != "__t"]
+        yield pa.RecordBatch.from_arrays(
+            [*[batch.column(c) for c in names], pa.array(groups, pa.int64()), pa.ListArray.from_arrays(offsets, found),
+             pa.ListArray.from_arrays(offsets, pa.array(n.astype(np.int64)))], names=[*names, "__g", "__t", "__n"])
+
+
+def _group_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(group, term, texts): how many texts of the batch hold the term."""
+    for batch in batches:
+        groups = batch.column("__g").to_numpy()
+        starts = [0, *(np.flatnonzero(groups[1:] != groups[:-1]) + 1), len(groups)]
+        for lo, hi in zip(starts, starts[1:]):
+            if hi > lo:
+                codes = batch.column("__t").slice(lo, hi - lo).flatten().dictionary_encode()
+                n = np.bincount(codes.indices.to_numpy(), minlength=len(codes.dictionary))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), groups[lo])), codes.dictionary, pa.array(n.astype(np.int64))],
+                                                 names=["__g", "term", "texts"])
+
+
+def _vectors(keys: list[str], schema: pa.Schema):
+    """A group's weights of terms come first, then its texts."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, known, idf = None, [], []
+        for batch in batches:
+            groups, text = batch.column("__g").to_numpy(), batch.column("__text").to_numpy(zero_copy_only=False)
+            starts = [0, *(np.flatnonzero((groups[1:] != groups[:-1]) | (text[1:] != text[:-1])) + 1), len(groups)]
+            for lo, hi in zip(starts, starts[1:]):
+                if hi == lo:
+                    continue
+                part = batch.slice(lo, hi - lo)
+                if groups[lo] != at:
+                    at, known, idf = groups[lo], [], []
+                if not text[lo]:
+                    known.append(part.column("term"))
+                    idf.append(part.column("idf").to_numpy())
+                    continue
+                if len(known) > 1:
+                    known, idf = [pa.concat_arrays(known)], [np.concatenate(idf)]
+                listed = part.column("__t")
+                found, lengths = listed.flatten(), np.diff(listed.offsets.to_numpy())
+                place = pc.index_in(found, value_set=known[0]).to_numpy()
+                weight = part.column("__n").flatten().to_numpy() * idf[0][place]
+                row = np.repeat(np.arange(len(listed)), lengths)
+                weight = weight / np.sqrt(np.bincount(row, weight * weight, minlength=len(listed)))[row]
+                vector = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)),
+                                                  pa.StructArray.from_arrays([found, pa.array(weight)], names=["term", "weight"]))
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keys], vector.cast(schema.field("vector").type)], schema=schema)
+    return run
+
+
+def tfidf(rows: DataFrame, keys: list[str], text_col: str = "text", path: str | None = None) -> TermVectors:
+    """Sparse vectors of all texts; ``keys`` identify a text (rows of the same
+    keys are one).  The counts go to ``path`` (default: a new folder under
+    ``spark.checkpoint.dir``)."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    spark = rows.sparkSession
+    path = path or f"{checkpoint_dir(spark).rstrip('/')}/tfidf-{uuid.uuid4().hex}"
+    texts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"), F.collect_list(text_col).alias("__t")).withColumn(
+        "__t", F.flatten(F.transform("__t", terms)))
+    own = [rows.schema[c] for c in keys]
+    strings, field = T.ArrayType(T.StringType()), T.StructField
+    counted = T.StructType([*own, field("__rows", T.LongType()), field("__g", T.LongType()), field("__t", strings), field("__n", T.ArrayType(T.LongType()))])
+    counts = _kept(texts.mapInArrow(_term_counts, counted), path)
+    n = counts.agg(F.coalesce(F.sum("__rows"), F.lit(0))).first()[0]
+    counts = counts.filter(F.size("__t") > 0)
+    groups = counts.select("__g", "__t").mapInArrow(_group_terms, "__g long, term string, texts long").groupBy("__g", "term").agg(
+        F.sum("texts").alias("texts"))
+    idf = groups.groupBy("term").agg(F.sum("texts").alias("texts")).withColumn(
+        "idf", F.log((1 + F.lit(n)) / (F.lit(1.0) + F.col("texts"))) + 1)
+    nothing = lambda f: F.lit(None).cast(f.dataType).alias(f.name)
+    lists = [f for f in counted if f.name in ("__t", "__n")]
+    weights = groups.select("__g", "term").join(idf, "term").select(
+        "__g", F.lit(False).alias("__text"), "term", "idf", *[nothing(f) for f in [*own, *lists]])
+    both = weights.unionByName(counts.select("__g", F.lit(True).alias("__text"), F.lit(None).cast("string").alias("term"),
+                                             F.lit(None).cast("double").alias("idf"), *keys, "__t", "__n"))
+    out = T.StructType([*own, field("vector", T.ArrayType(T.StructType([field("term", T.StringType()), field("weight", T.DoubleType())])))])
+    vectors = both.repartition("__g").sortWithinPartitions("__g", "__text").mapInArrow(_vectors(keys, to_arrow_schema(out)), out)
+    return TermVectors(vectors, idf)
 
 
 @dataclass
@@ -91,10 +206,9 @@ def build_postings(rows: DataFrame, keys: list[str], text_col: str = "text", pat
     path = path or f"{checkpoint_dir(spark).rstrip('/')}/postings-{uuid.uuid4().hex}"
 
     def kept(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{path}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{path}/{name}")
+        return _kept(df, f"{path}/{name}")
 
-    both = tfidf(rows, keys, text_col)
+    both = tfidf(rows, keys, text_col, f"{path}/counts")
     vectors = kept(both.vectors, "vectors")
     each = vectors.select(*keys, F.inline("vector"))
     top = each.groupBy("term").agg(F.count(F.lit(1)).alias("texts"), F.max("weight").alias("top"))
@@ -107,16 +221,130 @@ def build_postings(rows: DataFrame, keys: list[str], text_col: str = "text", pat
 
 
 def _texts_of(index: Postings, wanted: DataFrame) -> DataFrame:
-    """Distinct (query_id, keys) of the postings of (query_id, term, blocks) rows."""
-    asked = wanted.select("query_id", "term", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    return asked.join(index.postings.drop("weight"), ["term", "block"]).select("query_id", *index.keys).distinct()
-
-
-def _scored(index: Postings, texts: DataFrame, queries: DataFrame) -> DataFrame:
-    """Full scores of (query_id, keys) rows: the query's weights looked up term by term."""
-    both = texts.join(index.vectors, index.keys).join(queries, "query_id")
-    found = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x["weight"] * F.coalesce(F.try_element_at("weights", x["term"]), F.lit(0.0)))
-    return both.select("query_id", *index.keys, found.alias("score"))
+    """Distinct keys of the postings of (term, blocks) rows."""
+    asked = wanted.select("term", "blocks").distinct().select("term", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    return index.postings.drop("weight").join(asked, ["term", "block"]).select(*index.keys).distinct()
+
+
+def _rounded(scores: np.ndarray) -> np.ndarray:
+    """To nine decimals, as Spark rounds."""
+    values, at = np.unique(scores, return_inverse=True)
+    nine = Decimal("1e-9")
+    return np.array([float(Decimal(repr(float(v))).quantize(nine, ROUND_HALF_UP)) for v in values], float)[at.ravel()]
+
+
+class _Block:
+    """A block of queries, by term, and their best texts so far.  Texts come in
+    the order of their keys, so of equal scores the earlier is the better one."""
+
+    def __init__(self, k: int, keys: list[str], queries: pa.Table):
+        self.k, self.keys = k, keys
+        queries = queries.combine_chunks()
+        self.ids = queries["query_id"]
+        vectors = _array(queries["vector"])
+        entries = vectors.flatten()
+        codes = entries.field("term").dictionary_encode()
+        order = np.argsort(codes.indices.to_numpy(), kind="stable")
+        self.terms = codes.dictionary
+        self.query = np.repeat(np.arange(len(vectors)), np.diff(vectors.offsets.to_numpy()))[order]
+        self.weight = entries.field("weight").to_numpy()[order]
+        self.start = np.searchsorted(codes.indices.to_numpy()[order], np.arange(len(self.terms) + 1))
+        self.q, self.s, self.r = np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
+        self.won: pa.Table | None = None
+        self.bound = np.full(len(vectors), -np.inf)
+
+    def score(self, rows: pa.RecordBatch) -> None:
+        step = max(1, _CELLS // len(self.bound))
+        for at in range(0, len(rows), step):
+            self._score(rows.slice(at, step))
+
+    def _score(self, rows: pa.RecordBatch) -> None:
+        vectors = rows.column("vector")
+        entries, n = vectors.flatten(), len(self.bound)
+        place = pc.index_in(entries.field("term"), value_set=self.terms)
+        row = np.repeat(np.arange(len(vectors)), np.diff(vectors.offsets.to_numpy()))
+        known = np.flatnonzero(place.is_valid().to_numpy(zero_copy_only=False))
+        if not len(known):
+            return
+        place, row, weight = place.take(pa.array(known)).to_numpy(), row[known], entries.field("weight").to_numpy()[known]
+        lo, count = self.start[place], self.start[place + 1] - self.start[place]
+        S = np.zeros(len(vectors) * n)
+        ends = np.cumsum(count)
+        at = 0
+        while at < len(count):  # pairs of a stretch of terms, in their order
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _CELLS, "right")))
+            c = count[at:to]
+            which = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c) + np.repeat(lo[at:to], c)
+            np.add.at(S, np.repeat(row[at:to] * n, c) + self.query[which], np.repeat(weight[at:to], c) * self.weight[which])
+            at = to
+        S = S.reshape(len(vectors), n)
+        i, q = np.nonzero((S > 0) & (S > self.bound + 4e-10))  # what rounds to the bound comes too late
+        if not len(i):
+            return
+        s = S[i, q]
+        r = _rounded(s)
+        texts = pa.Table.from_batches([rows.select(self.keys)]).take(pa.array(i))
+        when = np.concatenate((np.zeros(len(self.q), np.int64), i + 1))
+        q, s, r = (np.concatenate(x) for x in ((self.q, q), (self.s, s), (self.r, r)))
+        order = np.lexsort((when, -r, q))
+        first = np.flatnonzero(np.concatenate(([True], q[order][1:] != q[order][:-1])))
+        rank = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+        keep, last = order[rank < self.k], order[rank == self.k - 1]
+        self.won = (pa.concat_tables([self.won, texts]) if self.won is not None else texts).take(pa.array(keep)).combine_chunks()
+        self.q, self.s, self.r = q[keep], s[keep], r[keep]
+        self.bound[q[last]] = r[last]
+
+    def result(self, schema: pa.Schema) -> pa.RecordBatch | None:
+        if self.won is None:
+            return None
+        columns = [self.ids.take(pa.array(self.q)), *[self.won[c] for c in self.keys], pa.array(self.s)]
+        return pa.RecordBatch.from_arrays([_array(c).cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def _array(column) -> pa.Array:
+    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+
+
+def _score_blocks(k: int, keys: list[str], schema: pa.Schema):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, queries, block = None, [], None
+        for batch in batches:
+            b, s, text = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("__b", "__s", "__text"))
+            starts = [0, *(np.flatnonzero((b[1:] != b[:-1]) | (s[1:] != s[:-1]) | (text[1:] != text[:-1])) + 1), len(b)]
+            for lo, hi in zip(starts, starts[1:]):
+                if hi == lo:
+                    continue
+                if (b[lo], s[lo]) != at:
+                    if block is not None and (found := block.result(schema)) is not None:
+                        yield found
+                    at, queries, block = (b[lo], s[lo]), [], None
+                part = batch.slice(lo, hi - lo)
+                if not text[lo]:
+                    queries.append(part)
+                elif queries:
+                    block = block or _Block(k, keys, pa.Table.from_batches(queries))
+                    block.score(part)
+        if block is not None and (found := block.result(schema)) is not None:
+            yield found
+    return run
+
+
+def _scored(index: Postings, texts: DataFrame, weights: DataFrame, blocks: int, k: int) -> DataFrame:
+    """The best texts of each task's share, with full scores: (query_id, keys, score)."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    spark = weights.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = max(1, -(-partitions // blocks))
+    number = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = [index.vectors.schema[c] for c in index.keys]
+    out = T.StructType([weights.schema["query_id"], *own, T.StructField("score", T.DoubleType())])
+    q = weights.select("query_id", "vector", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("__b"), number(shards).alias("__s"),
+                       F.lit(False).alias("__text"), *[F.lit(None).cast(f.dataType).alias(f.name) for f in own])
+    t = index.vectors.join(texts, index.keys, "left_semi").select(
+        F.lit(None).cast(out["query_id"].dataType).alias("query_id"), "vector", number(blocks).alias("__b"),
+        F.pmod(F.xxhash64(*index.keys), F.lit(shards)).cast("int").alias("__s"), F.lit(True).alias("__text"), *index.keys)
+    both = q.unionByName(t).repartition(blocks * shards, "__b", "__s").sortWithinPartitions("__b", "__s", "__text", *index.keys)
+    return both.mapInArrow(_score_blocks(k, index.keys, to_arrow_schema(out)), out)
 
 
 def _best(scored: DataFrame, keys: list[str], k: int) -> DataFrame:
@@ -127,19 +355,22 @@ def _best(scored: DataFrame, keys: list[str], k: int) -> DataFrame:
 def search_postings(index: Postings, queries: DataFrame, k: int = 3, query_id: str = "query_id", text_col: str = "text") -> DataFrame:
     """Exact top ``k`` texts per query by the product of term vectors:
     (query_id, keys, rank, score)."""
-    q = _counts(queries.select(F.col(query_id).alias("query_id"), F.col(text_col).alias("text")), ["query_id"], "text")
+    spark = queries.sparkSession
+    q = _counts(queries.select(F.col(query_id).alias("query_id"), F.col(text_col).alias("text")).filter(F.col("query_id").isNotNull()),
+                ["query_id"], "text")
     known = q.join(index.stats, "term")
-    weights = _unit(known.select("query_id", "term", (F.col("n") * F.col("idf")).alias("weight")), ["query_id"])
+    path = f"{checkpoint_dir(spark).rstrip('/')}/queries-{uuid.uuid4().hex}"
+    weights = _kept(_unit(known.select("query_id", "term", (F.col("n") * F.col("idf")).alias("weight")), ["query_id"]), path)
+    blocks = max(1, -(-weights.count() // QUERIES_PER_BLOCK))
     by_term = weights.select("query_id", F.inline("vector")).join(index.stats, "term").select(
         "query_id", "term", "texts", "blocks", (F.col("weight") * F.col("top")).alias("bound"))
-    maps = weights.select("query_id", F.map_from_entries("vector").alias("weights"))
 
     rarest = Window.partitionBy("query_id").orderBy("texts", "term").rowsBetween(Window.unboundedPreceding, -1)
     seeds = by_term.withColumn("before", F.coalesce(F.sum("texts").over(rarest), F.lit(0))).filter(F.col("before") < k)
-    reached = _best(_scored(index, _texts_of(index, seeds), maps), index.keys, k).filter(F.col("rank") == k).select(
+    reached = _best(_scored(index, _texts_of(index, seeds), weights, blocks, k), index.keys, k).filter(F.col("rank") == k).select(
         "query_id", F.col("score").alias("reached"))
     smallest = Window.partitionBy("query_id").orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, 0)
     needed = (by_term.withColumn("together", F.sum("bound").over(smallest)).join(reached, "query_id", "left")
               .filter(F.col("reached").isNull() | (F.col("together") >= F.col("reached") - _SLACK)))
-    best = _best(_scored(index, _texts_of(index, needed), maps), index.keys, k)
+    best = _best(_scored(index, _texts_of(index, needed), weights, blocks, k), index.keys, k)
     return best.select(F.col("query_id").alias(query_id), *index.keys, "rank", "score")

@@ -231,6 +231,51 @@ def test_postings_of_empty_tables(spark):
     assert TERMS.search_postings(full, q.limit(0)).collect() == []
 
 
+def test_texts_of_many_queries_are_scored_once(spark, monkeypatch):
+    """A text goes to tasks once per block of queries, not once per query that shares a word."""
+    dealt = []
+    real = TERMS._scored
+    monkeypatch.setattr(TERMS, "_scored", lambda index, texts, *a: dealt.append(texts.count()) or real(index, texts, *a))
+    monkeypatch.setattr(TERMS, "_CELLS", 50)
+    monkeypatch.setattr(TERMS, "QUERIES_PER_BLOCK", 25)
+    texts = [(i, f"all of them say w{i % 7} w{i % 7} and {'same words here' if i % 3 else i}") for i in range(90)] + [(None, "w1 w1 w1")]
+    index = TERMS.build_postings(spark.createDataFrame(texts, "id long, text string"), ["id"])
+    q = spark.createDataFrame([(i, f"all say w{i % 7} same") for i in range(60)], "query_id long, text string")
+    got = {}
+    for r in TERMS.search_postings(index, q, k=3).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = r.id
+    counts, idf = _brute_vectors(texts)
+    vectors = {i: _unit(c, idf) for i, c in counts.items() if i is not None}
+    for i in range(60):
+        v = _unit(_brute_vectors([(0, f"all say w{i % 7} same")])[0][0], idf)
+        score = {j: round(sum(x * v.get(w, 0) for w, x in u.items()), 9) for j, u in vectors.items()}
+        assert got[i] == dict(enumerate(sorted(score, key=lambda j: (-score[j], j))[:3], 1))
+    assert max(dealt) <= len(texts)
+
+
+def test_tfidf_joins_terms_of_groups_not_of_texts(spark, monkeypatch, scratch):
+    monkeypatch.setattr(TERMS, "GROUP_ROWS", 40)
+    rows = _texts(5)
+    counts, idf = _brute_vectors(rows)
+    out = TERMS.tfidf(spark.createDataFrame(rows, "id long, text string"), ["id"], path=f"{scratch}/counts")
+    got = {r.id: [(x.term, x.weight) for x in r.vector] for r in out.vectors.collect()}
+    want = {i: sorted(_unit(c, idf).items()) for i, c in counts.items() if c}
+    assert got.keys() == want.keys()
+    for i in want:
+        assert [t for t, _ in got[i]] == [t for t, _ in want[i]] and np.allclose([w for _, w in got[i]], [w for _, w in want[i]], rtol=1e-12)
+    kept = spark.read.parquet(f"{scratch}/counts")
+    assert kept.count() == len(rows) and kept.groupBy("__g").count().agg(F.max("count")).first()[0] <= 40
+
+
+def test_tfidf_rows_of_one_key_are_one_text(spark):
+    rows = [(1, "a b"), (1, "b c"), (2, "c"), (None, "a"), (None, "d"), (3, None)]
+    out = TERMS.tfidf(spark.createDataFrame(rows, "id long, text string"), ["id"])
+    idf = {w: math.log(7 / (1 + n)) + 1 for w, n in {"a": 2, "b": 1, "c": 2, "d": 1}.items()}
+    want = {1: {"a": 1, "b": 2, "c": 1}, 2: {"c": 1}, None: {"a": 1, "d": 1}}
+    got = {r.id: {x.term: round(x.weight, 12) for x in r.vector} for r in out.vectors.collect()}
+    assert got == {i: {w: round(x, 12) for w, x in _unit(c, idf).items()} for i, c in want.items()}
+
+
 # --------------------------------------------------------------- the cut --
 def test_boundary_oracle_computes_the_cut(spark):
     """The SQL twin cuts like the library, and differs when a rule is changed."""
