@@ -39,3 +39,15 @@ def test_first_seen_and_product(spark):
     assert got == {1: 0, 2: 3, 3: 0}
     p = spark.createDataFrame([(23, 17), (2 ** 62, 4)], "a long, b long").select(multiply("a", "b").alias("p"))
     assert [r.p for r in p.collect()] == [391, None]
+
+
+def test_trailing_counts_shuffle_minutes_once_for_all_windows(spark):
+    """More windows do not mean more joins: sums and end minutes come from one pass."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = spark.createDataFrame([(i, i % 3, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=37 * i)) for i in range(200)], "id long, k long, ts timestamp")
+        plan = lambda windows: DER.trailing_counts(df, "k", "ts", windows)._jdf.queryExecution().executedPlan().toString()
+        shuffles = [plan(w).count("Exchange hashpartitioning") for w in ([60], [60, 600, 3600, 86400])]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert shuffles[0] == shuffles[1] <= 4
