@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import textwrap
+import tracemalloc
 import types
 import zlib
 
@@ -134,6 +135,57 @@ def test_attention_is_a_distribution_and_causal():
     assert np.allclose(attention.log_probs(p, later, targets[:1])[0, 5], attention.log_probs(p, ids[:1], targets[:1])[0, 5])
 
 
+def test_scoring_memory_does_not_follow_the_number_of_windows():
+    rng = np.random.default_rng(4)
+    p = attention.initial(rng.integers(1, 99, attention.SLOTS))
+    ids, targets = attention.windows(rng.integers(0, attention.SLOTS, 4096 * attention.STRIDE))
+    targets[::7, 3] = attention.PAD
+    attention.log_probs(p, ids[:9], targets[:9])
+    tracemalloc.start()
+    got = attention.log_probs(p, ids, targets)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < got.nbytes + (8 << 20)
+    one = np.concatenate([attention.log_probs(p, ids[i:i + 1], targets[i:i + 1]) for i in range(200)])
+    assert np.allclose(got[:200], one, atol=1e-5) and not got[::7, 3].any()
+
+
+def test_large_logits_stay_finite():
+    rng = np.random.default_rng(6)
+    p = attention.initial(rng.integers(1, 99, attention.SLOTS))
+    p = {k: v * np.float32(40) if k in ("E", "Wq", "Wk", "C", "O") else v for k, v in p.items()}
+    ids, targets = attention.windows(rng.integers(0, attention.SLOTS, 300))
+    mean, g = attention.gradients(p, ids, targets)
+    assert np.isfinite(mean) and all(np.isfinite(x).all() for x in g.values())
+    assert np.isfinite(attention.log_probs(p, ids, targets)).all()
+
+
+def test_train_pass_is_adam_over_gradients():
+    rng = np.random.default_rng(5)
+    start = {k: v.astype(np.float64) for k, v in attention.initial(rng.integers(1, 99, attention.SLOTS)).items()}
+    ids, targets = (x.astype(np.int16) for x in attention.windows(rng.integers(0, attention.SLOTS, 1700)))
+    p, m, s = dict(start), dict.fromkeys(start, 0.0), dict.fromkeys(start, 0.0)
+    for step, at in enumerate(range(0, len(ids), 8), 1):
+        _, g = attention.gradients(p, ids[at:at + 8], targets[at:at + 8])
+        for k in p:
+            m[k], s[k] = 0.9 * m[k] + 0.1 * g[k], 0.99 * s[k] + 0.01 * g[k] ** 2
+            p[k] = p[k] + 0.02 * min(1.0, step / 10) * m[k] / (1 - 0.9 ** step) / (np.sqrt(s[k] / (1 - 0.99 ** step)) + 1e-6)
+    got = attention.train_pass(start, ids, targets, 0.02, 8)
+    assert all(got[k].shape == p[k].shape and np.allclose(got[k], p[k], atol=1e-5) for k in p)
+
+
+def test_chunk_spells_words_whatever_ends_them():
+    path = lm_score.public_tokenizers.path(lm_score.RANK_FILE)
+    with open(path, "rb") as f:
+        enc = lm_score.encoder(f.read(), lm_score.public_tokenizers.PATTERN)
+    texts = ["", "one\ttwo\none\x0bthree's", " \r\n", "\xa0word \u00e9\u00e9  last", "one"]
+    chunk = lm_score.Chunk([t.encode() for t in texts], enc)
+    words = [w for t in texts for w in t.encode().split()]
+    assert chunk.counts.tolist() == [len(t.encode().split()) for t in texts]
+    assert chunk.subwords(chunk.word).tolist() == [i for w in words for i in enc.encode_ordinary(" " + w.decode())]
+    assert len(lm_score.Chunk([b"", b" "], enc).hashes) == 0
+
+
 def brute_base(rows):
     docs = [(i, (t or "").encode().lower().split() + [None]) for i, t in rows]
     out = {i: zlib.crc32(("null" if i is None else str(i)).encode()) % 5 == 1 for i, _ in docs}
