@@ -2,6 +2,7 @@
 
 import math
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -267,6 +268,57 @@ def test_tfidf_joins_terms_of_groups_not_of_texts(spark, monkeypatch, scratch):
     assert kept.count() == len(rows) and kept.groupBy("__g").count().agg(F.max("count")).first()[0] <= 40
 
 
+def test_postings_are_never_one_row_per_text_and_term(spark, scratch, monkeypatch):
+    """What is written, and what the tables take on disk, follows the groups' terms and packed lists."""
+    monkeypatch.setattr(TERMS, "GROUP_ROWS", 700)
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(9)) for _ in range(300)]
+    rows = [(i, " ".join(rng.choices(words, k=90))) for i in range(2000)]
+    pairs = sum(len(set(t.split())) for _, t in rows)
+    index = TERMS.build_postings(spark.createDataFrame(rows, "id long, text string").repartition(1), ["id"], path=f"{scratch}/index")
+    tables = {p.name: spark.read.parquet(str(p)) for p in Path(f"{scratch}/index").iterdir()}
+    assert max(t.count() for t in tables.values()) <= len(rows) + 3 * len(words) < pairs / 20
+    taken = sum(f.stat().st_size for f in Path(f"{scratch}/index").rglob("*.parquet"))
+    assert taken < 2.5 * sum(len(t) for _, t in rows)
+    assert index.postings.agg(F.sum(F.size("__places"))).first()[0] == pairs == index.vectors.agg(F.sum(F.size("vector"))).first()[0]
+    assert tables["counts"].agg(F.max("__i")).first()[0] == 699
+
+
+@pytest.mark.parametrize("words, per_block", [(1 << 22, 4096), (50, 1)])
+def test_postings_ties_over_groups_go_by_keys(spark, monkeypatch, words, per_block):
+    """Copies in many groups, text keys with nulls, repeated keys, and blocks without a query."""
+    monkeypatch.setattr(TERMS, "GROUP_ROWS", 7)
+    monkeypatch.setattr(TERMS, "GROUP_WORDS", words)
+    monkeypatch.setattr(TERMS, "QUERIES_PER_BLOCK", per_block)
+    monkeypatch.setattr(TERMS, "_CELLS", 30)
+    rng = random.Random(8)
+    texts = ["same words here", "same words there", "other w1 w1 same", "w2 w2 w2 words", "and w3", ""]
+    rows = [(f"{rng.choice(['a', 'B', 'é', '10', '9'])}{i}", i % 3, rng.choice(texts)) for i in range(80)]
+    rows += [(None, 1, texts[0]), ("a", None, texts[0]), ("a", 1, "same words"), ("a", 1, "here here")]
+    df = spark.createDataFrame(rows, "name string, part int, text string").repartition(3)
+    index = TERMS.build_postings(df, ["name", "part"], block_rows=3)
+    got = {}
+    asked = {1: "same words", 2: "words w2", 3: "here", 4: "w1 other and", 5: "nothing"}
+    q = spark.createDataFrame(list(asked.items()), "query_id long, text string")
+    for r in TERMS.search_postings(index, q, k=4).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.name, r.part))
+    merged = {}
+    for name, part, text in rows:
+        merged.setdefault((name, part), []).append(text)
+    counts, _ = _brute_vectors([(key, " ".join(t)) for key, t in merged.items()])
+    df = {}
+    for c in counts.values():
+        for w in c:
+            df[w] = df.get(w, 0) + 1
+    idf = {w: math.log((1 + len(rows)) / (1 + n)) + 1 for w, n in df.items()}
+    vectors = {key: _unit(c, idf) for key, c in counts.items() if c and None not in key}
+    for i, text in asked.items():
+        v = _unit({w: n for w, n in _brute_vectors([(0, text)])[0][0].items() if w in idf}, idf) if i != 5 else {}
+        score = {key: round(sum(x * u.get(w, 0) for w, x in v.items()), 9) for key, u in vectors.items() if set(u) & set(v)}
+        best = sorted(score, key=lambda key: (-score[key], key[0].encode(), key[1]))[:4]
+        assert sorted(got.get(i, [])) == [(n, *key) for n, key in enumerate(best, 1)]
+
+
 def test_tfidf_rows_of_one_key_are_one_text(spark):
     rows = [(1, "a b"), (1, "b c"), (2, "c"), (None, "a"), (None, "d"), (3, None)]
     out = TERMS.tfidf(spark.createDataFrame(rows, "id long, text string"), ["id"])
