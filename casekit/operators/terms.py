@@ -70,7 +70,7 @@ _SLACK = 1e-9  # scores are sums of rounded numbers
 @dataclass
 class TermVectors:
     """``vectors``: (keys, vector: array of (term, weight), ordered by term);
-    ``idf``: (term, texts, idf); ``groups``: weights and texts as :func:`_whole`
+    ``idf``: (term, texts, idf); ``groups``: weights and texts as :class:`_Group`
     reads them; ``n``: how many rows of texts there are."""
     vectors: DataFrame
     idf: DataFrame
